@@ -135,6 +135,7 @@ def queries() -> dict[str, Query]:
     )
     date_sales = _lines("order_date", "sales")
     keyed_sales = _lines(*KEYS, "order_date", "sales")
+    region_margins = _lines("region", features=True)
     insight_lines = _lines("region", "segment", features=True)
     forecast_digits = {"mae": 4, "rmse": 4, "mape": 6}
 
@@ -235,26 +236,26 @@ def queries() -> dict[str, Query]:
             significance.sales_correlation_matrix, r=6,
         ),
         "margin_correlation_matrix": _of(
-            _lines("region", "segment", features=True), significance.margin_correlation_matrix, r=6
+            margins, significance.margin_correlation_matrix, r=6
         ),
         "regional_anova": _of(
-            insight_lines, significance.regional_anova, between_ss=4, within_ss=4, f_stat=6,
+            region_margins, significance.regional_anova, between_ss=4, within_ss=4, f_stat=6,
             p_value=6,
         ),
-        "region_margin_means": _of(insight_lines, significance.region_margin_means, mean=6),
+        "region_margin_means": _of(region_margins, significance.region_margin_means, mean=6),
         "discount_ttest": _of(
-            insight_lines, significance.discount_ttest, discounted_avg_margin=6,
+            margins, significance.discount_ttest, discounted_avg_margin=6,
             non_discounted_avg_margin=6, t_stat=6, df=4, p_value=6,
         ),
         "discount_split_means": _of(
-            insight_lines, lambda df: significance.discount_split_means(df, THRESHOLD),
+            margins, lambda df: significance.discount_split_means(df, THRESHOLD),
             high_discount_margin=6, low_discount_margin=6,
         ),
         "segment_profitability": _of(
-            insight_lines, significance.segment_profitability, mean=6, std=6, sem=6, ci95=6
+            _lines("segment", features=True), significance.segment_profitability, mean=6, std=6, sem=6, ci95=6
         ),
-        "revenue_seasonality": _of(insight_lines, significance.revenue_seasonality, revenue=4),
-        "best_and_worst_month": _of(insight_lines, significance.best_and_worst_month, revenue=4),
+        "revenue_seasonality": _of(margins, significance.revenue_seasonality, revenue=4),
+        "best_and_worst_month": _of(margins, significance.best_and_worst_month, revenue=4),
         "business_insights": _of(insight_lines, _insight_figures, statistic=6, p_value=6),
         "business_insight_messages": _of(
             insight_lines, lambda df: insights.business_insights(df, THRESHOLD)

@@ -37,10 +37,10 @@ def fill_numbers(df: DataFrame, small: int = 50_000) -> DataFrame:
     if not names:
         return df
     df = df.withColumns({c: _without_nan(df, c) for c in names})
-    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names]).first()
-    holed = [c for c in names if gaps[c]]
+    counts = df.agg(F.count(F.lit(1)), *[F.count(c).alias(c) for c in names]).first()
+    holed = {c: counts[c] for c in names if counts[c] < counts[0]}
     as_double = df.withColumns({c: F.col(c).cast("double") for c in holed})
-    medians = exact_medians(as_double, holed, small)
+    medians = exact_medians(as_double, list(holed), small, holed)
     known: dict[str, Any] = {c: m for c, m in medians.items() if m is not None}
     return as_double.fillna(known) if known else as_double
 

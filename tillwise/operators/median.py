@@ -8,7 +8,7 @@ The result does not depend on the sketch's error, only the number of rounds does
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -79,32 +79,42 @@ def _one_row(df: DataFrame, columns: Sequence[Column]) -> list[Any]:
 
 
 def exact_medians(
-    df: DataFrame, columns: Sequence[str], small: int = 50_000
+    df: DataFrame,
+    columns: Sequence[str],
+    small: int = 50_000,
+    value_counts: Mapping[str, int] | None = None,
 ) -> dict[str, Any]:
     """Median of each column, the mean of the two middle values for an even count.
 
     A column without values has the median ``None``. At most ``small`` values of a
-    column are ever gathered in one place.
+    column are ever gathered in one place. ``value_counts`` saves the first scan when the
+    number of non-null values is already known.
     """
     if not columns:
         return {}
-    counted = dict(zip(columns, _one_row(df, [F.count(F.col(c)) for c in columns])))
+    if value_counts is None:
+        value_counts = dict(zip(columns, _one_row(df, [F.count(F.col(c)) for c in columns])))
     searches = {
         name: [_Search(name, rank, rows) for rank in sorted({(rows - 1) // 2, rows // 2})]
-        for name, rows in counted.items()
-        if rows
+        for name in columns
+        if (rows := value_counts[name])
     }
     open_searches = [s for pair in searches.values() for s in pair]
     while wide := [s for s in open_searches if s.value is None and s.rows > small]:
-        sketches = _one_row(df, [s.sketch() for s in wide])
-        cuts = [sorted(set(points)) for points in sketches]
-        counted_cuts = _one_row(df, [c for s, own in zip(wide, cuts) for c in s.counts(own)])
-        for search, own in zip(wide, cuts):
-            mine, counted_cuts = counted_cuts[: 2 * len(own)], counted_cuts[2 * len(own) :]
-            search.narrow(own, mine)
+        # the two middle ranks of a column share their range, and with it the cuts
+        ranges = {(s.column, s.low, s.high): s for s in wide}
+        sketches = _one_row(df, [s.sketch() for s in ranges.values()])
+        cuts = {at: sorted(set(points)) for at, points in zip(ranges, sketches)}
+        counted = _one_row(df, [c for at, s in ranges.items() for c in s.counts(cuts[at])])
+        counts = {}
+        for at, own in cuts.items():
+            counts[at], counted = counted[: 2 * len(own)], counted[2 * len(own) :]
+        for search in wide:
+            at = (search.column, search.low, search.high)
+            search.narrow(cuts[at], counts[at])
     last = [s for s in open_searches if s.value is None]
     if last:
-        picks = [F.get(F.sort_array(F.collect_list(s.kept())), s.rank) for s in last]
+        picks = [F.get(F.sort_array(F.collect_list(s.kept())), F.lit(s.rank)) for s in last]
         for search, value in zip(last, _one_row(df, picks)):
             search.value = value
     medians: dict[str, Any] = dict.fromkeys(columns)

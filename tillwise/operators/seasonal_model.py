@@ -173,8 +173,7 @@ def seasonal_forecast(
             )
         return pd.concat(parts).assign(**identity)[[f.name for f in schema.fields]]
 
-    grouped = series.groupBy(*keys) if keys else series.groupBy(F.lit(0))
-    rows = grouped.applyInPandas(model, schema)
+    rows = series.groupBy(*keys).applyInPandas(model, schema)
     return rows.withColumns(
         {
             name: F.when(~F.isnan(name), F.col(name))

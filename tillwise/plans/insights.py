@@ -42,7 +42,8 @@ def figures(lines: DataFrame, threshold: float = HIGH_DISCOUNT) -> DataFrame:
     sales, profit = F.col("sales"), F.col("profit")
     keys = ["region", "segment", "year", "month"]
     sets = [[], ["region"], ["segment"], ["year", "month"]]
-    grouped = statistic_lines(lines).groupingSets([[F.col(k) for k in s] for s in sets], *keys)
+    dated = statistic_lines(lines, "region", "segment")
+    grouped = dated.groupingSets([[F.col(k) for k in s] for s in sets], *keys)
     of_region, of_segment, of_month = (F.grouping(k) == 0 for k in ("region", "segment", "month"))
     return grouped.agg(
         F.when(of_region, "region")

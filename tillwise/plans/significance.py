@@ -18,15 +18,16 @@ from tillwise.operators.hypothesis import (
     mean_confidence,
     welch_test,
 )
-from tillwise.schema import REQUIRED, require_columns
+from tillwise.schema import require_columns
 
 MARGIN = "profit_margin_pct"
 TESTED_PAIRS = (("discount", MARGIN), ("sales", "profit"))
 HIGH_DISCOUNT = 0.20
 
 
-def statistic_lines(lines: DataFrame) -> DataFrame:
-    require_columns(lines, REQUIRED["statistics"])
+def statistic_lines(lines: DataFrame, *keys: str) -> DataFrame:
+    """Dated lines with margin and calendar; ``keys`` are the grouping columns needed."""
+    require_columns(lines, {"order_date", "sales", "profit", "discount", *keys})
     return dated_lines(lines, MARGIN, "year", "month")
 
 
@@ -51,11 +52,11 @@ def sales_correlation_matrix(lines: DataFrame) -> DataFrame:
 
 
 def regional_anova(lines: DataFrame, alpha: float = 0.05) -> DataFrame:
-    return anova(statistic_lines(lines), "region", MARGIN, alpha)
+    return anova(statistic_lines(lines, "region"), "region", MARGIN, alpha)
 
 
 def region_margin_means(lines: DataFrame) -> DataFrame:
-    return group_means(statistic_lines(lines), "region", MARGIN)
+    return group_means(statistic_lines(lines, "region"), "region", MARGIN)
 
 
 def discount_ttest(lines: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -85,7 +86,7 @@ def discount_split_means(lines: DataFrame, threshold: float = HIGH_DISCOUNT) ->
 
 
 def segment_profitability(lines: DataFrame) -> DataFrame:
-    return mean_confidence(statistic_lines(lines), "segment", MARGIN)
+    return mean_confidence(statistic_lines(lines, "segment"), "segment", MARGIN)
 
 
 def month_label(month: Column) -> Column:
