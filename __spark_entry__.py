@@ -19,6 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 import oracle_queries  # noqa: E402
 from tillwise.functions.rounding import half_up  # noqa: E402
 from tillwise.operators import cleaning, monthly  # noqa: E402
+from tillwise.operators.seasonal_model import seasonal_forecast  # noqa: E402
 from tillwise.operators.derive import dated_lines, with_dates, with_features  # noqa: E402
 from tillwise.plans import extracts, insights, outlook, profile, significance  # noqa: E402
 from tillwise.plans import sql_reports, workbook  # noqa: E402
@@ -120,6 +121,14 @@ def _delivery_speeds(lines: DataFrame) -> DataFrame:
     )
 
 
+def _forecast_months(lines: DataFrame) -> DataFrame:
+    """Which months each series is forecast for, and the actual sales held out."""
+    rows = seasonal_forecast(monthly.monthly_sales(lines, KEYS), KEYS)
+    return rows.where("status = 'ok'").select(
+        *KEYS, "phase", F.date_format("month", "yyyy-MM-dd").alias("month"), "actual_sales"
+    )
+
+
 def _insight_figures(lines: DataFrame) -> DataFrame:
     return insights.business_insights(lines, THRESHOLD).drop("message")
 
@@ -289,6 +298,7 @@ def queries() -> dict[str, Query]:
         ),
         "sales_forecast": _of(date_sales, outlook.sales_forecast),
         "keyed_sales_forecast": _of(keyed_sales, lambda df: outlook.sales_forecast(df, KEYS)),
+        "keyed_forecast_months": _of(keyed_sales, _forecast_months, actual_sales=4),
         "forecast_chart": _of(date_sales, _months_as_text(outlook.forecast_chart)),
     }
     return found

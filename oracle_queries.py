@@ -580,6 +580,18 @@ def oracle_sql() -> dict[str, str]:
     sql["keyed_naive_forecast_accuracy"] = lines(
         f"SELECT {keyed}, {ACCURACY} FROM pairs GROUP BY {keyed}", dense(keyed), naive_pairs(keyed)
     )
+    sql["keyed_forecast_months"] = lines(
+        f"""
+    , counted AS (SELECT *, row_number() OVER (PARTITION BY {keyed} ORDER BY month DESC) AS from_end,
+                         count(*) OVER (PARTITION BY {keyed}) AS length FROM dense),
+    ends AS (SELECT {keyed}, max(month) AS final FROM dense GROUP BY {keyed} HAVING count(*) > 18)
+    SELECT {keyed}, 'held_out' AS phase, {shown}, round(sales, 4) AS actual_sales
+    FROM counted WHERE from_end <= 6 AND length > 18
+    UNION ALL
+    SELECT {keyed}, 'future', strftime(last_day(CAST(final + to_months(CAST(k AS INTEGER)) AS DATE)), '%Y-%m-%d'), NULL
+    FROM ends, range(1, 7) AS steps(k)""",
+        dense(keyed),
+    )
     sql["unusable_line_count"] = raw_lines(
         "SELECT count(*) FILTER (order_date IS NULL) AS dropped_rows, count(*) AS rows_read"
         " FROM (SELECT coalesce(try_strptime(order_date, '%Y-%m-%d'),"

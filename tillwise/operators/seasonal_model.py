@@ -32,50 +32,54 @@ def _lagged(w: np.ndarray, lag: int) -> np.ndarray:
 
 
 def _errors(params: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """One-step errors for several parameter rows (a, A, m, M) at once."""
-    a, big_a, m, big_m = (params[:, [i]] for i in range(4))
-    one, season, both = _lagged(w, 1), _lagged(w, SEASON), _lagged(w, SEASON + 1)
-    target = w - a * one - big_a * season + a * big_a * both
-    errors = np.zeros((len(params), len(w) + SEASON + 1))
-    m, big_m = m[:, 0], big_m[:, 0]
-    for t in range(len(w)):
-        at = t + SEASON + 1
-        errors[:, at] = (
-            target[:, t]
-            - m * errors[:, at - 1]
-            - big_m * errors[:, at - SEASON]
-            - m * big_m * errors[:, at - SEASON - 1]
-        )
-    return errors[:, SEASON + 1 :]
+    """One-step errors, a column per parameter row (a, A, m, M), all rows at once.
+
+    The two moving-average factors are undone one after the other: the ordinary one month
+    by month, the seasonal one a whole year at a time.
+    """
+    a, big_a, m, big_m = params.T
+    one, season, both = (_lagged(w, k)[:, None] for k in (1, SEASON, SEASON + 1))
+    errors = w[:, None] - a * one - big_a * season + a * big_a * both
+    for t in range(1, len(w)):
+        errors[t] -= m * errors[t - 1]
+    for t in range(SEASON, len(w), SEASON):
+        year = errors[t : t + SEASON]
+        year -= big_m * errors[t - SEASON : t - SEASON + len(year)]
+    return errors
 
 
 def _fit(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Damped least squares from a few fixed starts; returns parameters and errors."""
-    steps = np.vstack([np.zeros(4), 1e-6 * np.eye(4)])
-    best, best_errors = np.zeros(4), _errors(np.zeros((1, 4)), w)[0]
-    for start in _STARTS:
-        here, damping = np.array(start), 1e-2
-        errors = _errors(here[None, :] + steps, w)
-        cost = float(errors[0] @ errors[0])
+    """Damped least squares from a few fixed starts in step; returns parameters and errors."""
+    starts, nudge = len(_STARTS), 1e-6
+    probes = np.vstack([np.zeros(4), nudge * np.eye(4)])
+
+    def evaluate(points: np.ndarray) -> np.ndarray:
+        tried = (points[:, None, :] + probes).reshape(-1, 4)
+        return _errors(tried, w).T.reshape(starts, 5, len(w))
+
+    here, damping = np.array(_STARTS), np.full(starts, 1e-2)
+    with np.errstate(all="ignore"):
+        errors = evaluate(here)
+        cost = np.einsum("st,st->s", errors[:, 0], errors[:, 0])
         for _ in range(60):
-            slope = (errors[1:] - errors[0]) / 1e-6
-            normal = slope @ slope.T
-            weights = normal + damping * np.diag(np.diag(normal) + 1e-12)
-            move = np.linalg.lstsq(weights, -slope @ errors[0], rcond=None)[0]
-            tried = _errors((here + move)[None, :] + steps, w)
-            new_cost = float(tried[0] @ tried[0])
-            if np.isfinite(new_cost) and new_cost < cost:
-                done = cost - new_cost <= 1e-10 * cost
-                here, errors, cost, damping = here + move, tried, new_cost, damping / 4
-                if done:
-                    break
-            else:
-                damping *= 5
-                if damping > 1e8:
-                    break
-        if cost < float(best_errors @ best_errors):
-            best, best_errors = here, errors[0]
-    return best, best_errors
+            slope = (errors[:, 1:] - errors[:, :1]) / nudge
+            normal = np.einsum("sit,sjt->sij", slope, slope)
+            pull = np.einsum("sit,st->si", slope, errors[:, 0])
+            ridge = np.einsum("sii->si", normal) * damping[:, None] + 1e-12
+            move = np.linalg.solve(normal + ridge[:, :, None] * np.eye(4), -pull[:, :, None])
+            tried = evaluate(here + move[:, :, 0])
+            new_cost = np.einsum("st,st->s", tried[:, 0], tried[:, 0])
+            better = np.isfinite(new_cost) & np.isfinite(tried).all(axis=(1, 2)) & (new_cost < cost)
+            gain = np.where(better, cost - new_cost, 0.0)
+            settled = (gain <= 1e-9 * cost) & (better | (damping > 1e6))
+            here = np.where(better[:, None], here + move[:, :, 0], here)
+            errors = np.where(better[:, None, None], tried, errors)
+            cost = np.where(better, new_cost, cost)
+            damping = np.where(better, damping / 4, damping * 5)
+            if settled.all():
+                break
+    best = int(np.argmin(cost))
+    return here[best], errors[best, 0]
 
 
 def _polynomial(*terms: tuple[float, int]) -> np.ndarray:
@@ -116,67 +120,77 @@ def predict(values: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(level[len(y) :]) * scale, np.sqrt(variance) * scale
 
 
+def _spread(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Series spread over all shuffle tasks by key.
+
+    Fits are heavy and their input is tiny, so the size-based merging of shuffle
+    partitions would line thousands of fits up in a few tasks; a partition count that is
+    asked for is left alone.
+    """
+    if not keys:
+        return series
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return series.repartition(tasks, *keys)
+
+
 def _month_ends(last: pd.Timestamp, horizon: int) -> list:
     return [day.date() for day in pd.date_range(last, periods=horizon + 1, freq="ME")[1:]]
 
 
+PHASES = ("held_out", "future")
+
+
 def seasonal_forecast(
     series: DataFrame,
     keys: Sequence[str] = (),
+    phases: Sequence[str] = PHASES,
     horizon: int = TEST_MONTHS,
     held_out: int = TEST_MONTHS,
 ) -> DataFrame:
-    """Forecasts each series twice: its held-out last months, and the months to come.
+    """Forecasts each series' held-out last months, the months to come, or both.
 
-    Rows carry ``phase`` ('held_out' or 'future'), the month end, the prediction and its
-    95 % interval. A series too short to model yields one row with a status and nulls.
+    Rows carry the ``phase``, the month end, the prediction and its 95 % interval, and for
+    held-out months the actual sales. A series too short to model yields one row per phase
+    with a status and nulls.
     """
-    key_fields = [series.schema[name] for name in keys]
+    numbers = ("actual_sales", "predicted_sales", "lower_ci", "upper_ci")
     schema = T.StructType(
         [
-            *key_fields,
+            *[series.schema[name] for name in keys],
             T.StructField("phase", T.StringType()),
             T.StructField("month", T.DateType()),
-            T.StructField("predicted_sales", T.DoubleType()),
-            T.StructField("lower_ci", T.DoubleType()),
-            T.StructField("upper_ci", T.DoubleType()),
+            *[T.StructField(name, T.DoubleType()) for name in numbers],
             T.StructField("status", T.StringType()),
         ]
     )
-    names = list(keys)
+    names, order = list(keys), [field.name for field in schema.fields]
+
+    def phase_rows(phase: str, values: np.ndarray, last: pd.Timestamp) -> pd.DataFrame:
+        ahead = held_out if phase == "held_out" else horizon
+        known = values[:-held_out] if phase == "held_out" else values
+        if len(values) < SHORTEST or len(known) <= SEASON + 1:
+            empty = pd.DataFrame({name: [np.nan] for name in numbers})
+            return empty.assign(phase=phase, month=None, status="too_short")
+        start = last - pd.offsets.MonthEnd(len(values) - len(known))
+        center, error = predict(known, ahead)
+        return pd.DataFrame(
+            {
+                "phase": phase,
+                "month": _month_ends(start, ahead),
+                "actual_sales": values[-held_out:] if phase == "held_out" else np.nan,
+                "predicted_sales": center,
+                "lower_ci": center - Z95 * error,
+                "upper_ci": center + Z95 * error,
+                "status": "ok",
+            }
+        )
 
     def model(group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.sort_values("month")
         values = ordered["sales"].to_numpy(dtype=float)
-        months = pd.to_datetime(ordered["month"])
-        identity = {name: ordered[name].iloc[0] for name in names}
-        parts = []
-        for phase, cut, ahead in (("held_out", held_out, held_out), ("future", 0, horizon)):
-            known = len(values) - cut
-            if len(values) < SHORTEST or known <= SEASON + 1:
-                gap = {"month": [None], "predicted_sales": [np.nan], "lower_ci": [np.nan],
-                       "upper_ci": [np.nan], "status": ["too_short"]}
-                parts.append(pd.DataFrame({**gap, "phase": phase}))
-                continue
-            center, error = predict(values[:known], ahead)
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "month": _month_ends(months.iloc[known - 1], ahead),
-                        "predicted_sales": center,
-                        "lower_ci": center - Z95 * error,
-                        "upper_ci": center + Z95 * error,
-                        "status": "ok",
-                        "phase": phase,
-                    }
-                )
-            )
-        return pd.concat(parts).assign(**identity)[[f.name for f in schema.fields]]
-
-    rows = series.groupBy(*keys).applyInPandas(model, schema)
-    return rows.withColumns(
-        {
-            name: F.when(~F.isnan(name), F.col(name))
-            for name in ("predicted_sales", "lower_ci", "upper_ci")
-        }
-    )
+        last = pd.Timestamp(ordered["month"].iloc[-1])
+        rows = pd.concat([phase_rows(phase, values, last) for phase in phases])
+        return rows.assign(**{name: ordered[name].iloc[0] for name in names})[order]
+
+    rows = _spread(series, names).groupBy(*keys).applyInPandas(model, schema)
+    return rows.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in numbers})

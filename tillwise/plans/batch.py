@@ -11,7 +11,7 @@ from tillwise.plans.extracts import EXTRACT_HEADERS, build_extracts
 from tillwise.plans.outlook import sales_forecast
 from tillwise.plans.sql_reports import REPORTS, SMALL_REPORTS
 from tillwise.plans.workbook import build_sheets
-from tillwise.schema import REQUIRED, require_columns
+from tillwise.schema import HEADERS, REQUIRED, require_columns
 from tillwise.sources.order_files import (
     read_clean_table,
     read_order_csv,
@@ -22,11 +22,19 @@ from tillwise.sources.order_files import (
 )
 
 
-def clean_files(spark: SparkSession, csv_path: str, table_path: str) -> DataFrame:
-    """Clean raw CSV files into a Parquet table and return that table."""
+def clean_files(
+    spark: SparkSession, csv_path: str, table_path: str, csv_copy: str | None = None
+) -> DataFrame:
+    """Clean raw CSV files into a Parquet table and return that table.
+
+    A CSV copy of the table, if asked for, is written in parallel as many files.
+    """
     raw = read_order_csv(spark, csv_path, REQUIRED["cleaning"])
     write_clean_table(clean_lines(raw), table_path)
-    return read_clean_table(spark, table_path)
+    clean = read_clean_table(spark, table_path)
+    if csv_copy:
+        write_csv(clean, csv_copy, HEADERS)
+    return clean
 
 
 def publish(
@@ -37,15 +45,13 @@ def publish(
     bounded = ("executive_summary", "executive_kpis", "executive_yearly", "regional_analysis",
                "top_customers")
     forecast = sales_forecast(lines, forecast_keys).drop("status")
+    extracts, sheets = build_extracts(lines), build_sheets(lines)
     return {
         "reports": run_named_queries(lines, REPORTS, f"{folder}/reports", one_file=SMALL_REPORTS),
         "extracts": write_batch(
-            build_extracts(lines),
-            f"{folder}/extracts",
-            {name: EXTRACT_HEADERS for name in build_extracts(lines)},
-            bounded,
+            extracts, f"{folder}/extracts", dict.fromkeys(extracts, EXTRACT_HEADERS), bounded
         ),
-        "workbook": write_batch(build_sheets(lines), f"{folder}/workbook", one_file=bounded),
+        "workbook": write_batch(sheets, f"{folder}/workbook", one_file=bounded),
         "forecast": {
             "sales_forecast": write_csv(
                 forecast, f"{folder}/sales_forecast", one_file=not forecast_keys

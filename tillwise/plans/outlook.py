@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.operators.monthly import (
     SHORTEST,
     accuracy,
     describe_series,
-    hold_out,
     monthly_sales,
     seasonal_naive,
 )
@@ -26,16 +25,10 @@ def _long_enough(forecast: DataFrame, keys: Sequence[str]) -> DataFrame:
     return forecast.where(F.when(F.col("status") == "ok", True).otherwise(complaint))
 
 
-def forecasts(lines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Held-out and future predictions of every series, from one fit job."""
-    series = monthly_sales(lines, keys)
-    return _long_enough(seasonal_forecast(series, keys), keys)
-
-
 def sales_forecast(lines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The next six months with their 95 % interval; months as text."""
-    future = forecasts(lines, keys).where("phase = 'future'")
-    return future.select(
+    rows = seasonal_forecast(monthly_sales(lines, keys), keys, ["future"])
+    return _long_enough(rows, keys).select(
         *keys,
         F.date_format("month", "yyyy-MM-dd").alias("month"),
         "predicted_sales",
@@ -46,24 +39,13 @@ def sales_forecast(lines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def held_out_pairs(lines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Actual and predicted sales of the held-out months, matched by month.
-
-    Actual months and forecasts come from the same grouped series; both sides of the
-    join are a few rows per series and are joined on keys and month.
-    """
-    series = monthly_sales(lines, keys)
-    held = hold_out(series, keys).where("part = 'test'").select(
-        *keys, "month", F.col("sales").alias("actual")
-    )
-    predicted = _long_enough(seasonal_forecast(series, keys), keys)
-    predicted = predicted.where("phase = 'held_out' and status = 'ok'").select(
-        *keys, "month", F.col("predicted_sales").alias("predicted")
-    )
-    match = held["month"] == predicted["month"]
-    for name in keys:
-        match = match & held[name].eqNullSafe(predicted[name])
-    return held.join(predicted, match).select(
-        *[held[name] for name in keys], held["month"], "actual", "predicted"
+    """Actual and predicted sales of the held-out months."""
+    rows = seasonal_forecast(monthly_sales(lines, keys), keys, ["held_out"])
+    return _long_enough(rows, keys).where("status = 'ok'").select(
+        *keys,
+        "month",
+        F.col("actual_sales").alias("actual"),
+        F.col("predicted_sales").alias("predicted"),
     )
 
 
@@ -83,25 +65,34 @@ def series_description(lines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def forecast_chart(lines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Everything a forecast chart shows, one tagged row per point."""
     series = monthly_sales(lines, keys)
-    split = hold_out(series, keys)
     none = F.lit(None).cast("double")
-
-    def actual(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(
-            *keys, F.lit(tag).alias("series"), "month", F.col("sales").alias("value"),
-            none.alias("lower_ci"), none.alias("upper_ci"),
-        )
-
-    predicted = _long_enough(seasonal_forecast(series, keys), keys).where("status = 'ok'")
-    future = F.col("phase") == "future"
-    modelled = predicted.select(
+    history = series.select(
+        *keys,
+        F.lit("history").alias("series"),
+        "month",
+        F.col("sales").alias("value"),
+        none.alias("lower_ci"),
+        none.alias("upper_ci"),
+    )
+    modelled = _long_enough(seasonal_forecast(series, keys), keys).where("status = 'ok'")
+    held = F.col("phase") == "held_out"
+
+    def point(tag: Column, value: str) -> Column:
+        return F.struct(tag.alias("series"), F.col(value).alias("value"))
+
+    shown = F.when(
+        held,
+        F.array(
+            point(F.lit("held_out_actual"), "actual_sales"),
+            point(F.lit("held_out_predicted"), "predicted_sales"),
+        ),
+    ).otherwise(F.array(point(F.lit("forecast"), "predicted_sales")))
+    points = modelled.withColumn("point", F.explode(shown)).select(
         *keys,
-        F.when(future, "forecast").otherwise("held_out_predicted").alias("series"),
+        "point.series",
         "month",
-        F.col("predicted_sales").alias("value"),
-        F.when(future, F.col("lower_ci")).alias("lower_ci"),
-        F.when(future, F.col("upper_ci")).alias("upper_ci"),
+        "point.value",
+        F.when(~held, F.col("lower_ci")).alias("lower_ci"),
+        F.when(~held, F.col("upper_ci")).alias("upper_ci"),
     )
-    history = actual(split, "history")
-    held = actual(split.where("part = 'test'"), "held_out_actual")
-    return history.unionByName(held).unionByName(modelled)
+    return history.unionByName(points)

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.measures import change, margin_fraction, ratio, total
@@ -45,30 +46,33 @@ def workbook_top_customers(lines: DataFrame, k: int = 20) -> DataFrame:
     """Best customers with the segment looked up by id.
 
     A customer in several segments has a row each, and every one of them shows the first
-    segment by name. The lookup runs over customer totals, which are already aggregated.
+    segment by name. Only the ``k`` winners are looked up: they are kept and broadcast, so
+    the second read of the lines passes on nothing but theirs.
     """
+    dated = dated_lines(lines)
     keys = ["customer_id", "customer_name", "segment"]
-    customers = group_totals(dated_lines(lines), keys, sales="total_revenue")
-    first_segment = F.min("segment").over(Window.partitionBy("customer_id"))
-    report = customers.select(
-        "customer_id",
-        "customer_name",
-        first_segment.alias("segment_lookup"),
-        "total_revenue",
-        "total_profit",
-        "order_count",
-        ratio(F.col("total_revenue"), F.col("order_count")).alias("avg_order_value"),
-        "segment",
+    customers = group_totals(dated, keys, sales="total_revenue")
+    order = (
+        F.desc("total_revenue"), F.desc("total_profit"), F.asc("customer_id"), F.asc("segment")
+    )
+    best = top_rows(customers, k, *order).persist(StorageLevel.MEMORY_AND_DISK)
+    winners = best.select(F.col("customer_id").alias("id")).distinct()
+    is_winner = F.col("customer_id").eqNullSafe(F.col("id"))
+    segments = (
+        dated.select("customer_id", "segment")
+        .join(F.broadcast(winners), is_winner, "left_semi")
+        .groupBy(F.col("customer_id").alias("id"))
+        .agg(F.min("segment").alias("segment_lookup"))
     )
-    best = top_rows(
-        report,
-        k,
-        F.desc("total_revenue"),
-        F.desc("total_profit"),
-        F.asc("customer_id"),
-        F.asc("segment"),
+    value = ratio(F.col("total_revenue"), F.col("order_count"))
+    return (
+        segments.join(F.broadcast(best), is_winner, "inner")
+        .orderBy(*order)
+        .select(
+            "customer_id", "customer_name", "segment_lookup", "total_revenue", "total_profit",
+            "order_count", value.alias("avg_order_value"),
+        )
     )
-    return best.drop("segment")
 
 
 def workbook_product_performance(lines: DataFrame) -> DataFrame:
