@@ -23,7 +23,7 @@ def pearson(x: Column, y: Column) -> Column:
     left, right = F.when(both, x), F.when(both, y)
     spread = F.stddev_pop(left) * F.stddev_pop(right)
     r = F.covar_pop(left, right) / F.nullif(spread, F.lit(0))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
 
 def pair_count(x: Column, y: Column) -> Column:
