@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ import __spark_entry__ as registry
 from conftest import SMALL
 from tillwise.functions.measures import exact_sum
 from tillwise.operators.cleaning import clean_lines
+from tillwise.operators.keep import keep_small
 from tillwise.plans import extracts, insights, significance, sql_reports, workbook
 from tillwise.sources.star import COLUMNS, TABLES, order_lines
 
@@ -103,13 +106,6 @@ def test_nothing_is_crossed(spark):
         assert "BroadcastNestedLoopJoin" not in text, name
 
 
-def same(left, right):
-    def key(row):
-        return [str(v) for v in row]
-
-    return sorted(map(tuple, left.collect()), key=key) == sorted(map(tuple, right.collect()), key=key)
-
-
 def test_results_do_not_depend_on_broadcasts(spark, conf):
     names = ["yearly_kpis", "regional_performance", "state_profit_margin_rank", "segment_analysis"]
     before = {n: registry.queries()[n](spark, SMALL).collect() for n in names}
@@ -130,7 +126,6 @@ def hot_star(spark, tmp_path):
             hot = F.col("l_linenumber") <= 2
             table = table.withColumn("l_partkey", F.when(hot, 7).otherwise(F.col("l_partkey")))
             table = table.withColumn("l_orderkey", F.when(hot, 5).otherwise(F.col("l_orderkey")))
-            table = table.withColumn("pad", F.col("l_extendedprice"))
         table.repartition(8 if name == "lineitem" else 1).write.parquet(str(tmp_path / f"{name}.parquet"))
     return str(tmp_path)
 
@@ -175,5 +170,15 @@ def test_sums_do_not_depend_on_partitioning(spark, small_lines):
 def test_pivot_reads_the_lines_once(spark):
     lines = order_lines(spark, SMALL, ["order_date", "region", "category", "sales", "profit"])
     text = plan(workbook.workbook_regional_pivot(lines))
-    assert "InMemoryTableScan" in text
-    spark.catalog.clearCache()
+    assert "FileScan" not in text and "Scan ExistingRDD" in text
+
+
+def test_kept_results_use_the_named_folder_and_see_new_files(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    spark.range(3).write.parquet(folder)
+    first = keep_small(spark.read.parquet(folder).groupBy().count())
+    shutil.rmtree(folder)
+    spark.range(5).write.parquet(folder)
+    assert first.first()[0] == 3
+    assert keep_small(spark.read.parquet(folder).groupBy().count()).first()[0] == 5
+    assert spark.sparkContext.getCheckpointDir() is not None

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.tails import f_p_value, t_p_value, verdict
+from tillwise.operators.keep import keep_small
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -126,7 +126,7 @@ def anova_from_moments(moments: DataFrame) -> DataFrame:
     Groups without values do not count. The group rows are kept for two short passes, as
     subtracting the grand mean first loses no digits however many lines there are.
     """
-    groups = moments.where("n > 0").persist(StorageLevel.MEMORY_AND_DISK)
+    groups = keep_small(moments.where("n > 0"))
     n, mean = F.col("n"), F.col("mean")
     grand_mean = groups.agg(F.sum(n * mean) / F.nullif(F.sum(n), F.lit(0))).scalar()
     sums = groups.agg(

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise.functions.measures import exact_sum, margin_fraction, total
+from tillwise.operators.keep import keep_small
 
 
 def group_totals(
@@ -86,11 +86,10 @@ def sales_pivot(lines: DataFrame, key: str, on: str, total_label: str) -> DataFr
     total row all come from those. A line with a null key or null ``on`` has no cell in
     the pivot, but the profit total of a key covers its lines with a null ``on``.
     """
-    cells = (
+    cells = keep_small(
         lines.where(F.col(key).isNotNull())
         .groupBy(key, on)
         .agg(total(F.col("sales")).alias("sales"), total(F.col("profit")).alias("profit"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     values = distinct_values(cells, on)
     shown = F.col(on).isNotNull()

@@ -7,7 +7,6 @@ rules are evaluated on that.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +22,7 @@ from tillwise.operators.hypothesis import (
     with_f_statistic,
     within_squares,
 )
+from tillwise.operators.keep import keep_small
 from tillwise.plans.significance import (
     HIGH_DISCOUNT,
     MARGIN,
@@ -76,7 +76,7 @@ def _extreme(level: str, key: Column, *shown: str) -> Column:
 
 
 def _one_row(figures_rows: DataFrame) -> DataFrame:
-    kept = figures_rows.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = keep_small(figures_rows)
     grand_mean = kept.where("level = 'all'").select("mean").scalar()
     region = (F.col("level") == "region") & (F.col("n") > 0)
     n, mean = F.when(region, F.col("n")), F.when(region, F.col("mean"))

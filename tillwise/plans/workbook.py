@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.measures import change, margin_fraction, ratio, total
 from tillwise.operators.derive import dated_lines
+from tillwise.operators.keep import keep_small
 from tillwise.operators.shaping import group_totals, previous, sales_pivot, top_rows
 from tillwise.schema import REQUIRED, require_columns
 
@@ -55,7 +55,7 @@ def workbook_top_customers(lines: DataFrame, k: int = 20) -> DataFrame:
     order = (
         F.desc("total_revenue"), F.desc("total_profit"), F.asc("customer_id"), F.asc("segment")
     )
-    best = top_rows(customers, k, *order).persist(StorageLevel.MEMORY_AND_DISK)
+    best = keep_small(top_rows(customers, k, *order))
     winners = best.select(F.col("customer_id").alias("id")).distinct()
     is_winner = F.col("customer_id").eqNullSafe(F.col("id"))
     segments = (
