@@ -56,8 +56,19 @@ def column_slug(text: str) -> str:
     return re.sub(r"[^0-9a-z]+", "_", text.lower()).strip("_")
 
 
+def cell_totals(lines: DataFrame, key: str, on: str) -> DataFrame:
+    """Sales and profit per (key, on): what every cross-tab is made of."""
+    return lines.groupBy(key, on).agg(
+        exact_sum(F.col("sales")).alias("sales"), exact_sum(F.col("profit")).alias("profit")
+    )
+
+
 def conditional_totals(lines: DataFrame, key: str, on: str, values: Sequence[str]) -> DataFrame:
-    """Per key, sales and profit of each listed value of ``on`` and over all of them."""
+    """Per key, sales and profit of each listed value of ``on`` and over all of them.
+
+    The conditions are evaluated on cell totals, so a line updates two sums and not two
+    for every listed value.
+    """
     measures = []
     for value in values:
         match = F.col(on) == F.lit(value)
@@ -66,7 +77,7 @@ def conditional_totals(lines: DataFrame, key: str, on: str, values: Sequence[str
             measures.append(exact_sum(part).alias(f"{column_slug(value)}_{name}"))
     measures.append(exact_sum(F.col("sales")).alias("total_sales"))
     measures.append(exact_sum(F.col("profit")).alias("total_profit"))
-    return lines.groupBy(key).agg(*measures)
+    return cell_totals(lines, key, on).groupBy(key).agg(*measures)
 
 
 def distinct_values(cells: DataFrame, column: str) -> list[str]:
@@ -86,11 +97,7 @@ def sales_pivot(lines: DataFrame, key: str, on: str, total_label: str) -> DataFr
     total row all come from those. A line with a null key or null ``on`` has no cell in
     the pivot, but the profit total of a key covers its lines with a null ``on``.
     """
-    cells = keep_small(
-        lines.where(F.col(key).isNotNull())
-        .groupBy(key, on)
-        .agg(total(F.col("sales")).alias("sales"), total(F.col("profit")).alias("profit"))
-    )
+    cells = keep_small(cell_totals(lines.where(F.col(key).isNotNull()), key, on))
     values = distinct_values(cells, on)
     shown = F.col(on).isNotNull()
     per_value = [
