@@ -84,7 +84,7 @@ def _of(read: Query, build: Callable[[DataFrame], DataFrame], **digits: int) ->
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         result = build(read(spark, folder))
-        rounded = {name: half_up(F.col(f"`{name}`"), places) for name, places in digits.items()}
+        rounded = {name: F.expr(half_up(name, places)) for name, places in digits.items()}
         return result.withColumns(rounded) if rounded else result
 
     return run

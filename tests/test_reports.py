@@ -141,6 +141,16 @@ def test_pivot_drops_null_keys_but_keeps_their_profit(lines):
     assert scale["West"] == pytest.approx(-0.5)
 
 
+def test_category_names_may_hold_any_character(lines):
+    odd = "O'Neil \\ `x` 5%"
+    frame = lines(line(category=odd), line(category="Toys", sales=7.0))
+    pivot = workbook.workbook_regional_pivot(frame)
+    assert pivot.columns[1:3] == [odd, "Toys"]
+    assert tuple(pivot.first())[:4] == ("East", 100.0, 7.0, 107.0)
+    crosstab = sql_reports.region_category_crosstab(frame, [odd]).first().asDict()
+    assert crosstab["o_neil_x_5_sales"] == 100.0
+
+
 def test_pivot_refuses_too_many_columns(spark, lines):
     frame = lines(*[line(category=f"k{i}") for i in range(5)])
     before = spark.conf.get("spark.sql.pivotMaxValues")

@@ -3,6 +3,9 @@
 Several reports share a name but not a rule: margins come as a percentage or as a
 fraction, growth starts with null or with zero, an empty sum is null or zero. The
 variants live here side by side so that a report picks one by name.
+
+They take and return SQL text, which nests freely and reaches Spark as one expression;
+``named`` turns a set of them into columns.
 """
 
 from __future__ import annotations
@@ -11,56 +14,63 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def exact_sum(value: Column) -> Column:
+def sql_name(name: str) -> str:
+    """A column name as SQL text, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(**texts: str) -> list[Column]:
+    """SQL texts as columns called by the argument names."""
+    return [F.expr(f"{text} as {sql_name(name)}") for name, text in texts.items()]
+
+
+def exact_sum(value: str) -> str:
     """Sum of a money-like column that does not depend on row order.
 
     Money has at most four decimals, so whole units and ten-thousandths are summed
     as two longs: exact under any partitioning, no per-row decimal objects, and the
     running totals hold up to 9e18 units. Null when there is no value to sum.
     """
-    whole = F.floor(value)
-    fraction = F.rint((value - whole) * 10000.0).cast("bigint")
-    ten_thousandth = F.lit("0.0001").cast("decimal(4,4)")
-    total = F.sum(whole).cast("decimal(20,0)") + F.sum(fraction) * ten_thousandth
-    return total.cast("double")
+    whole = f"floor({value})"
+    fraction = f"cast(rint((({value}) - {whole}) * 10000D) as bigint)"
+    return f"cast(cast(sum({whole}) as decimal(20,0)) + sum({fraction}) * 0.0001BD as double)"
 
 
-def total(value: Column) -> Column:
+def total(value: str) -> str:
     """``exact_sum`` with the data-frame rule that an empty sum is zero."""
-    return F.coalesce(exact_sum(value), F.lit(0.0))
+    return f"coalesce({exact_sum(value)}, 0D)"
 
 
-def exact_mean(value: Column) -> Column:
+def exact_mean(value: str) -> str:
     """Mean of a money-like column from its exact sum; null when empty."""
-    return exact_sum(value) / F.nullif(F.count(value), F.lit(0))
+    return f"({exact_sum(value)} / nullif(count({value}), 0))"
 
 
-def ratio(numerator: Column, denominator: Column) -> Column:
+def ratio(numerator: str, denominator: str) -> str:
     """Quotient that is zero where it is undefined."""
-    return F.coalesce(numerator / F.nullif(denominator, F.lit(0)), F.lit(0.0))
+    return f"coalesce(({numerator}) / nullif({denominator}, 0), 0D)"
 
 
-def margin_fraction(profit: Column, sales: Column) -> Column:
+def margin_fraction(profit: str, sales: str) -> str:
     """Profit per unit of sales, zero where undefined."""
     return ratio(profit, sales)
 
 
-def margin_pct(profit: Column, sales: Column) -> Column:
+def margin_pct(profit: str, sales: str) -> str:
     """Profit as a percentage of sales, zero where undefined."""
-    quotient = profit / F.nullif(sales, F.lit(0)) * 100.0
-    return F.coalesce(quotient, F.lit(0.0))
+    return f"coalesce(({profit}) / nullif({sales}, 0) * 100D, 0D)"
 
 
-def sql_margin_pct(profit: Column, sales: Column) -> Column:
+def sql_margin_pct(profit: str, sales: str) -> str:
     """Percentage margin of the SQL reports: zero for zero sales, null for null sums."""
-    return F.when(sales == 0, F.lit(0.0)).otherwise(profit * 100.0 / F.nullif(sales, F.lit(0)))
+    return f"if(({sales}) = 0, 0D, ({profit}) * 100D / nullif({sales}, 0))"
 
 
-def change(current: Column, previous: Column) -> Column:
+def change(current: str, previous: str) -> str:
     """Fractional growth; null for a missing or zero previous value."""
-    return current / F.nullif(previous, F.lit(0)) - 1.0
+    return f"(({current}) / nullif({previous}, 0) - 1D)"
 
 
-def sql_change_pct(current: Column, previous: Column) -> Column:
+def sql_change_pct(current: str, previous: str) -> str:
     """Percentage growth of the SQL reports; null for a missing or zero previous value."""
-    return (current - previous) * 100.0 / F.nullif(previous, F.lit(0))
+    return f"((({current}) - ({previous})) * 100D / nullif({previous}, 0))"

@@ -1,4 +1,4 @@
-"""The two rounding rules reports use, defined on doubles.
+"""The two rounding rules reports use, defined on doubles, as SQL text.
 
 Both scale, round and unscale, so they look at the stored double. Spark's own
 ``round``/``bround`` look at its shortest decimal text instead and would lift
@@ -7,24 +7,18 @@ Both scale, round and unscale, so they look at the stored double. Spark's own
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def half_even(value: Column, digits: int) -> Column:
+def half_even(value: str, digits: int) -> str:
     """Round to ``digits`` places, ties to the even neighbour (data-frame reports)."""
-    scale = F.lit(float(10**digits))
-    return F.rint(value * scale) / scale
+    scale = f"{10**digits}D"
+    return f"(rint(({value}) * {scale}) / {scale})"
 
 
-def half_up(value: Column, digits: int) -> Column:
+def half_up(value: str, digits: int) -> str:
     """Round to ``digits`` places, ties away from zero (SQL reports)."""
-    scale = F.lit(float(10**digits))
-    size = F.abs(value) * scale
-    nearest = F.rint(size)
-    return F.signum(value) * F.when(size - nearest == 0.5, nearest + 1).otherwise(nearest) / scale
-
-
-def half_even_columns(digits: dict[str, int]) -> dict[str, Column]:
-    """A ``withColumns`` map that rounds each named column to its own places."""
-    return {name: half_even(F.col(name), places) for name, places in digits.items()}
+    scale = f"{10**digits}D"
+    size = f"abs({value}) * {scale}"
+    nearest = f"rint({size})"
+    return (
+        f"(signum({value}) * if({size} - {nearest} = 0.5D, {nearest} + 1D, {nearest}) / {scale})"
+    )

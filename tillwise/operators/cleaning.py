@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillwise.functions.measures import sql_name
 from tillwise.operators.derive import with_dates, with_features
 from tillwise.operators.median import exact_medians
 from tillwise.schema import REQUIRED, numeric_columns, require_columns, text_columns
@@ -17,7 +18,7 @@ UNKNOWN = "Unknown"
 
 def null_counts(df: DataFrame) -> DataFrame:
     """One row per column with its number of nulls, from one pass."""
-    counted = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
+    counted = df.agg(*[F.count_if(F.col(sql_name(c)).isNull()).alias(c) for c in df.columns])
     return counted.unpivot([], counted.columns, "column_name", "null_count")
 
 

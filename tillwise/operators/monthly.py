@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.functions.measures import exact_sum
+from tillwise.functions.measures import exact_sum, named
 from tillwise.operators.derive import parsed_date, parsed_number
 from tillwise.schema import REQUIRED, require_columns
 
@@ -48,7 +48,7 @@ def monthly_sales(lines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """
     usable = usable_sales(lines)
     totals = usable.groupBy(*keys, F.trunc("order_date", "month").alias("start")).agg(
-        exact_sum(F.col("sales")).alias("sales")
+        *named(sales=exact_sum("sales"))
     )
     after = F.lead("start").over(Window.partitionBy(*keys).orderBy("start"))
     until = F.coalesce(F.add_months(after, -1), F.col("start"))

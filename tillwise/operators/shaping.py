@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.functions.measures import exact_sum, margin_fraction, total
+from tillwise.functions.measures import exact_sum, margin_fraction, named, sql_name, total
 from tillwise.operators.keep import keep_small
 
 
@@ -18,18 +18,17 @@ def group_totals(
     sales: str = "total_sales",
     profit: str = "total_profit",
     orders: str | None = "order_count",
-    **more: Column,
+    **more: str,
 ) -> DataFrame:
     """Sales, profit and distinct orders per key; null keys form a group of their own.
 
     Counting distinct orders first groups by key and order, on the map side as well, so
     a key that holds a third of the lines is spread over all tasks by order.
     """
-    measures = [total(F.col("sales")).alias(sales), total(F.col("profit")).alias(profit)]
+    measures = {sales: total("sales"), profit: total("profit")}
     if orders:
-        measures.append(F.countDistinct("order_id").alias(orders))
-    measures += [column.alias(name) for name, column in more.items()]
-    return lines.groupBy(*keys).agg(*measures)
+        measures[orders] = "count(distinct order_id)"
+    return lines.groupBy(*keys).agg(*named(**measures, **more))
 
 
 def top_rows(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -56,11 +55,16 @@ def column_slug(text: str) -> str:
     return re.sub(r"[^0-9a-z]+", "_", text.lower()).strip("_")
 
 
+def text_literal(text: str) -> str:
+    """A string as a SQL literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def cell_totals(lines: DataFrame, key: str, on: str) -> DataFrame:
     """Sales and profit per (key, on): what every cross-tab is made of."""
-    return lines.groupBy(key, on).agg(
-        exact_sum(F.col("sales")).alias("sales"), exact_sum(F.col("profit")).alias("profit")
-    )
+    sums = named(sales=exact_sum("sales"), profit=exact_sum("profit"))
+    return lines.groupBy(key, on).agg(*sums)
 
 
 def conditional_totals(lines: DataFrame, key: str, on: str, values: Sequence[str]) -> DataFrame:
@@ -69,15 +73,14 @@ def conditional_totals(lines: DataFrame, key: str, on: str, values: Sequence[str
     The conditions are evaluated on cell totals, so a line updates two sums and not two
     for every listed value.
     """
-    measures = []
+    measures = {}
     for value in values:
-        match = F.col(on) == F.lit(value)
         for name in ("sales", "profit"):
-            part = F.when(match, F.col(name)).otherwise(F.lit(0.0))
-            measures.append(exact_sum(part).alias(f"{column_slug(value)}_{name}"))
-    measures.append(exact_sum(F.col("sales")).alias("total_sales"))
-    measures.append(exact_sum(F.col("profit")).alias("total_profit"))
-    return cell_totals(lines, key, on).groupBy(key).agg(*measures)
+            part = f"if({on} = {text_literal(value)}, {name}, 0D)"
+            measures[f"{column_slug(value)}_{name}"] = exact_sum(part)
+    measures["total_sales"] = exact_sum("sales")
+    measures["total_profit"] = exact_sum("profit")
+    return cell_totals(lines, key, on).groupBy(key).agg(*named(**measures))
 
 
 def distinct_values(cells: DataFrame, column: str) -> list[str]:
@@ -99,27 +102,17 @@ def sales_pivot(lines: DataFrame, key: str, on: str, total_label: str) -> DataFr
     """
     cells = keep_small(cell_totals(lines.where(F.col(key).isNotNull()), key, on))
     values = distinct_values(cells, on)
-    shown = F.col(on).isNotNull()
-    per_value = [
-        total(F.when(F.col(on) == F.lit(v), F.col("sales"))).alias(v) for v in values
-    ]
-    by_key = (
-        cells.groupBy(key)
-        .agg(
-            *per_value,
-            total(F.when(shown, F.col("sales"))).alias("total_sales"),
-            total(F.col("profit")).alias("total_profit"),
-            F.count_if(shown).alias("shown_cells"),
-        )
-        .where("shown_cells > 0")
-    )
-    sums = [*values, "total_sales", "total_profit"]
-    rolled = by_key.rollup(key).agg(
-        *[total(F.col(f"`{name}`")).alias(name) for name in sums],
-        F.grouping(key).alias("is_total"),
+    sums = {v: total(f"if({on} = {text_literal(v)}, sales, null)") for v in values}
+    sums["total_sales"] = total(f"if({on} is not null, sales, null)")
+    sums["total_profit"] = total("profit")
+    by_key = cells.groupBy(key).agg(*named(**sums, shown_cells=f"count({on})"))
+    rolled = (
+        by_key.where("shown_cells > 0")
+        .rollup(key)
+        .agg(*named(**{name: total(sql_name(name)) for name in sums}, is_total=f"grouping({key})"))
     )
     return rolled.select(
         F.when(F.col("is_total") == 1, F.lit(total_label)).otherwise(F.col(key)).alias(key),
-        *[F.col(f"`{name}`") for name in sums],
-        margin_fraction(F.col("total_profit"), F.col("total_sales")).alias("profit_margin"),
+        *map(sql_name, sums),
+        *named(profit_margin=margin_fraction("total_profit", "total_sales")),
     ).orderBy("is_total", key)

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.measures import change, exact_mean, margin_pct, ratio
-from tillwise.functions.rounding import half_even, half_even_columns
+from tillwise.functions.measures import change, exact_mean, margin_pct, named, ratio
+from tillwise.functions.rounding import half_even
 from tillwise.operators.derive import dated_lines
 from tillwise.operators.shaping import group_totals, previous
 from tillwise.schema import HEADERS, REQUIRED, require_columns
@@ -35,31 +35,29 @@ _TOTALS = {
 EXTRACT_HEADERS: dict[str, str] = {**HEADERS, **_TOTALS}
 
 
-def _margin(profit: str, sales: str):
-    return half_even(margin_pct(F.col(profit), F.col(sales)), 2)
+def _margin(profit: str, sales: str) -> str:
+    return half_even(margin_pct(profit, sales), 2)
+
+
+def _rounded(*names: str) -> dict[str, str]:
+    return {name: half_even(name, 2) for name in names}
 
 
 def executive_summary(lines: DataFrame) -> DataFrame:
     """Yearly totals with growth over the year before; the first year has none."""
     yearly = group_totals(dated_lines(lines, "year"), ["year"], orders="total_orders")
     yearly = yearly.withColumn("before", previous("total_sales", ["year"]))
-    return (
-        yearly.select(
-            "year",
-            "total_sales",
-            "total_profit",
-            "total_orders",
-            ratio(F.col("total_sales"), F.col("total_orders")).alias("avg_order_value"),
-            _margin("total_profit", "total_sales").alias("profit_margin_pct"),
-            half_even(change(F.col("total_sales"), F.col("before")) * 100, 2).alias(
-                "yoy_growth_pct"
-            ),
-        )
-        .withColumns(
-            half_even_columns({"total_sales": 2, "total_profit": 2, "avg_order_value": 2})
-        )
-        .orderBy("year")
-    )
+    growth = f"{change('total_sales', 'before')} * 100D"
+    return yearly.select(
+        "year",
+        *named(
+            **_rounded("total_sales", "total_profit"),
+            total_orders="total_orders",
+            avg_order_value=half_even(ratio("total_sales", "total_orders"), 2),
+            profit_margin_pct=_margin("total_profit", "total_sales"),
+            yoy_growth_pct=half_even(growth, 2),
+        ),
+    ).orderBy("year")
 
 
 def regional_performance(lines: DataFrame) -> DataFrame:
@@ -68,8 +66,13 @@ def regional_performance(lines: DataFrame) -> DataFrame:
         dated_lines(lines), keys, sales="sales", profit="profit", orders="orders"
     )
     return cells.select(
-        *keys, "sales", "profit", _margin("profit", "sales").alias("profit_margin_pct"), "orders"
-    ).withColumns(half_even_columns({"sales": 2, "profit": 2}))
+        *keys,
+        *named(
+            **_rounded("sales", "profit"),
+            profit_margin_pct=_margin("profit", "sales"),
+            orders="orders",
+        ),
+    )
 
 
 def customer_segments(lines: DataFrame) -> DataFrame:
@@ -78,19 +81,20 @@ def customer_segments(lines: DataFrame) -> DataFrame:
     customers = group_totals(
         dated_lines(lines),
         keys,
-        first_day=F.min("order_date"),
-        last_day=F.max("order_date"),
+        first_day="min(order_date)",
+        last_day="max(order_date)",
     )
     return customers.select(
         *keys,
-        "total_sales",
-        "total_profit",
-        "order_count",
-        ratio(F.col("total_sales"), F.col("order_count")).alias("avg_order_value"),
-        F.date_format("first_day", "yyyy-MM-dd").alias("first_order_date"),
-        F.date_format("last_day", "yyyy-MM-dd").alias("last_order_date"),
-        F.datediff("last_day", "first_day").alias("customer_lifetime_days"),
-    ).withColumns(half_even_columns({"total_sales": 2, "total_profit": 2, "avg_order_value": 2}))
+        *named(
+            **_rounded("total_sales", "total_profit"),
+            order_count="order_count",
+            avg_order_value=half_even(ratio("total_sales", "order_count"), 2),
+            first_order_date="date_format(first_day, 'yyyy-MM-dd')",
+            last_order_date="date_format(last_day, 'yyyy-MM-dd')",
+            customer_lifetime_days="datediff(last_day, first_day)",
+        ),
+    )
 
 
 def time_trends(lines: DataFrame) -> DataFrame:
@@ -104,29 +108,29 @@ def time_trends(lines: DataFrame) -> DataFrame:
         orders="orders",
     )
     months = months.withColumn("before", previous("sales", ["year", "month"], ["category"]))
-    growth = F.when(F.col("category").isNotNull(), change(F.col("sales"), F.col("before")) * 100)
-    return (
-        months.select(
-            *keys, "sales", "profit", "orders", half_even(growth, 2).alias("mom_growth_pct")
-        )
-        .withColumns(half_even_columns({"sales": 2, "profit": 2}))
-        .orderBy(F.asc_nulls_last("category"), "year", "month")
-    )
+    growth = f"if(category is null, null, {change('sales', 'before')} * 100D)"
+    return months.select(
+        *keys,
+        *named(
+            **_rounded("sales", "profit"),
+            orders="orders",
+            mom_growth_pct=half_even(growth, 2),
+        ),
+    ).orderBy(F.asc_nulls_last("category"), "year", "month")
 
 
 def product_performance(lines: DataFrame) -> DataFrame:
     keys = ["category", "sub_category", "product_name"]
-    products = group_totals(
-        dated_lines(lines), keys, avg_discount=exact_mean(F.col("discount"))
-    )
+    products = group_totals(dated_lines(lines), keys, avg_discount=exact_mean("discount"))
     return products.select(
         *keys,
-        "total_sales",
-        "total_profit",
-        _margin("total_profit", "total_sales").alias("profit_margin_pct"),
-        "order_count",
-        "avg_discount",
-    ).withColumns(half_even_columns({"total_sales": 2, "total_profit": 2, "avg_discount": 4}))
+        *named(
+            **_rounded("total_sales", "total_profit"),
+            profit_margin_pct=_margin("total_profit", "total_sales"),
+            order_count="order_count",
+            avg_discount=half_even("avg_discount", 4),
+        ),
+    )
 
 
 EXTRACTS: dict[str, Callable[[DataFrame], DataFrame]] = {

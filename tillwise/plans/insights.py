@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.measures import total
+from tillwise.functions.measures import named, total
 from tillwise.functions.tails import f_p_value, t_p_value
 from tillwise.operators.hypothesis import (
     between_squares,
@@ -54,7 +54,7 @@ def figures(lines: DataFrame, threshold: float = HIGH_DISCOUNT) -> DataFrame:
         F.count(margin).alias("n"),
         F.avg(margin).alias("mean"),
         F.var_samp(margin).alias("variance"),
-        total(sales).alias("revenue"),
+        *named(revenue=total("sales")),
         pair_count(discount, margin).alias("discount_n"),
         pearson(discount, margin).alias("discount_r"),
         pair_count(sales, profit).alias("profit_n"),

@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.measures import exact_sum, total
+from tillwise.functions.measures import exact_sum, named, total
 from tillwise.operators.shaping import top_rows
 
 
 def top_categories(lines: DataFrame, k: int = 5) -> DataFrame:
-    sums = lines.groupBy("category").agg(total(F.col("sales")).alias("total_sales"))
+    sums = lines.groupBy("category").agg(*named(total_sales=total("sales")))
     return top_rows(sums, k, F.desc("total_sales"), F.asc("category"))
 
 
 def top_states(lines: DataFrame, k: int = 5) -> DataFrame:
-    sums = lines.groupBy("state").agg(total(F.col("profit")).alias("total_profit"))
+    sums = lines.groupBy("state").agg(*named(total_profit=total("profit")))
     return top_rows(sums, k, F.desc("total_profit"), F.asc("state"))
 
 
 def final_summary(lines: DataFrame) -> DataFrame:
     """Rows, totals, the unweighted mean of line margins, and the dates covered."""
     return lines.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        exact_sum(F.col("sales")).alias("total_revenue"),
-        exact_sum(F.col("profit")).alias("total_profit"),
-        F.avg("profit_margin_pct").alias("average_profit_margin"),
-        F.date_format(F.min("order_date"), "yyyy-MM-dd").alias("first_order_date"),
-        F.date_format(F.max("order_date"), "yyyy-MM-dd").alias("last_order_date"),
+        *named(
+            total_rows="count(1)",
+            total_revenue=exact_sum("sales"),
+            total_profit=exact_sum("profit"),
+            average_profit_margin="avg(profit_margin_pct)",
+            first_order_date="date_format(min(order_date), 'yyyy-MM-dd')",
+            last_order_date="date_format(max(order_date), 'yyyy-MM-dd')",
+        )
     )
 
 

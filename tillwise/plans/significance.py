@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.measures import total
+from tillwise.functions.measures import named, total
 from tillwise.operators.derive import dated_lines
 from tillwise.operators.hypothesis import (
     anova,
@@ -96,7 +96,7 @@ def month_label(month: Column) -> Column:
 
 def revenue_seasonality(lines: DataFrame) -> DataFrame:
     monthly = statistic_lines(lines).groupBy("year", "month").agg(
-        total(F.col("sales")).alias("revenue")
+        *named(revenue=total("sales"))
     )
     return monthly.withColumn("month_label", month_label(F.col("month"))).orderBy("year", "month")
 

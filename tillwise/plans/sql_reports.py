@@ -11,36 +11,43 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.measures import exact_mean, exact_sum, sql_change_pct, sql_margin_pct
+from tillwise.functions.measures import (
+    exact_mean,
+    exact_sum,
+    named,
+    sql_change_pct,
+    sql_margin_pct,
+)
 from tillwise.functions.rounding import half_up
 from tillwise.operators.shaping import conditional_totals, previous, top_and_bottom, top_rows
 
 CATEGORIES = ("Furniture", "Office Supplies", "Technology")
 
 
-def _money(name: str) -> Column:
-    return half_up(F.col(name), 2)
+def _sums(sales: str, profit: str) -> list[Column]:
+    return named(**{sales: exact_sum("sales"), profit: exact_sum("profit")})
 
 
-def _sums(sales: str, profit: str) -> list[Column]:
-    return [exact_sum(F.col("sales")).alias(sales), exact_sum(F.col("profit")).alias(profit)]
+def _margin(profit: str, sales: str) -> str:
+    return half_up(sql_margin_pct(profit, sales), 2)
 
 
-def _margin(profit: str, sales: str) -> Column:
-    return half_up(sql_margin_pct(F.col(profit), F.col(sales)), 2)
+def _order_value(sales: str, orders: str) -> str:
+    return half_up(f"{sales} / nullif({orders}, 0)", 2)
 
 
 def yearly_kpis(lines: DataFrame) -> DataFrame:
     yearly = lines.groupBy("year").agg(
         *_sums("revenue", "profit_sum"), F.countDistinct("order_id").alias("total_orders")
     )
-    order_value = F.col("revenue") / F.nullif(F.col("total_orders"), F.lit(0))
     return yearly.select(
         "year",
-        _money("revenue").alias("total_revenue"),
-        _money("profit_sum").alias("total_profit"),
-        "total_orders",
-        half_up(order_value, 2).alias("average_order_value"),
+        *named(
+            total_revenue=half_up("revenue", 2),
+            total_profit=half_up("profit_sum", 2),
+            total_orders="total_orders",
+            average_order_value=_order_value("revenue", "total_orders"),
+        ),
     ).orderBy(F.asc_nulls_first("year"))
 
 
@@ -49,9 +56,11 @@ def top_customers(lines: DataFrame, k: int = 10) -> DataFrame:
     report = customers.select(
         "customer_id",
         "customer_name",
-        _money("revenue").alias("total_revenue"),
-        _money("profit_sum").alias("total_profit"),
-        _margin("profit_sum", "revenue").alias("profit_margin_pct"),
+        *named(
+            total_revenue=half_up("revenue", 2),
+            total_profit=half_up("profit_sum", 2),
+            profit_margin_pct=_margin("profit_sum", "revenue"),
+        ),
     )
     return top_rows(
         report, k, F.desc("total_revenue"), F.desc("total_profit"), F.asc("customer_id")
@@ -62,22 +71,24 @@ def region_category_crosstab(
     lines: DataFrame, categories: Sequence[str] = CATEGORIES
 ) -> DataFrame:
     wide = conditional_totals(lines, "region", "category", categories)
-    rounded = wide.withColumns({c: half_up(F.col(c), 2) for c in wide.columns if c != "region"})
-    return rounded.orderBy(F.desc("total_sales"), F.asc("region"))
+    sums = {name: half_up(name, 2) for name in wide.columns if name != "region"}
+    return wide.select("region", *named(**sums)).orderBy(F.desc("total_sales"), F.asc("region"))
 
 
 def monthly_revenue_growth(lines: DataFrame) -> DataFrame:
     """Growth within a year: each January starts afresh, without a previous month."""
-    monthly = lines.groupBy("year", "month").agg(exact_sum(F.col("sales")).alias("revenue"))
+    monthly = lines.groupBy("year", "month").agg(*named(revenue=exact_sum("sales")))
     linked = monthly.withColumn("before", previous("revenue", ["month"], ["year"]))
     # the current month enters the ratio rounded, the previous one does not
-    growth = sql_change_pct(_money("revenue"), F.col("before"))
+    growth = sql_change_pct(half_up("revenue", 2), "before")
     return linked.select(
         "year",
         "month",
-        _money("revenue").alias("monthly_revenue"),
-        _money("before").alias("previous_month_revenue"),
-        half_up(growth, 2).alias("revenue_growth_pct"),
+        *named(
+            monthly_revenue=half_up("revenue", 2),
+            previous_month_revenue=half_up("before", 2),
+            revenue_growth_pct=half_up(growth, 2),
+        ),
     ).orderBy("year", "month")
 
 
@@ -85,14 +96,16 @@ def negative_margin_products(lines: DataFrame) -> DataFrame:
     """Products losing money; a loss that rounds to zero does not count."""
     keys = ["product_id", "product_name", "category"]
     products = lines.groupBy(*keys).agg(
-        *_sums("sales_sum", "profit_sum"), exact_mean(F.col("discount")).alias("avg_discount")
+        *_sums("sales_sum", "profit_sum"), *named(avg_discount=exact_mean("discount"))
     )
     report = products.select(
         *keys,
-        _money("sales_sum").alias("total_sales"),
-        _money("profit_sum").alias("total_profit"),
-        half_up(F.col("avg_discount") * 100.0, 2).alias("avg_discount_pct"),
-        _margin("profit_sum", "sales_sum").alias("profit_margin_pct"),
+        *named(
+            total_sales=half_up("sales_sum", 2),
+            total_profit=half_up("profit_sum", 2),
+            avg_discount_pct=half_up("avg_discount * 100D", 2),
+            profit_margin_pct=_margin("profit_sum", "sales_sum"),
+        ),
     )
     return report.where("profit_margin_pct < 0").orderBy(
         F.asc("profit_margin_pct"), F.desc("total_sales"), F.asc("product_id")
@@ -110,13 +123,14 @@ def segment_analysis(lines: DataFrame) -> DataFrame:
         F.countDistinct("order_id").alias("order_frequency"),
         F.countDistinct("customer_id").alias("unique_customers"),
     )
-    order_value = F.col("revenue") / F.nullif(F.col("order_frequency"), F.lit(0))
     return segments.select(
         "segment",
         "order_frequency",
-        _money("revenue").alias("total_revenue"),
-        _money("profit_sum").alias("total_profit"),
-        half_up(order_value, 2).alias("average_order_value"),
+        *named(
+            total_revenue=half_up("revenue", 2),
+            total_profit=half_up("profit_sum", 2),
+            average_order_value=_order_value("revenue", "order_frequency"),
+        ),
         "unique_customers",
     ).orderBy(F.desc("total_revenue"), F.asc("segment"))
 
@@ -126,9 +140,11 @@ def state_profit_margin_rank(lines: DataFrame, k: int = 5) -> DataFrame:
     states = lines.groupBy("state").agg(*_sums("sales_sum", "profit_sum"))
     report = states.select(
         "state",
-        _money("sales_sum").alias("total_sales"),
-        _money("profit_sum").alias("total_profit"),
-        _margin("profit_sum", "sales_sum").alias("profit_margin_pct"),
+        *named(
+            total_sales=half_up("sales_sum", 2),
+            total_profit=half_up("profit_sum", 2),
+            profit_margin_pct=_margin("profit_sum", "sales_sum"),
+        ),
     )
     ranked = top_and_bottom(
         report,
@@ -149,11 +165,13 @@ def ship_mode_impact(lines: DataFrame) -> DataFrame:
     )
     return modes.select(
         "ship_mode",
-        half_up(F.col("avg_days"), 2).alias("average_delivery_days"),
-        "total_orders",
-        _money("revenue").alias("total_revenue"),
-        _money("profit_sum").alias("total_profit"),
-        _margin("profit_sum", "revenue").alias("profit_margin_pct"),
+        *named(
+            average_delivery_days=half_up("avg_days", 2),
+            total_orders="total_orders",
+            total_revenue=half_up("revenue", 2),
+            total_profit=half_up("profit_sum", 2),
+            profit_margin_pct=_margin("profit_sum", "revenue"),
+        ),
     ).orderBy(F.desc("total_revenue"), F.asc("ship_mode"))
 
 

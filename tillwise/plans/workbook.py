@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.measures import change, margin_fraction, ratio, total
+from tillwise.functions.measures import change, margin_fraction, named, ratio, total
 from tillwise.operators.derive import dated_lines
 from tillwise.operators.keep import keep_small
 from tillwise.operators.shaping import group_totals, previous, sales_pivot, top_rows
@@ -26,15 +26,16 @@ def workbook_yearly_summary(lines: DataFrame) -> DataFrame:
         dated_lines(lines, "year"), ["year"], sales="total_revenue", orders="total_orders"
     )
     yearly = yearly.withColumn("before", previous("total_revenue", ["year"]))
-    growth = change(F.col("total_revenue"), F.col("before"))
     return yearly.select(
         "year",
         "total_revenue",
         "total_profit",
         "total_orders",
-        ratio(F.col("total_revenue"), F.col("total_orders")).alias("avg_order_value"),
-        margin_fraction(F.col("total_profit"), F.col("total_revenue")).alias("profit_margin"),
-        F.coalesce(growth, F.lit(0.0)).alias("yoy_growth"),
+        *named(
+            avg_order_value=ratio("total_revenue", "total_orders"),
+            profit_margin=margin_fraction("total_profit", "total_revenue"),
+            yoy_growth=f"coalesce({change('total_revenue', 'before')}, 0D)",
+        ),
     ).orderBy("year")
 
 
@@ -64,13 +65,12 @@ def workbook_top_customers(lines: DataFrame, k: int = 20) -> DataFrame:
         .groupBy(F.col("customer_id").alias("id"))
         .agg(F.min("segment").alias("segment_lookup"))
     )
-    value = ratio(F.col("total_revenue"), F.col("order_count"))
     return (
         segments.join(F.broadcast(best), is_winner, "inner")
         .orderBy(*order)
         .select(
             "customer_id", "customer_name", "segment_lookup", "total_revenue", "total_profit",
-            "order_count", value.alias("avg_order_value"),
+            "order_count", *named(avg_order_value=ratio("total_revenue", "order_count")),
         )
     )
 
@@ -78,23 +78,22 @@ def workbook_top_customers(lines: DataFrame, k: int = 20) -> DataFrame:
 def workbook_product_performance(lines: DataFrame) -> DataFrame:
     keys = ["category", "sub_category", "product_name"]
     products = group_totals(dated_lines(lines), keys, sales="sales", profit="profit")
-    margin = margin_fraction(F.col("profit"), F.col("sales"))
+    margin = F.expr(margin_fraction("profit", "sales"))
     return products.withColumn("margin", margin).orderBy(F.desc("margin"), *keys)
 
 
 def workbook_kpis(lines: DataFrame) -> DataFrame:
     """Four headline figures as (metric, value) rows, from one pass."""
     overall = dated_lines(lines).agg(
-        total(F.col("sales")).alias("revenue"),
-        total(F.col("profit")).alias("profit"),
-        F.countDistinct("order_id").alias("orders"),
-    )
-    figures = overall.select(
-        F.col("revenue").alias("Total Revenue"),
-        F.col("profit").alias("Total Profit"),
-        F.col("orders").cast("double").alias("Total Orders"),
-        ratio(F.col("revenue"), F.col("orders")).alias("Avg Order Value"),
+        *named(revenue=total("sales"), profit=total("profit"), orders="count(distinct order_id)")
     )
+    texts = {
+        "Total Revenue": "revenue",
+        "Total Profit": "profit",
+        "Total Orders": "cast(orders as double)",
+        "Avg Order Value": ratio("revenue", "orders"),
+    }
+    figures = overall.select(*named(**texts))
     return figures.unpivot([], figures.columns, "metric", "value")
 
 

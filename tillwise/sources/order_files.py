@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillwise.functions.measures import sql_name
 from tillwise.schema import (
     NA_TOKENS,
     NUMBER_TYPES,
-    quoted,
     require_columns,
     snake_names,
     with_headers,
@@ -19,7 +19,7 @@ from tillwise.schema import (
 
 
 def _cell(name: str, types: Mapping[str, T.DataType], tolerant: bool) -> Column:
-    text = quoted(name)
+    text = F.col(sql_name(name))
     present = F.when(~F.trim(text).isin(*NA_TOKENS), text)
     if name not in types:
         return present.alias(name)
