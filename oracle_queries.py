@@ -588,7 +588,8 @@ def oracle_sql() -> dict[str, str]:
     SELECT {keyed}, 'held_out' AS phase, {shown}, round(sales, 4) AS actual_sales
     FROM counted WHERE from_end <= 6 AND length > 18
     UNION ALL
-    SELECT {keyed}, 'future', strftime(last_day(CAST(final + to_months(CAST(k AS INTEGER)) AS DATE)), '%Y-%m-%d'), NULL
+    SELECT {keyed}, 'future',
+           strftime(last_day(CAST(final + to_months(CAST(k AS INTEGER)) AS DATE)), '%Y-%m-%d'), NULL
     FROM ends, range(1, 7) AS steps(k)""",
         dense(keyed),
     )

@@ -104,8 +104,9 @@ def test_missing_columns_and_files(spark, tmp_path):
 
 def test_clean_table_is_partitioned_and_pruned(spark, raw_file, tmp_path):
     table = str(tmp_path / "clean")
-    clean = clean_files(spark, raw_file, table, str(tmp_path / "clean_csv"))
+    clean = clean_files(spark, raw_file, table, csv_copy=str(tmp_path / "clean_csv"))
     assert sorted(p.name for p in Path(table).glob("year=*")) == ["year=2019", "year=2020", "year=2021"]
+    assert spark.read.parquet(table + "_raw").count() == 63
     # one duplicate and one line without a date are gone, the unknown sale is filled
     assert clean.count() == 61
     assert clean.where("sales is null").count() == 0
