@@ -102,7 +102,9 @@ def order_lines(
     No join carries a broadcast hint: Catalyst broadcasts a table when its size allows.
     Customer, nation and region are attached to orders first, so that where the tables
     are too big to broadcast the lines are shuffled once for the whole branch and not
-    once per table; adaptive execution splits the partitions of a hot order or part.
+    once per table. Orders come last: lines that are then grouped by order, as every count of
+    distinct orders does, are already in place. Adaptive execution splits the partitions of a
+    hot order or part.
     """
     wanted = list(columns)
     unknown = sorted(set(wanted) - set(COLUMN_TABLE))
@@ -121,12 +123,11 @@ def order_lines(
             return child
         return child.join(read(name), F.col(key) == F.col(parent_key), "left")
 
-    lines = read("lineitem")
+    lines = attach(read("lineitem"), "part", "l_partkey", "p_partkey")
+    lines = attach(lines, "supplier", "l_suppkey", "s_suppkey")
     if "orders" in tables:
         orders = attach(read("orders"), "customer", "o_custkey", "c_custkey")
         orders = attach(orders, "nation", "c_nationkey", "n_nationkey")
         orders = attach(orders, "region", "n_regionkey", "r_regionkey")
         lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    lines = attach(lines, "part", "l_partkey", "p_partkey")
-    lines = attach(lines, "supplier", "l_suppkey", "s_suppkey")
     return lines.selectExpr(*[f"{EXPRESSIONS[name]} as {name}" for name in wanted])
