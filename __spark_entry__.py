@@ -133,7 +133,25 @@ def _insight_figures(lines: DataFrame) -> DataFrame:
     return insights.business_insights(lines, THRESHOLD).drop("message")
 
 
+def _corpus():
+    """The module of the corpus operators' queries, or None where that subpackage is left out."""
+    try:
+        import corpus_pipeline  # noqa: F401
+        from tillwise.llm import queries as corpus
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "tillwise.llm", "tillwise.llm.queries"):
+            raise
+        return None
+    return corpus
+
+
 def queries() -> dict[str, Query]:
+    corpus = _corpus()
+    return core_queries() | (corpus.queries() if corpus else {})
+
+
+def core_queries() -> dict[str, Query]:
+    """The queries besides those of the corpus operators."""
     order = ("order_id", "order_date", "sales", "profit")
     customer = ("customer_id", "customer_name", "segment")
     product = ("category", "sub_category", "product_name")
@@ -305,7 +323,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.oracle_sql()
+    corpus = _corpus()
+    return oracle_queries.oracle_sql() | (corpus.oracle_sql() if corpus else {})
 
 
 def entry(spark: SparkSession) -> DataFrame:

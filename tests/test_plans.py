@@ -98,7 +98,7 @@ def test_distinct_orders_are_spread_before_they_are_counted(spark):
 
 
 def test_nothing_is_crossed(spark):
-    for name, query in registry.queries().items():
+    for name, query in registry.core_queries().items():
         if name in ("cleaned_sales", "cleaning_summary", "median_filled_numbers", "tolerant_dates"):
             continue
         text = plan(query(spark, SMALL))
@@ -108,10 +108,10 @@ def test_nothing_is_crossed(spark):
 
 def test_results_do_not_depend_on_broadcasts(spark, conf):
     names = ["yearly_kpis", "regional_performance", "state_profit_margin_rank", "segment_analysis"]
-    before = {n: registry.queries()[n](spark, SMALL).collect() for n in names}
+    before = {n: registry.core_queries()[n](spark, SMALL).collect() for n in names}
     conf(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
     for name in names:
-        result = registry.queries()[name](spark, SMALL)
+        result = registry.core_queries()[name](spark, SMALL)
         text = plan(result, executed=True)
         assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
         assert sorted(map(str, result.collect())) == sorted(map(str, before[name]))
