@@ -14,11 +14,11 @@ n-grams), not estimated:
 * Joined pairs are cut by a parity sketch: each n-gram flips one bit, so the Hamming distance of
   two sketches can't be above the symmetric difference. What is left is verified on the sets.
 
-Classes that share a key are not paired with each other: each is first joined with the smallest
-of the key, and the verified links are merged to components. Only keys whose classes still lie in
-different components are looked at again, each class against the first of another component, round
-by round, until every pair that shares a key was verified or lies in one component. So no link
-between components is lost, and no key emits all its pairs at once.
+Classes that share a key are not paired with each other: each is first joined with one of the key,
+the one that shares most keys, and the verified links are merged to components. Only keys whose
+classes still lie in different components are looked at again: their classes outside the largest
+component are compared with all others by sketches, block by block, and what passes is verified. So
+no link between components is lost, and no key emits all its pairs.
 
 Defined results: a document with fewer than n words is one sequence; one without words (or null)
 has the empty set and links with nothing. Rows are told apart by doc_id and text, so rows that
@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm import tokens
@@ -42,8 +42,10 @@ from tillwise.llm.filters import Filter, filter_of
 
 SMALL_PART = 2
 SKETCH_BITS = 16  # as a power of two, at most
-#: So many more classes of an unresolved key are joined with all its others in each round.
-PIVOT_GROWTH = 8
+#: Classes of a key that lie outside its largest component are compared with all in such blocks.
+FAR_BLOCK, ALL_BLOCK = 8_000, 32_000
+#: Pairs compared at a time.
+COMPARED = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -216,7 +218,7 @@ def part_keys(documents: DataFrame, join: Join, wanted: Filter | None = None) ->
 
 
 def candidate_sets(documents: DataFrame, join: Join, wanted: Filter) -> DataFrame:
-    """(set_hash, grams, sketch), once for each set that ``wanted`` may hold."""
+    """(set_hash, grams, sketch, size), once for each set that ``wanted`` may hold."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task; copies that other tasks meet go below
@@ -234,12 +236,13 @@ def candidate_sets(documents: DataFrame, join: Join, wanted: Filter) -> DataFram
                         pa.array(prints[held]),
                         pa.array([np.sort(s).tobytes() for s in sets], pa.binary()),
                         pa.array(_sketches(grams, bounds), pa.binary()),
+                        pa.array(np.diff(bounds)),
                     ],
-                    ["set_hash", "grams", "sketch"],
+                    ["set_hash", "grams", "sketch", "size"],
                 )
 
-    found = _slim(documents).mapInArrow(of, "set_hash long, grams binary, sketch binary")
-    return found.groupBy("set_hash").agg(F.first("grams").alias("grams"), F.first("sketch").alias("sketch"))
+    found = _slim(documents).mapInArrow(of, "set_hash long, grams binary, sketch binary, size long")
+    return found.groupBy("set_hash").agg(*[F.first(c).alias(c) for c in ("grams", "sketch", "size")])
 
 
 def _linked(join: Join):
@@ -299,26 +302,85 @@ def linked_sets(documents: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]
     pairs = keyed.join(pivots, "key").select(F.col("set_hash").alias("a"), F.col("pivot.set_hash").alias("b"))
     all_links = keep(links(pairs.where("a <> b").distinct(), sets, join))
     found = connected(all_links)
-    used = 1
-    while True:
-        # Keys that lie in several components, less the classes already joined with all others.
-        left = _component_of(keyed, found)
-        open_keys = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        left = left.join(open_keys.select("key"), "key")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("order", "set_hash"))
-        left = keep(left.withColumn("rank", rank))
-        if not left.where(F.col("rank") > used + 1).limit(1).count():
-            break
-        until = used * (PIVOT_GROWTH + 1)
-        pivots = left.where(F.col("rank").between(used + 1, until)).select(
-            "key", F.col("set_hash").alias("b"), F.col("rank").alias("pivot_rank"), F.col("component").alias("other")
-        )
-        pairs = left.join(pivots, "key").where("rank > pivot_rank AND component <> other")
-        pairs = pairs.select(F.greatest("set_hash", "b").alias("a"), F.least("set_hash", "b").alias("b")).distinct()
-        more = keep(links(pairs, sets, join))
-        all_links, found = keep(all_links.union(more)), connected(all_links.union(more))
-        used = until
-    return all_links, found
+    pairs = keep(_across(keyed, found, sets.select("set_hash", "sketch", "size"), join))
+    all_links = all_links.union(links(pairs, sets, join))
+    return all_links, connected(all_links)
+
+
+def _across(keyed: DataFrame, found: DataFrame, sketches: DataFrame, join: Join) -> DataFrame:
+    """Pairs (a, b) that share a key, lie in different components so far and pass the sketches.
+
+    Of a key's classes, those outside its largest component are compared with all, in blocks: a row
+    holds at most a block of the ones and one of the others, and the pairs of a row are compared by
+    their sketches in numpy, so pairs that fail never become rows.
+    """
+    left = _component_of(keyed.select("key", "set_hash"), found)
+    sizes = left.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(
+        F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("components")
+    ).where("components > 1")
+    left = left.join(largest, "key").join(sketches, "set_hash")
+    left = left.withColumn("far", F.col("component") != F.col("top.component"))
+    spread = F.xxhash64("set_hash", "key")
+    far_blocks = F.ceil((F.col("all") - F.col("top.n")) / FAR_BLOCK)
+    all_blocks = F.ceil(F.col("all") / ALL_BLOCK)
+
+    def every(blocks: Column) -> Column:
+        return F.sequence(F.lit(0).cast("long"), blocks - 1)
+
+    member = F.struct("set_hash", "component", "sketch", "size")
+    ones = left.where("far").select(
+        "key", F.pmod(spread, far_blocks).alias("far_block"), F.explode(every(all_blocks)).alias("all_block"),
+        F.lit(True).alias("far"), member.alias("member"),
+    )
+    others = left.select(
+        "key", F.explode(every(far_blocks)).alias("far_block"), F.pmod(spread, all_blocks).alias("all_block"),
+        F.lit(False).alias("far"), member.alias("member"),
+    )
+    blocks = ones.union(others).groupBy("key", "far_block", "all_block").agg(
+        F.collect_list(F.when(F.col("far"), F.col("member"))).alias("ones"),
+        F.collect_list(F.when(~F.col("far"), F.col("member"))).alias("others"),
+    )
+    return blocks.select("ones", "others").mapInArrow(_near(join), "a long, b long").distinct()
+
+
+def _folded(sketches: list[bytes], length: int) -> np.ndarray:
+    """Sketches at one length, a line each."""
+    out = np.zeros((len(sketches), length), np.uint8)
+    for line, raw in zip(out, sketches):
+        one = np.frombuffer(raw, np.uint8)
+        while len(one) > length:
+            one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+        line[:] = one
+    return out.view(np.uint64)
+
+
+def _near(join: Join):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+            for ones, others in zip(batch["ones"], batch["others"]):
+                sides = []
+                for side in (ones.values, others.values):
+                    sides.append([side.field(n) for n in ("set_hash", "component", "size")] + [side.field("sketch").to_pylist()])
+                length = min(len(x) for s in sides for x in s[3])
+                (id_a, part_a, size_a, low_a), (id_b, part_b, size_b, low_b) = (
+                    [*(c.to_numpy(zero_copy_only=False) for c in s[:3]), _folded(s[3], length)] for s in sides
+                )
+                step = max(1, COMPARED // len(id_b))
+                for i in range(0, len(id_a), step):
+                    j = slice(i, i + step)
+                    apart = np.zeros((len(id_a[j]), len(id_b)), np.int32)
+                    for w in range(low_a.shape[1]):
+                        apart += np.bitwise_count(low_a[j, w][:, None] ^ low_b[:, w][None, :])
+                    both = size_a[j][:, None] + size_b[None, :]
+                    x, y = np.nonzero((apart <= join.apart(both)) & (part_a[j][:, None] != part_b[None, :]))
+                    pair = np.stack([id_a[j][x], id_b[y]], 1)
+                    found.append(np.sort(pair, axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["a", "b"])
+
+    return of
 
 
 def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
