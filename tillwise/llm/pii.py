@@ -192,6 +192,8 @@ def fit(documents: DataFrame, fit_texts: int = FIT_TEXTS, fit_candidates: int =
     sample = telling.where(key <= bound).mapInArrow(of, "x binary, y int").groupBy("x", "y").count()
     # Candidates with equal features count once, so copies don't crowd others out.
     rows = sample.orderBy(F.xxhash64("x"), "x", "y").limit(fit_candidates).toPandas()
+    if rows.empty:
+        return Detector(None, 1.0, 0.0, (2.0,) * len(GENERATORS))
     x = np.array([np.frombuffer(b, np.uint8) for b in rows.x], np.int64).reshape(len(rows), -1)
     y = rows.y.to_numpy().astype(float)
     unseen = np.array([b[1] * 31 + sum(b) for b in rows.x], np.int64) % 4 == 0

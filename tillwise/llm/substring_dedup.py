@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm import tokens
-from tillwise.llm.common import keep, text_key
+from tillwise.llm.common import keep, store, text_key
 from tillwise.llm.filters import Filter, filter_of
 
 WINDOW, RUN = 20, 6
@@ -196,7 +196,7 @@ def parsed(documents: DataFrame, sequences: DataFrame) -> DataFrame:
     whole = sequences.join(first, ["sequence", "check"]).where("doc_id = first_id")
     firsts = filter_of(whole.where(f"n_words >= {WINDOW}"), "row")
     repeated = filter_of(keep(repeated_anchors(documents, firsts)), "anchor")
-    asked = keep(phrases(documents, firsts, repeated))
+    asked = store(phrases(documents, firsts, repeated))
     index = asked.where("NOT again").groupBy("hash", "check").agg(F.min("doc_id").alias("reference"))
     earlier = asked.where("NOT again").join(index, ["hash", "check"]).where("reference < doc_id")
     own = asked.where("again").withColumn("reference", F.col("doc_id"))
