@@ -95,8 +95,8 @@ def raw_lines(body: str, *ctes: str) -> str:
 
 
 def money(column: str) -> str:
-    """Order-independent sum of a column with at most four decimals."""
-    return f"CAST(sum(CAST({column} AS DECIMAL(18,4))) AS DOUBLE)"
+    """Sum that does not depend on row order, to eight decimals."""
+    return f"CAST(sum(CAST({column} AS DECIMAL(28,8))) AS DOUBLE)"
 
 
 S, P = money("sales"), money("profit")

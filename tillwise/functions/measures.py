@@ -24,16 +24,29 @@ def named(**texts: str) -> list[Column]:
     return [F.expr(f"{text} as {sql_name(name)}") for name, text in texts.items()]
 
 
+def known(value: str) -> str:
+    """A number as a double, with NaN as a missing one."""
+    return f"nullif(cast({value} as double), double('NaN'))"
+
+
 def exact_sum(value: str) -> str:
     """Sum of a money-like column that does not depend on row order.
 
-    Money has at most four decimals, so whole units and ten-thousandths are summed
-    as two longs: exact under any partitioning, no per-row decimal objects, and the
-    running totals hold up to 9e18 units. Null when there is no value to sum.
+    A value is cut into whole units, ten-thousandths and 10^-12ths of a unit, each summed as a
+    long: exact under any partitioning, and without a decimal object for each row. What is left
+    of a value after four decimals counts unless it is no more than a double's own rounding of
+    that value. Null when there is no value to sum; NaN is no value.
     """
+    value = known(value)
     whole = f"floor({value})"
-    fraction = f"cast(rint((({value}) - {whole}) * 10000D) as bigint)"
-    return f"cast(cast(sum({whole}) as decimal(20,0)) + sum({fraction}) * 0.0001BD as double)"
+    scaled = f"(({value}) - {whole}) * 10000D"
+    rest = f"({scaled} - rint({scaled}))"
+    told = f"if(abs({rest}) > abs({value}) * 4.5e-12D, {rest}, 0D)"
+    return (
+        f"cast(cast(sum({whole}) as decimal(20,0))"
+        f" + sum(cast(rint({scaled}) as bigint)) * 0.0001BD"
+        f" + sum(cast(rint({told} * 1e8D) as bigint)) * 0.000000000001BD as double)"
+    )
 
 
 def total(value: str) -> str:
@@ -43,7 +56,7 @@ def total(value: str) -> str:
 
 def exact_mean(value: str) -> str:
     """Mean of a money-like column from its exact sum; null when empty."""
-    return f"({exact_sum(value)} / nullif(count({value}), 0))"
+    return f"({exact_sum(value)} / nullif(count({known(value)}), 0))"
 
 
 def ratio(numerator: str, denominator: str) -> str:

@@ -12,9 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Beyond this many degrees of freedom both distributions equal their limits to
-# about one part in 1e7, while log-gamma differences start to lose digits.
-_MAX_DF = 1.0e8
+# Beyond this many degrees of freedom log-gamma differences lose digits, and the expansion of the
+# incomplete beta function for one large parameter, whose error falls with its square, is exact.
+_LARGE_DF = 1.0e6
 
 
 def _log_beta(a: float, b: float) -> float:
@@ -61,13 +61,42 @@ def incomplete_beta(x: float, complement: float, a: float, b: float) -> float:
     return max(0.0, 1.0 - front * _beta_fraction(complement, b, a) / b)
 
 
+def gamma_upper(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma function, by its series or its continued fraction."""
+    if x <= 0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1.0:
+        term = total = 1.0 / a
+        n = a
+        while abs(term) > abs(total) * 1e-17:
+            n += 1.0
+            term *= x / n
+            total += term
+        return max(0.0, 1.0 - front * total)
+    # Lentz's method for the fraction with terms x + 2k + 1 - a and -k (k - a).
+    b = x + 1.0 - a
+    c, d = 1e300, 1.0 / b
+    value, k, step = d, 0.0, 0.0
+    while abs(step - 1.0) > 1e-16 * 4:
+        k += 1.0
+        b += 2.0
+        part = -k * (k - a)
+        d = 1.0 / (b + part * d or 1e-300)
+        c = b + part / c or 1e-300
+        step = c * d
+        value *= step
+    return front * value
+
+
 def student_t_two_sided(t: float | None, df: float | None) -> float | None:
     if t is None or df is None or math.isnan(t) or math.isnan(df) or df <= 0:
         return None
     if math.isinf(t):
         return 0.0
-    df = min(df, _MAX_DF)
     square = t * t
+    if df > _LARGE_DF:
+        return math.erfc(math.sqrt((df / 2.0 - 0.25) * math.log1p(square / df)))
     return incomplete_beta(df / (df + square), square / (df + square), df / 2.0, 0.5)
 
 
@@ -80,8 +109,10 @@ def f_upper(f: float | None, d1: float | None, d2: float | None) -> float | None
         return 1.0
     if math.isinf(f):
         return 0.0
-    d1, d2 = min(d1, _MAX_DF), min(d2, _MAX_DF)
     scaled = d1 * f
+    if d2 > _LARGE_DF and d1 < d2 * 1e-3:
+        half = d1 / 2.0
+        return gamma_upper(half, (d2 / 2.0 + (half - 1.0) / 2.0) * math.log1p(scaled / d2))
     return incomplete_beta(d2 / (d2 + scaled), scaled / (d2 + scaled), d2 / 2.0, d1 / 2.0)
 
 

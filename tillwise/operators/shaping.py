@@ -74,9 +74,13 @@ def conditional_totals(lines: DataFrame, key: str, on: str, values: Sequence[str
     for every listed value.
     """
     measures = {}
+    slugs = [column_slug(value) for value in values]
+    if len({*slugs, "total"}) <= len(slugs):
+        raise ValueError(f"values of {on} that give the same column names: {sorted(slugs)}")
+    on_name = sql_name(on)
     for value in values:
         for name in ("sales", "profit"):
-            part = f"if({on} = {text_literal(value)}, {name}, 0D)"
+            part = f"if({on_name} = {text_literal(value)}, {name}, 0D)"
             measures[f"{column_slug(value)}_{name}"] = exact_sum(part)
     measures["total_sales"] = exact_sum("sales")
     measures["total_profit"] = exact_sum("profit")
@@ -102,14 +106,18 @@ def sales_pivot(lines: DataFrame, key: str, on: str, total_label: str) -> DataFr
     """
     cells = keep_small(cell_totals(lines.where(F.col(key).isNotNull()), key, on))
     values = distinct_values(cells, on)
-    sums = {v: total(f"if({on} = {text_literal(v)}, sales, null)") for v in values}
-    sums["total_sales"] = total(f"if({on} is not null, sales, null)")
+    taken = [key, "total_sales", "total_profit", "shown_cells", "is_total", "profit_margin"]
+    if len({name.lower() for name in [*values, *taken]}) < len(values) + len(taken):
+        raise ValueError(f"values of {on} that can't be told apart as column names")
+    on_name = sql_name(on)
+    sums = {v: total(f"if({on_name} = {text_literal(v)}, sales, null)") for v in values}
+    sums["total_sales"] = total(f"if({on_name} is not null, sales, null)")
     sums["total_profit"] = total("profit")
-    by_key = cells.groupBy(key).agg(*named(**sums, shown_cells=f"count({on})"))
+    by_key = cells.groupBy(key).agg(*named(**sums, shown_cells=f"count({on_name})"))
     rolled = (
         by_key.where("shown_cells > 0")
         .rollup(key)
-        .agg(*named(**{name: total(sql_name(name)) for name in sums}, is_total=f"grouping({key})"))
+        .agg(*named(**{name: total(sql_name(name)) for name in sums}, is_total=f"grouping({sql_name(key)})"))
     )
     return rolled.select(
         F.when(F.col("is_total") == 1, F.lit(total_label)).otherwise(F.col(key)).alias(key),

@@ -18,11 +18,14 @@ from tillwise.operators.seasonal_model import seasonal_forecast
 
 
 def _long_enough(forecast: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A single series that is too short is an error; of many, each just shows a status."""
+    """A single series too short to forecast is an error; of many, each just shows a status. One
+    long enough to forecast and too short to hold months out has no held-out rows."""
     if keys:
         return forecast
     complaint = F.raise_error(F.lit(f"a forecast needs at least {SHORTEST} months of sales"))
-    return forecast.where(F.when(F.col("status") == "ok", True).otherwise(complaint))
+    return forecast.where(
+        F.when(F.col("status") == "ok", True).when(F.col("phase") == "held_out", False).otherwise(complaint)
+    )
 
 
 def sales_forecast(lines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

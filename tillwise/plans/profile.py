@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.measures import exact_sum, named, total
+from tillwise.functions.measures import named, total
 from tillwise.operators.shaping import top_rows
 
 
@@ -24,8 +24,8 @@ def final_summary(lines: DataFrame) -> DataFrame:
     return lines.agg(
         *named(
             total_rows="count(1)",
-            total_revenue=exact_sum("sales"),
-            total_profit=exact_sum("profit"),
+            total_revenue=total("sales"),
+            total_profit=total("profit"),
             average_profit_margin="avg(profit_margin_pct)",
             first_order_date="date_format(min(order_date), 'yyyy-MM-dd')",
             last_order_date="date_format(max(order_date), 'yyyy-MM-dd')",

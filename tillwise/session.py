@@ -1,7 +1,7 @@
 """Session defaults for tests, the bench and stand-alone jobs.
 
 On a cluster the session comes from the platform. Results do not depend on the settings
-below; ``split_hot_keys`` only decides how a skewed join is cut into tasks.
+below; they decide how the work is cut into tasks. No reader changes a session's settings.
 """
 
 from __future__ import annotations
@@ -24,16 +24,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Cut the tasks of a hot join key also where its lines stay grouped by that key: one more
+        # shuffle, of partial sums only, spares a single task for a product with a third of all lines.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .getOrCreate()
     )
-
-
-def split_hot_keys(spark: SparkSession) -> None:
-    """Let adaptive execution cut the tasks of a join key that holds very many lines.
-
-    By default it refuses where the rows stay grouped by that key afterwards - sales per
-    product right after joining products on their key - because the cut costs one more
-    shuffle. That shuffle moves partial sums only, while without it a product with a third
-    of all lines would be joined by a single task.
-    """
-    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")

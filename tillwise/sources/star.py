@@ -13,7 +13,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.session import split_hot_keys
 
 # The table columns used, typed, so that opening a table starts no job to look them up.
 TABLES: dict[str, str] = {
@@ -110,7 +109,6 @@ def order_lines(
     unknown = sorted(set(wanted) - set(COLUMN_TABLE))
     if unknown:
         raise ValueError("no such order-line columns: " + ", ".join(unknown))
-    split_hot_keys(spark)
     tables = {COLUMN_TABLE[name] for name in wanted}
     for name in list(tables):
         tables.update(PARENTS.get(name, ()))
