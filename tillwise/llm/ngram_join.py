@@ -159,7 +159,7 @@ def _sketches(value: np.ndarray, first: np.ndarray) -> list[bytes]:
     can be halved by XORing the halves."""
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        bits = max(8, min(SKETCH_BITS, int(b - a).bit_length()))
+        bits = max(8, min(SKETCH_BITS, int(b - a).bit_length() + 1))
         flips = np.bincount((value[a:b] & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
         out.append(np.packbits(flips & 1).tobytes())
     return out
