@@ -18,6 +18,32 @@ from tillwise.llm.boosting import boost, calibrate
 from tillwise.llm.components import connected
 from tillwise.llm.filters import filter_of
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, score string, key int"
+
+
+@pytest.fixture
+def docs(spark):
+    """Documents from texts, numbered from 0, with extra columns whose names clash with results."""
+
+    def make(texts, ids=None, sources=None, langs=None):
+        ids = range(len(texts)) if ids is None else ids
+        rows = [
+            (i, t, langs[k] if langs else "en", sources[k] if sources else "s", None, 7, "x", 1)
+            for k, (i, t) in enumerate(zip(ids, texts))
+        ]
+        return spark.createDataFrame(rows, DOCS)
+
+    return make
+
+
+@pytest.fixture
+def odd(docs):
+    """Nulls, empty and blank texts, a long one, repeated rows, a null id."""
+    long = " ".join(f"w{i % 997} x{i}" for i in range(30_000))
+    texts = [None, "", " \n\t ", long, "a b c d e", "a b c d e", "one\ntwo\nthree\nfour", "Ünïcode ß 漢字", long]
+    return docs(texts, [0, 1, 2, 3, 4, 4, None, 6, 8], [None, "s", "s", "é", "s", "s", "t", "t", "t"], [None] * 9)
+
+
 WHITE = r"[\x20\x09-\x0D]+"
 
 
