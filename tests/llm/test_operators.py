@@ -195,8 +195,12 @@ def test_license_scan(docs):
     assert found[1]["score"] == 1.0 and 0.6 <= found[2]["score"] < 1 and found[5]["n_words"] == 0
 
 
+@pytest.mark.parametrize("thin", [False, True])
 @pytest.mark.parametrize("join", [ngram_join.Join(), ngram_join.Join(5, 80), ngram_join.Join(2, 60)])
-def test_ngram_join_finds_every_link(docs, join):
+def test_ngram_join_finds_every_link(docs, join, thin, monkeypatch):
+    if thin:  # small blocks, all thinned, for a single round
+        for name, value in {"PASSING": 0, "THIN_ROUNDS": 1, "FAR_BLOCK": 2, "ALL_BLOCK": 3}.items():
+            monkeypatch.setattr(ngram_join, name, value)
     pick, texts = random.Random(11), []
     for family in range(12):
         base = prose(family, pick.choice([3, 9, 30, 60, 130]), 3000)
@@ -228,6 +232,13 @@ def test_ngram_join_finds_every_link(docs, join):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(len(texts)) if root(i) == i]
 
 
+def test_thinned_pairs_merge_what_passes():
+    parts = np.array([[1, 2], [2, 1], [3, 4], [1, 2], [4, 2], [3, 1], [5, 5]])
+    root = {}
+    assert ngram_join._merging(parts[:3], root) == [0, 2]
+    assert ngram_join._merging(parts[3:], root) == [1]
+
+
 def test_parity_sketches_bound_the_difference():
     pick = np.random.default_rng(4)
     for _ in range(50):

@@ -17,8 +17,10 @@ n-grams), not estimated:
 Classes that share a key are not paired with each other: each is first joined with one of the key,
 the one that shares most keys, and the verified links are merged to components. Only keys whose
 classes still lie in different components are looked at again: their classes outside the largest
-component are compared with all others by sketches, block by block, and what passes is verified. So
-no link between components is lost, and no key emits all its pairs.
+component are compared with all others by sketches, block by block, and what passes is verified. Where
+much passes, as among near copies, first only as many pairs are as merge the components; the last
+round verifies all that still pass. So no link between components is lost, and near copies don't
+give all their pairs.
 
 Defined results: a document with fewer than n words is one sequence; one without words (or null)
 has the empty set and links with nothing. Rows are told apart by doc_id and text, so rows that
@@ -46,6 +48,9 @@ SKETCH_BITS = 16  # as a power of two, at most
 FAR_BLOCK, ALL_BLOCK = 8_000, 32_000
 #: Pairs compared at a time.
 COMPARED = 1 << 18
+#: A block gives up to so many passing pairs for each of its classes, else only those that merge
+#: components, in so many rounds; the round after gives all that still pass, so no link is lost.
+PASSING, THIN_ROUNDS = 2, 3
 
 
 @dataclass(frozen=True)
@@ -245,17 +250,26 @@ def candidate_sets(documents: DataFrame, join: Join, wanted: Filter) -> DataFram
     return found.groupBy("set_hash").agg(*[F.first(c).alias(c) for c in ("grams", "sketch", "size")])
 
 
+def _passing(join: Join):
+    """Keeps the pairs whose sketches allow a link."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch[n].to_pylist() for n in ("size_a", "size_b", "sketch_a", "sketch_b")]
+            kept = [i for i, (m, n, near, far) in enumerate(zip(*columns)) if hamming(near, far) <= join.apart(m + n)]
+            yield batch.take(pa.array(kept, pa.int64())).select(["a", "b"])
+
+    return of
+
+
 def _linked(join: Join):
-    """Keeps the pairs whose sets link: by sketches first, then by the sets."""
+    """Keeps the pairs whose sets link."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch[n].to_pylist() for n in ("grams_a", "grams_b", "sketch_a", "sketch_b")]
             kept = []
-            for i, (one, other, near, far) in enumerate(zip(*columns)):
+            for i, (one, other) in enumerate(zip(batch["grams_a"].to_pylist(), batch["grams_b"].to_pylist())):
                 both = (len(one) + len(other)) // 8
-                if hamming(near, far) > join.apart(both):
-                    continue
                 joined = np.concatenate([np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)])
                 joined.sort()
                 shared = int((joined[1:] == joined[:-1]).sum())
@@ -267,15 +281,17 @@ def _linked(join: Join):
 
 
 def links(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) of set hashes whose sets link."""
+    """The pairs (a, b) of set hashes whose sets link. Sketches, which are short, meet first; only
+    the pairs they leave carry their sets."""
 
-    def of(side: str) -> DataFrame:
-        return sets.select(
-            F.col("set_hash").alias(side), F.col("grams").alias(f"grams_{side}"), F.col("sketch").alias(f"sketch_{side}")
-        )
+    def both(found: DataFrame, *columns: str) -> DataFrame:
+        for side in ("a", "b"):
+            named = [F.col(c).alias(f"{c}_{side}") for c in columns]
+            found = found.join(sets.select(F.col("set_hash").alias(side), *named), side)
+        return found.select("a", "b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
 
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.select("a", "b", "grams_a", "grams_b", "sketch_a", "sketch_b").mapInArrow(_linked(join), "a long, b long")
+    near = both(pairs, "size", "sketch").mapInArrow(_passing(join), "a long, b long")
+    return both(near, "grams").mapInArrow(_linked(join), "a long, b long")
 
 
 def _component_of(keyed: DataFrame, found: DataFrame) -> DataFrame:
@@ -302,13 +318,23 @@ def linked_sets(documents: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]
     pairs = keyed.join(pivots, "key").select(F.col("set_hash").alias("a"), F.col("pivot.set_hash").alias("b"))
     all_links = keep(links(pairs.where("a <> b").distinct(), sets, join))
     found = connected(all_links)
-    pairs = keep(_across(keyed, found, sets.select("set_hash", "sketch", "size"), join))
-    all_links = all_links.union(links(pairs, sets, join))
-    return all_links, connected(all_links)
-
-
-def _across(keyed: DataFrame, found: DataFrame, sketches: DataFrame, join: Join) -> DataFrame:
+    sketches, thin = sets.select("set_hash", "sketch", "size"), THIN_ROUNDS
+    while True:
+        pairs = keep(_across(keyed, found, sketches, join, thin > 0))
+        fresh = keep(links(pairs.select("a", "b").distinct(), sets, join))
+        linked = not fresh.isEmpty()
+        if linked:
+            all_links = all_links.union(fresh)
+            found = connected(all_links)
+        if pairs.where("thinned").isEmpty():
+            return all_links, found
+        thin = thin - 1 if linked else 0  # what passes is no link: all that passes is verified
+
+
+def _across(keyed: DataFrame, found: DataFrame, sketches: DataFrame, join: Join, thin: bool) -> DataFrame:
     """Pairs (a, b) that share a key, lie in different components so far and pass the sketches.
+    With ``thin``, a block where more pass than a few for each class gives only as many as it takes
+    to merge the components that pass, and says so in ``thinned``.
 
     Of a key's classes, those outside its largest component are compared with all, in blocks: a row
     holds at most a block of the ones and one of the others, and the pairs of a row are compared by
@@ -341,7 +367,7 @@ def _across(keyed: DataFrame, found: DataFrame, sketches: DataFrame, join: Join)
         F.collect_list(F.when(F.col("far"), F.col("member"))).alias("ones"),
         F.collect_list(F.when(~F.col("far"), F.col("member"))).alias("others"),
     )
-    return blocks.select("ones", "others").mapInArrow(_near(join), "a long, b long").distinct()
+    return blocks.select("ones", "others").mapInArrow(_near(join, thin), "a long, b long, thinned boolean").distinct()
 
 
 def _folded(sketches: list[bytes], length: int) -> np.ndarray:
@@ -355,19 +381,40 @@ def _folded(sketches: list[bytes], length: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _near(join: Join):
+def _merging(parts: np.ndarray, root: dict[int, int]) -> list[int]:
+    """Which of the pairs of components merge two that pairs before them haven't; ``root`` has
+    what is merged so far."""
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    kept = []
+    _, firsts = np.unique(parts, axis=0, return_index=True)
+    for i in np.sort(firsts).tolist():
+        a, b = (top(x) for x in parts[i].tolist())
+        if a != b:
+            root[a] = b
+            kept.append(i)
+    return kept
+
+
+def _near(join: Join, thin: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
             for ones, others in zip(batch["ones"], batch["others"]):
                 sides = []
                 for side in (ones.values, others.values):
                     sides.append([side.field(n) for n in ("set_hash", "component", "size")] + [side.field("sketch").to_pylist()])
-                length = min(len(x) for s in sides for x in s[3])
+                length = min((len(x) for s in sides for x in s[3]), default=8)
                 (id_a, part_a, size_a, low_a), (id_b, part_b, size_b, low_b) = (
                     [*(c.to_numpy(zero_copy_only=False) for c in s[:3]), _folded(s[3], length)] for s in sides
                 )
-                step = max(1, COMPARED // len(id_b))
+                most = PASSING * (len(id_a) + len(id_b)) if thin else None
+                found = [np.zeros((0, 2), np.int64)]
+                merging, root, passed = [np.zeros((0, 2), np.int64)], {}, 0
+                step = max(1, COMPARED // max(1, len(id_b)))
                 for i in range(0, len(id_a), step):
                     j = slice(i, i + step)
                     apart = np.zeros((len(id_a[j]), len(id_b)), np.int32)
@@ -375,10 +422,21 @@ def _near(join: Join):
                         apart += np.bitwise_count(low_a[j, w][:, None] ^ low_b[:, w][None, :])
                     both = size_a[j][:, None] + size_b[None, :]
                     x, y = np.nonzero((apart <= join.apart(both)) & (part_a[j][:, None] != part_b[None, :]))
+                    if not len(x):
+                        continue
                     pair = np.stack([id_a[j][x], id_b[y]], 1)
-                    found.append(np.sort(pair, axis=1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["a", "b"])
+                    passed += len(pair)
+                    if most is None or passed <= most:
+                        found.append(pair)
+                    if most is not None:
+                        merging.append(pair[_merging(np.stack([part_a[j][x], part_b[y]], 1), root)])
+                if not passed:
+                    continue
+                thinned = most is not None and passed > most
+                pairs = np.unique(np.sort(np.concatenate(merging if thinned else found), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pairs[:, 1]), pa.array(pairs[:, 0]), pa.array(np.full(len(pairs), thinned))], ["a", "b", "thinned"]
+                )
 
     return of
 
