@@ -344,6 +344,30 @@ def test_pii_adds_secrets_and_keeps_base_spans(docs):
     assert "[email]" in pii.redacted(docs(texts[:3]), pii.Detector(None, 1.0, 0.0, (2.0,) * 4)).first()["text"]
 
 
+def test_pii_adds_secrets_where_they_are_few(docs):
+    pick = random.Random(3)
+
+    def hexes(n):
+        return "".join(pick.choice("0123456789abcdef") for _ in range(n))
+
+    few = [f'word {"token = " if i < 12 else ""}"{hexes(40)}" end' for i in range(40)]
+    others = [f"mail me{i}@host{i}.org or 10.0.{i}.7, on {i}.{i % 12} and a@b" for i in range(200)]
+    detector = pii.fit(docs(few + others))
+    found = by_id(pii.pii(docs(few + others), detector))
+    assert {i for i, r in found.items() if "secret" in r["spans"]} == set(range(12))
+    # A small fit sample still has its share of a kind that is rare among all.
+    rare = pii.fit(docs(few + others * 2 + [f"x {i}-{i * 7919 % 100_000:05}-{i % 9}1 y" for i in range(2000)]), fit_candidates=120)
+    assert all(rare.added(t, pii.base_spans(t)) for t in few[:12])
+    assert not any(rare.added(t, pii.base_spans(t)) for t in few[12:])
+
+
+def test_thresholds_of_a_kind_with_few_held_out_are_the_common_ones():
+    many = [(0, b, int(b >= 0), 50) for b in range(-40, 40)]
+    found = pii._thresholds(np.array([*many, (3, 30, 1, 2), (2, 20, 0, 40)]), 1.0, 0.0)
+    assert found[0] == found[1] == found[3] == 0.5 and found[2] > 0.75
+    assert pii._shares({(0, 0): 900, (0, 1): 50, (3, 1): 3}, 300) == {(3, 1): 3, (0, 1): 50, (0, 0): 247}
+
+
 def test_boosted_trees_learn_and_calibrate():
     pick = np.random.default_rng(0)
     x = pick.integers(0, 20, (2000, 4))

@@ -69,14 +69,14 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate:
     return Trees(np.array(features), np.array(cuts), np.array(values), base)
 
 
-def calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(a, b) so that 1 / (1 + exp(-(a * raw + b))) fits held-out labels, by Newton's method with
-    a small pull towards (1, 0)."""
+def calibrate(raw: np.ndarray, y: np.ndarray, times: np.ndarray | float = 1.0) -> tuple[float, float]:
+    """(a, b) so that 1 / (1 + exp(-(a * raw + b))) fits held-out labels, each counted ``times``
+    times, by Newton's method with a small pull towards (1, 0)."""
     a, b, pull = 1.0, 0.0, 1.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * raw + b, -40, 40)))
-        w = p * (1 - p)
-        slope = np.array([((y - p) * raw).sum() - pull * (a - 1), (y - p).sum() - pull * b])
+        w, off = p * (1 - p) * times, (y - p) * times
+        slope = np.array([(off * raw).sum() - pull * (a - 1), off.sum() - pull * b])
         bend = np.array([[(w * raw * raw).sum() + pull, (w * raw).sum()], [(w * raw).sum(), w.sum() + pull]])
         step = np.linalg.solve(bend, slope)
         a, b = a + float(step[0]), b + float(step[1])

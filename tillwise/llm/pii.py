@@ -7,13 +7,18 @@ words before). There are no labels for personal data, so trees learn from the ru
 candidates that the strict base patterns take, and tokens assigned to a secret's name, are positive.
 They judge by looks and context, and so also find what misses a pattern by a letter.
 
-Trees are fitted on the candidates of a bounded sample and calibrated on a quarter of it that they
-haven't seen; for each generator the threshold is the lowest probability from which held-out
-candidates are right ``PRECISION`` of the time. Base spans always stay; a further one is added if it
-reaches its threshold and overlaps no base span and no better candidate.
-
-Defined results: a null or empty text has no spans. Repeated rows each get their row. If the sample
-holds one class only, no spans are added. Further columns are ignored.
+Candidates with equal features count once. Trees are fitted on a bounded sample of three quarters of
+them, in which each generator and label has its share, so kinds that are rare in a large table are
+learnt too. Calibration and thresholds come from the last quarter, counted over the whole table by
+generator, bin of score and label. A generator's threshold is the lowest probability from which
+held-out candidates are right ``PRECISION`` of the time; its own count as they are and the rate of all
+generators as ``POOLED`` more, so a generator with few has the common threshold. Base spans always
+stay; a further one is added if it reaches its threshold and overlaps no base span and no better
+candidate.
+
+Defined results: a null or empty text has no spans. Repeated rows each get their row. If the
+candidates are of one class only, no spans are added; if the three quarters are, trees are fitted on
+all, and the threshold is ``PRECISION`` as nothing is held out. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.boosting import Trees, boost, calibrate
+from tillwise.llm.common import store
 
 KINDS = ("email", "ip", "card", "phone")
 GENERATORS = ("address", "number", "dotted", "secret")
-#: The fit sample: candidates of so many texts, and so many candidates at most.
-FIT_TEXTS, FIT_CANDIDATES = 20_000, 40_000
+#: The fit sample: so many candidates at most.
+FIT_CANDIDATES = 40_000
 PRECISION = 0.98
-LEAST_HELD_OUT = 20
+#: So many held-out candidates the rate of all generators counts for in that of one.
+POOLED = 20
+#: Scores are counted in bins of 1 / BINS, up to TOP on both sides of 0.
+BINS, TOP = 16, 32
 CONTEXT = 24
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -169,52 +178,95 @@ def _near(base: list[tuple[int, str, int]], c: tuple[int, int, int]) -> list[tup
     return [s for s in base if s[0] < c[1] and s[2] > c[0]]
 
 
-def fit(documents: DataFrame, fit_texts: int = FIT_TEXTS, fit_candidates: int = FIT_CANDIDATES) -> Detector:
-    """Fits trees, calibration and thresholds. Texts with a digit or at sign are drawn by the
-    smallest hashes of their text, and candidates by theirs; the driver gets features only."""
+def fit(documents: DataFrame, fit_candidates: int = FIT_CANDIDATES) -> Detector:
+    """Fits trees on a sample, calibration and thresholds on counts of all held-out candidates. The
+    driver gets features of the sample and counts only."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows = set()
             for text in batch["text"].to_pylist():
                 base = {(a, b) for a, _, b in base_spans(text)}
-                for c in candidates(text):
-                    rows.append((bytes(features(text, *c)), weak_label(text, *c, base)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32())], ["x", "y"]
-            )
+                rows |= {(bytes(features(text, *c)), weak_label(text, *c, base)) for c in candidates(text)}
+            columns = list(zip(*((x, y, x[0], (x[1] * 31 + sum(x)) % 4 == 0) for x, y in rows))) if rows else [[]] * 4
+            kinds = [pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["x", "y", "generator", "unseen"])
 
-    key = F.xxhash64("text")
     telling = documents.where(F.col("text").rlike("[0-9@]")).select("text")
-    bound = telling.select(key.alias("key")).distinct().orderBy("key").limit(fit_texts).agg(F.max("key")).first()[0]
-    if bound is None:
-        return Detector(None, 1.0, 0.0, (2.0,) * len(GENERATORS))
-    sample = telling.where(key <= bound).mapInArrow(of, "x binary, y int").groupBy("x", "y").count()
-    # Candidates with equal features count once, so copies don't crowd others out.
-    rows = sample.orderBy(F.xxhash64("x"), "x", "y").limit(fit_candidates).toPandas()
-    if rows.empty:
+    found = store(telling.mapInArrow(of, "x binary, y int, generator int, unseen boolean").distinct())
+    counts = {(r["generator"], r["y"], r["unseen"]): r["count"] for r in found.groupBy("generator", "y", "unseen").count().collect()}
+    if len({y for _, y, _ in counts}) < 2:
         return Detector(None, 1.0, 0.0, (2.0,) * len(GENERATORS))
-    x = np.array([np.frombuffer(b, np.uint8) for b in rows.x], np.int64).reshape(len(rows), -1)
-    y = rows.y.to_numpy().astype(float)
-    unseen = np.array([b[1] * 31 + sum(b) for b in rows.x], np.int64) % 4 == 0
-    if not 0 < y[~unseen].sum() < (~unseen).sum() or not unseen.any():
-        return Detector(None, 1.0, 0.0, (2.0,) * len(GENERATORS))
-    trees = boost(x[~unseen], y[~unseen])
-    raw = trees.raw(x[unseen])
-    slope, shift = calibrate(raw, y[unseen])
-    chance = 1 / (1 + np.exp(-np.clip(slope * raw + shift, -40, 40)))
-    return Detector(trees, slope, shift, tuple(_threshold(chance, y[unseen], x[unseen, 0] == g) for g in range(len(GENERATORS))))
-
-
-def _threshold(chance: np.ndarray, y: np.ndarray, own: np.ndarray) -> float:
-    """The lowest probability of a generator from which its held-out candidates are right often
-    enough; 2, which none reaches, where too few are known."""
-    order = np.argsort(-chance[own], kind="stable")
-    right = np.cumsum(y[own][order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(right >= PRECISION)
-    if len(order) < LEAST_HELD_OUT or not len(good):
-        return 2.0
-    return max(0.5, float(chance[own][order][good[-1]]))
+    held_out = len({y for _, y, unseen in counts if not unseen}) == 2
+    fitted: dict[tuple[int, int], int] = {}
+    for (generator, label, unseen), n in counts.items():
+        if not (unseen and held_out):
+            fitted[generator, label] = fitted.get((generator, label), 0) + n
+    seen = found.where(~F.col("unseen")) if held_out else found
+    x, y = [], []
+    for (generator, label), n in _shares(fitted, fit_candidates).items():
+        own = seen.where((F.col("generator") == generator) & (F.col("y") == label))
+        rows = own.select("x").orderBy(F.xxhash64("x"), "x").limit(n).toPandas()
+        x += [np.frombuffer(b, np.uint8) for b in rows.x]
+        y += [float(label)] * len(rows)
+    trees = boost(np.array(x, np.int64), np.array(y))
+    held = _held_out(found.where("unseen"), trees) if held_out else np.zeros((0, 4), np.int64)
+    if not len(held):
+        return Detector(trees, 1.0, 0.0, (PRECISION,) * len(GENERATORS))
+    slope, shift = calibrate((held[:, 1] + 0.5) / BINS, held[:, 2].astype(float), held[:, 3].astype(float))
+    return Detector(trees, slope, shift, _thresholds(held, slope, shift))
+
+
+def _shares(counts: dict[tuple[int, int], int], most: int) -> dict[tuple[int, int], int]:
+    """How many of each are taken so that no more than ``most`` are: equally many, and what small
+    ones leave goes to the others."""
+    taken = {}
+    for k, (key, n) in enumerate(sorted(counts.items(), key=lambda c: (c[1], c[0]))):
+        taken[key] = min(n, (most - sum(taken.values())) // (len(counts) - k))
+    return taken
+
+
+def _held_out(found: DataFrame, trees: Trees) -> np.ndarray:
+    """Rows (generator, bin of score, label, count) over all candidates given."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = trees.raw(np.array([np.frombuffer(b, np.uint8) for b in batch["x"].to_pylist()], np.int64))
+            bins = np.floor(np.clip(raw, -TOP, TOP) * BINS).astype(np.int64)
+            rows = np.stack([batch["generator"].to_numpy(), bins, batch["y"].to_numpy()], 1)
+            rows, times = np.unique(rows, axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(c, pa.int32()) for c in rows.T], pa.array(times, pa.int64())], ["generator", "bin", "y", "times"]
+            )
+
+    counted = found.mapInArrow(of, "generator int, bin int, y int, times long").groupBy("generator", "bin", "y").agg(F.sum("times"))
+    return np.array(sorted(map(tuple, counted.collect())), np.int64).reshape(-1, 4)
+
+
+def _thresholds(held: np.ndarray, slope: float, shift: float) -> tuple[float, ...]:
+    """For each generator the lowest probability from which held-out candidates are right often
+    enough; 2, which none reaches, where they never are."""
+    bins = np.unique(held[:, 1])[::-1]
+
+    def above(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many score in each bin or a higher one, and how many of them are right."""
+        at = np.searchsorted(-bins, -rows[:, 1])
+        counts = (np.bincount(at, w, len(bins)) for w in (rows[:, 3], rows[:, 2] * rows[:, 3]))
+        return tuple(np.cumsum(c) for c in counts)
+
+    n, right = above(held)
+    out = []
+    for generator in range(len(GENERATORS)):
+        own, own_right = above(held[held[:, 0] == generator])
+        good = np.flatnonzero(own_right + POOLED * right / n >= PRECISION * (own + POOLED))
+        if slope <= 0 or not len(good):
+            out.append(2.0)
+        else:
+            chance = 1 / (1 + np.exp(-np.clip(slope * bins[good[-1]] / BINS + shift, -40, 40)))
+            out.append(max(0.5, float(chance)))
+    return tuple(out)
 
 
 def _listed(spans: list[tuple[int, str, int]]) -> str:
