@@ -232,6 +232,25 @@ def test_ngram_join_finds_every_link(docs, join, thin, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(len(texts)) if root(i) == i]
 
 
+def test_one_row_of_each_component_stays(docs):
+    base = [prose(i, 60, 3000) for i in range(5)]
+    near = [" ".join([*b[:-1], "other"]) for b in base]
+    base = [" ".join(b) for b in base]
+    rows = [(1, base[0], "b"), (1, base[0], "a"), (1, base[0], "a"), (2, near[0], "a")]  # repeats of the smallest id
+    rows += [(3, base[1], "s"), (3, near[1], "s")]  # an id with two texts that link
+    rows += [(None, base[2], "s"), (None, near[2], "s"), (None, base[2], "s")]  # no id at all
+    rows += [(None, base[3], "s"), (0, near[3], "s")]  # a null id is the smallest
+    rows += [(7, base[4], "s"), (None, "", "s"), (None, "", "s"), (8, None, "s")]
+    df = docs([t for _, t, _ in rows], [i for i, _, _ in rows], [s for _, _, s in rows])
+    kept = ngram_join.one_of_each(df, ngram_join.Join(5, 80))
+    assert kept.columns == df.columns
+    found = [(r["doc_id"], r["text"], r["source"]) for r in kept.collect()]
+    groups = [{base[0], near[0]}, {base[1], near[1]}, {base[2], near[2]}, {base[3], near[3]}, {base[4]}]
+    held = [[f for f in found if f[1] in g] for g in groups]
+    assert [len(h) for h in held] == [1] * 5 and sum(f[1] in ("", None) for f in found) == 3 and len(found) == 8
+    assert held[0][0] == (1, base[0], "a") and [h[0][0] for h in held[1:]] == [3, None, None, 7]
+
+
 def test_thinned_pairs_merge_what_passes():
     parts = np.array([[1, 2], [2, 1], [3, 4], [1, 2], [4, 2], [3, 1], [5, 5]])
     root = {}

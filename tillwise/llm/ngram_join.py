@@ -24,7 +24,9 @@ give all their pairs.
 
 Defined results: a document with fewer than n words is one sequence; one without words (or null)
 has the empty set and links with nothing. Rows are told apart by doc_id and text, so rows that
-repeat both give equal rows. A null doc_id counts as smallest. Further columns are ignored.
+repeat both give equal rows. A component's id is its smallest doc_id that isn't null. Of the rows of
+a component ``one_of_each`` keeps a single one, where a null doc_id counts as smallest. Further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -441,13 +443,18 @@ def _near(join: Join, thin: bool):
     return of
 
 
-def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id that
-    links reach."""
+def _component_rows(documents: DataFrame, join: Join) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component) of every row; component is null for an empty set."""
     rows = keep(document_sets(documents, join))
     found = linked_sets(documents, join)[1].withColumnRenamed("node", "set_hash")
     rows = rows.join(found, "set_hash", "left").withColumn("component", F.coalesce("component", "set_hash"))
-    rows = keep(rows)
+    return keep(rows.select("doc_id", "text_key", "n_shingles", "component"))
+
+
+def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id that
+    links reach."""
+    rows = _component_rows(documents, join)
     smallest = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(smallest, "component", "left").select(
         "doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
@@ -455,8 +462,22 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, join: Join) -> DataFrame:
-    """The documents without those that link, in steps, to one with a smaller doc_id."""
-    kept = ngram_join(documents, join).where("component_id <=> doc_id").select("doc_id", "text_key").distinct()
+    """One row of each component and all rows without words. The one has the smallest (doc_id,
+    text_key), a null doc_id before all others; of rows that repeat both, the smallest columns."""
+    rows = _component_rows(documents, join)
+    same_rows = rows.where("component IS NOT NULL").groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    first = same_rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_key", "n")).alias("first"))
+    wordless = rows.where("component IS NULL").select("doc_id", "text_key").distinct()
+    kept = keep(
+        first.select("first.doc_id", "first.text_key", (F.col("first.n") > 1).alias("repeated"))
+        .union(wordless.select("doc_id", "text_key", F.lit(False)))
+    )
     df = documents.select(*documents.columns, text_key().alias("join_key"))
-    same = df["doc_id"].eqNullSafe(kept["doc_id"]) & (df["join_key"] == kept["text_key"])
-    return df.join(kept, same, "left_semi").select(*documents.columns)
+
+    def those(chosen: DataFrame) -> DataFrame:
+        same = df["doc_id"].eqNullSafe(chosen["doc_id"]) & (df["join_key"] == chosen["text_key"])
+        return df.join(chosen, same, "left_semi")
+
+    once = those(kept.where("NOT repeated")).select(*documents.columns)
+    several = those(kept.where("repeated")).groupBy("doc_id", "join_key")
+    return once.union(several.agg(F.min(F.struct(*documents.columns)).alias("row")).select("row.*"))
