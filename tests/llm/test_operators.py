@@ -172,6 +172,19 @@ def test_decontamination(spark, docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
 
 
+def test_decontamination_by_id_and_text(spark, docs):
+    items = [" ".join(prose(1000 + i, 40, 5000)) for i in range(2)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    clean = [" ".join(prose(i, 200)) for i in range(20)]
+    texts = [*clean, f"x y {items[0]} z", f"q {items[1]}", clean[0] + " end", f"u {items[0]} v", f"u {items[0]} v", clean[1] + " end"]
+    ids = [*range(20), None, 5, 5, 30, 30, None]
+    found = decontamination.contamination(docs(texts, ids), benchmark)
+    assert found.columns == ["doc_id", "item_id", "score", "last_word"]
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in found.collect()) == [("30", 0), ("5", 1), ("None", 0)]
+    kept = decontamination.without_leaks(docs(texts, ids), benchmark).collect()
+    assert sorted(r["text"] for r in kept) == sorted([*clean, texts[22], texts[25]])
+
+
 def test_alignment_is_smith_waterman():
     pick = np.random.default_rng(2)
     for _ in range(20):

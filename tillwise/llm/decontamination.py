@@ -16,7 +16,8 @@ of at least ``LEAST_SCORE`` are returned; chance hits score far less.
 
 Defined results: a null or empty text or item matches nothing, nor do items with fewer than three
 words. Items equal in words are aligned once and each get their pair. Rows that repeat a doc_id
-are told apart by text; equal rows give one pair. Further columns are ignored.
+are told apart by text, and a null doc_id is a value like any other; equal rows give one pair. Further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm import tokens
-from tillwise.llm.common import keep
+from tillwise.llm.common import keep, text_key
 
 SHORT, LONG = 3, 6
 RATE = 1e-8
@@ -142,15 +143,15 @@ def seeds(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def regions(documents: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(doc_id, start, words, hits): stretches of texts around runs that the filter holds; words
-    are hashes, hits are (at, hash) with at counted from the text's first word."""
+    """(doc_id, text_key, start, words, hits): stretches of texts around runs that the filter holds;
+    words are hashes, hits are (at, hash) with at counted from the text's first word."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, j in tokens.slices(batch["text"]):
                 found, hashes = _hashed(batch["text"].slice(i, j - i))
-                ids = batch["doc_id"].slice(i, j - i)
+                ids, keys = (batch[n].slice(i, j - i) for n in ("doc_id", "text_key"))
                 places, values = [], []
                 for n in (SHORT, LONG):
                     runs = tokens.grams(hashes, n)
@@ -170,19 +171,21 @@ def regions(documents: DataFrame, bits: np.ndarray) -> DataFrame:
                     end = min(int(found.first[d + 1]), int(place[b - 1]) + LONG + MARGIN)
                     first = int(found.first[d])
                     hits = [{"at": int(p) - first, "hash": int(v)} for p, v in zip(place[a:b], value[a:b])]
-                    rows.append((ids[int(d)].as_py(), start - first, tokens.as_signed(hashes[start:end]), hits))
+                    rows.append((ids[int(d)].as_py(), keys[int(d)].as_py(), start - first, tokens.as_signed(hashes[start:end]), hits))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int32()),
-                    pa.array([r[2] for r in rows], pa.list_(pa.int64())),
-                    pa.array([r[3] for r in rows], pa.list_(pa.struct([("at", pa.int32()), ("hash", pa.int64())]))),
+                    pa.array([r[1] for r in rows], pa.int64()),
+                    pa.array([r[2] for r in rows], pa.int32()),
+                    pa.array([r[3] for r in rows], pa.list_(pa.int64())),
+                    pa.array([r[4] for r in rows], pa.list_(pa.struct([("at", pa.int32()), ("hash", pa.int64())]))),
                 ],
-                ["doc_id", "start", "words", "hits"],
+                ["doc_id", "text_key", "start", "words", "hits"],
             )
 
-    schema = "doc_id long, start int, words array<long>, hits array<struct<at: int, hash: long>>"
-    return documents.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")).mapInArrow(of, schema)
+    schema = "doc_id long, text_key long, start int, words array<long>, hits array<struct<at: int, hash: long>>"
+    given = documents.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.lower("text").alias("text"))
+    return given.mapInArrow(of, schema)
 
 
 def align(texts: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,37 +237,49 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch["doc_id"].take(pa.array(kept)),
+                batch["text_key"].take(pa.array(kept)),
                 batch["item"].take(pa.array(kept)),
                 pa.array(score[kept]),
                 pa.array(batch["start"].to_numpy()[kept] + end[kept] - 1, pa.int32()),
             ],
-            ["doc_id", "item", "score", "last_word"],
+            ["doc_id", "text_key", "item", "score", "last_word"],
         )
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, score, last_word) of the documents that hold a copy of an item, with the
-    best score of the pair and the last word of that passage."""
+def leaking(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, text_key, item_id, score, last_word) of the documents that hold a copy of an item,
+    with the best score of the pair and the last word of that passage."""
     listed = keep(item_words(benchmark))
     distinct = listed.groupBy("words").agg(F.min("item_id").alias("item"))
     items = keep(distinct)
     found = keep(seeds(documents, items))
     held = keep(regions(documents, bloom(found)))
-    placed = held.select("doc_id", "start", F.size("words").alias("n"), F.explode("hits").alias("hit"))
+    placed = held.select("doc_id", "text_key", "start", F.size("words").alias("n"), F.explode("hits").alias("hit"))
     met = placed.join(found.distinct(), F.col("hit.hash") == found["hash"])
-    pairs = met.select("doc_id", "start", "n", "item").distinct()
-    with_text = pairs.join(held.select("doc_id", "start", F.size("words").alias("n"), "words").distinct(), ["doc_id", "start", "n"])
+    pairs = met.select("doc_id", "text_key", "start", "n", "item").distinct()
+    texts = held.select(
+        F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key"), F.col("start").alias("of_start"),
+        F.size("words").alias("of_n"), "words",
+    ).distinct()
+    same = F.expr("doc_id <=> of_doc AND text_key = of_key AND start = of_start AND n = of_n")
+    with_text = pairs.join(texts, same).select("doc_id", "text_key", "start", "item", "words")
     both = with_text.join(items.select("item", F.col("words").alias("item_words")), "item")
-    scored = both.select("doc_id", "item", "start", "words", "item_words").mapInArrow(
-        _scored, "doc_id long, item long, score double, last_word int"
+    scored = both.select("doc_id", "text_key", "item", "start", "words", "item_words").mapInArrow(
+        _scored, "doc_id long, text_key long, item long, score double, last_word int"
     )
-    best = scored.groupBy("doc_id", "item").agg(F.max(F.struct("score", "last_word")).alias("b"))
+    best = scored.groupBy("doc_id", "text_key", "item").agg(F.max(F.struct("score", "last_word")).alias("b"))
     named = listed.join(items, "words").select("item", "item_id")
-    return best.join(named, "item").select("doc_id", "item_id", "b.score", F.col("b.last_word").alias("last_word"))
+    return best.join(named, "item").select("doc_id", "text_key", "item_id", "b.score", F.col("b.last_word").alias("last_word"))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, score, last_word) of ``leaking``."""
+    return leaking(documents, benchmark).drop("text_key")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no copy of an item, with all their columns."""
-    leaks = contamination(documents, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct()
-    joined = documents.join(leaks, documents["doc_id"] == leaks["leaked_id"], "left_anti")
-    return joined.select(*documents.columns)
+    leaks = leaking(documents, benchmark).select(F.col("doc_id").alias("leaked_id"), "text_key").distinct()
+    df = documents.select(*documents.columns, text_key().alias("leak_key"))
+    same = df["doc_id"].cast("long").eqNullSafe(leaks["leaked_id"]) & (df["leak_key"] == leaks["text_key"])
+    return df.join(leaks, same, "left_anti").select(*documents.columns)
