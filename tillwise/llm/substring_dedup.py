@@ -152,7 +152,7 @@ def phrases(documents: DataFrame, firsts: Filter, repeated: Filter) -> DataFrame
 
 def parse(at: np.ndarray, reference: np.ndarray) -> list[tuple[int, int, int]]:
     """Factors (start, end, reference document) from the starts of windows that stand earlier, in
-    order, and the documents they point to."""
+    order, and the documents they point to: adjacent windows grouped, not a greedy factoring."""
     if not len(at):
         return []
     new = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(reference) != 0)))
