@@ -304,7 +304,8 @@ def _component_of(keyed: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def linked_sets(documents: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
-    """All verified links between set hashes, and (node, component) of the sets they join."""
+    """Verified links between set hashes, as many as join the components and not all there are (pairs
+    within a component are left out), and (node, component) of the sets they join."""
     met = part_keys(documents, join).groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
     shared = filter_of(keep(met.where("n > 1").select("key")), "key")
     rows = part_keys(documents, join, shared).select("key", "set_hash").distinct()
