@@ -3,22 +3,27 @@ columns that identify its result."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.llm import oracles
-from tillwise.llm.common import table
+from tillwise.llm.common import shared_folder, table
 from tillwise.llm.decontamination import contamination
+from tillwise.llm.importance import resampled
 from tillwise.llm.license_scan import license_scan
 from tillwise.llm.line_dedup import line_dedup
+from tillwise.llm.merkle import manifest
 from tillwise.llm.mixing import mixing
 from tillwise.llm.ngram_join import ngram_join
 from tillwise.llm.pii import pii
 from tillwise.llm.quality_rules import quality_rules
 from tillwise.llm.sharding import sharding
 from tillwise.llm.substring_dedup import substring_dedup
+from tillwise.llm.token_files import token_digests, write_token_files
 from tillwise.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +75,20 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding(table(spark, folder, "documents"))
 
 
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    write_token_files(table(spark, folder, "documents"), files, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_digests(spark, files)
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest(table(spark, folder, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +98,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     listed = (
         op1_toxicity, op2_quality_rules, op3_line_dedup, op4_decontamination, op5_license_scan,
-        op6_ngram_join, op7_mixing, op8_substring_dedup, op9_pii, op10_sharding, pipeline,
+        op6_ngram_join, op7_mixing, op8_substring_dedup, op9_pii, op10_sharding,
+        op11_token_files, op12_merkle_manifest, op13_importance_resampling, pipeline,
     )
     return {q.__name__: q for q in listed}
 
