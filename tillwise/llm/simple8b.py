@@ -34,13 +34,20 @@ _LOW = np.uint64((1 << 60) - 1)
 _TOP = np.uint64(60)
 
 
+#: Bit lengths of the numbers of 16 bits.
+_LENGTHS = np.searchsorted(1 << np.arange(17), np.arange(1 << 16), side="right").astype(np.uint8)
+
+
 def _bit_lengths(ids: np.ndarray) -> np.ndarray:
-    out, left = np.zeros(ids.shape, np.uint8), ids.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        large = left >= np.uint64(1 << step)
-        out += large.astype(np.uint8) * np.uint8(step)
-        left = np.where(large, left >> np.uint64(step), left)
-    return out + (left > 0)
+    low = np.uint64(0xFFFF)
+    out = _LENGTHS[ids & low]
+    for shift in (16, 32, 48):
+        large = np.nonzero(ids >> np.uint64(shift))
+        if not len(large[0]):
+            break
+        part = _LENGTHS[(ids[large] >> np.uint64(shift)) & low]
+        out[large] = np.where(part > 0, part + shift, out[large])
+    return out
 
 
 def _widest(bits: np.ndarray) -> np.ndarray:
@@ -90,11 +97,13 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     row, place, pick = np.concatenate(rows), np.concatenate(places), np.concatenate(picks)
     order = np.argsort(row, kind="stable")  # words of a block stay in the order walked
     row, place, pick = row[order], place[order], pick[order]
-    packed = pick.astype(np.uint64) << _TOP
+    packed, flat, begin = pick.astype(np.uint64) << _TOP, table.ravel(), row * table.shape[1] + place
     for s in range(2, len(COUNTS)):
         which = np.flatnonzero(pick == s)
+        at, word = begin[which], packed[which]
         for k in range(int(COUNTS[s])):
-            packed[which] |= table[row[which], place[which] + k] << np.uint64(k * int(BITS[s]))
+            word |= flat[at + k] << np.uint64(k * int(BITS[s]))
+        packed[which] = word
     n_words = np.bincount(row, minlength=n_blocks)
     escaped = np.flatnonzero(pick == ESCAPE)
     verbatim = np.bincount(row[escaped], minlength=n_blocks)

@@ -13,9 +13,10 @@ Row groups are small, so that a reader never holds more than some megabytes of p
 Reading needs no shuffle: a range's first id is the sum of the ranges before it, which the driver adds
 up from one number for each range.
 
-Byte-level BPE never joins characters across a blank that a visible character follows. Texts are
-therefore cut there, each different cut of a batch is coded once by the library, and its ids are put together:
-the same ids as those of the whole text, as the tests check, for a small part of the time.
+Byte-level BPE first splits a text into words, numbers, marks and white space. Texts are cut at such
+boundaries where ASCII shows them, each different piece is coded once by the library, and the ids are put
+together: the same ids as those of the whole text, as the tests check, in less time. A worker remembers
+the ids of pieces; beyond ``KNOWN_PIECES`` it forgets those it has not met lately.
 
 Defined results: a null or empty text has the end id only. A null doc_id comes first; rows that share a
 doc_id are ordered by a hash of the text, those that share both by their place in the input, which must
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -46,33 +48,83 @@ END_ID = 0
 PIECE_IDS = 1 << 18
 #: Text that is cut and coded at once, in bytes.
 SLICE_BYTES = 8 << 20
+#: Some 250 bytes each, and twice so many at most, besides those of a slice.
+KNOWN_PIECES = 200_000
 #: Bytes of a row group, and after how many rows its size is looked at.
 ROW_GROUP = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 4}
 FILE_SCHEMA = "part int, piece long, n_ids long, doc_ids array<long>, lengths array<long>, ids binary"
 
 
-@lru_cache(2)
-def _tokenizer(definition: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+class _Coder:
+    """The library's tokenizer in a task, and the ids of pieces of text it met before."""
 
-    made = Tokenizer.from_str(definition)
-    made.encode_special_tokens = True
-    return made
+    def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer.encode_special_tokens = True
+        self.recent: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
-def _cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where the pieces of some texts begin: at each text, and at each blank that is followed by a visible
-    character. Bytes that may begin a white-space character beyond ASCII don't count as visible."""
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, four bytes each."""
+        if len(self.recent) > KNOWN_PIECES:  # what was not met since the last time is forgotten
+            self.earlier, self.recent = self.recent, {}
+        recent, earlier, new = self.recent, self.earlier, []
+        for piece in pieces:
+            if piece not in recent:
+                if piece in earlier:
+                    recent[piece] = earlier[piece]
+                else:
+                    new.append(piece)
+        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            recent[piece] = array("I", found.ids).tobytes()
+        return [recent[p] for p in pieces]
+
+
+@lru_cache(2)
+def _coder_of(definition: str) -> _Coder:
+    return _Coder(definition)
+
+
+@lru_cache(1)
+def _boundaries() -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of bytes whether a text is cut between them wherever they stand, and for each byte
+    whether a text is cut before a blank that it follows.
+
+    No token joins an ASCII letter or digit to an ASCII character of another kind behind it, nor a mark to
+    a digit, white space or (but for the apostrophe of 's) a letter behind it, nor anything visible to a
+    blank behind it. A token of white space depends on what follows it, so nothing is cut behind white space,
+    except before the last blank of it: a visible character takes that one along. Bytes beyond ASCII may
+    be of any kind."""
+    code = np.arange(128)
+    letter = ((code | 32) >= 97) & ((code | 32) <= 122)
+    digit = (code >= 48) & (code <= 57)
+    mark = (code > 32) & (code < 127) & ~letter & ~digit
+    white = (code == 32) | ((code >= 9) & (code <= 13))
+    cut = np.zeros((256, 256), bool)
+    cut[:128, :128] = (
+        (letter[:, None] & ~letter) | (digit[:, None] & ~digit)
+        | (mark[:, None] & (digit | white)) | ((mark & (code != 39))[:, None] & letter)
+    )
     visible = np.zeros(256, bool)
     visible[0x21:0x7F] = True
     visible[0xC3:0xF5] = True
-    visible[[0xE1, 0xE2, 0xE3]] = False
+    visible[[0xE1, 0xE2, 0xE3]] = False  # these and 0xC2 may begin white space
+    return cut.ravel(), visible
+
+
+def _cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the pieces of some texts begin: at each text, and at boundaries that all tokens keep."""
+    between, visible = _boundaries()
     cut = np.zeros(len(data) + 1, bool)
-    if len(data):
-        cut[: len(data) - 1] = (data[:-1] == 0x20) & visible[data[1:]]
-    cut[starts[starts > 0] - 1] = False  # what follows a text's last blank is another text
-    cut[starts[starts < len(data)]] = True
+    if len(data) > 1:
+        cut[1:-1] = between[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+        blank = (data[:-1] == 0x20) & visible[data[1:]]
+        blank[starts[(starts > 0) & (starts < len(data))] - 1] = False  # a text's last blank
+        cut[:-2] |= blank
+    cut[starts] = True
     return np.flatnonzero(cut[: len(data)])
 
 
@@ -85,27 +137,25 @@ def ids_of(texts: pa.Array, definition: str) -> tuple[np.ndarray, np.ndarray]:
     at = at - at[0]
     begins = _cuts(data, at[:-1])
     if not len(begins):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
     bounds = np.append(begins, len(data)).astype(np.int64)
     cut = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
     coded = cut.dictionary_encode()
     which = coded.indices.to_numpy()
-    encoded = _tokenizer(definition).encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)
-    each = [e.ids for e in encoded]
-    length = np.fromiter(map(len, each), np.int64, len(each))
-    flat = np.fromiter((i for ids in each for i in ids), np.uint64, int(length.sum()))
+    each = _coder_of(definition).ids(coded.dictionary.to_pylist())
+    length = np.fromiter(map(len, each), np.int64, len(each)) // 4
+    flat = np.frombuffer(b"".join(each), np.uint32)
     first = np.cumsum(length) - length
     n = length[which]
-    ids = flat[np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-    # A text's ids are those of the cuts from its start on.
     total = np.zeros(len(n) + 1, np.int64)
     np.cumsum(n, out=total[1:])
-    ends = total[np.searchsorted(begins, at)]
-    return ids, np.diff(ends)
+    ids = flat[np.repeat(first[which] - total[:-1], n) + np.arange(total[-1])]
+    # A text's ids are those of the pieces from its start on.
+    return ids, np.diff(total[np.searchsorted(begins, at)])
 
 
 def _with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> np.ndarray:
-    return np.insert(ids, np.cumsum(counts), np.uint64(end_id))
+    return np.insert(ids, np.cumsum(counts), end_id)
 
 
 def _coder(definition: str, end_id: int, piece_ids: int):
