@@ -129,5 +129,133 @@ FROM failed f LEFT JOIN char_far c USING (doc_id) LEFT JOIN word_far x USING (do
 """
 
 
+def _crc32(text: str) -> str:
+    """The crc32 of a text's UTF-8 bytes, four bits at a time; the table follows from the polynomial."""
+    table = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ 0xEDB88320 if n & 1 else n >> 1
+        table.append(n)
+    nibbles = (
+        f"list_transform(range(0, 2 * octet_length(encode({text}))), "
+        f"lambda k: instr('0123456789ABCDEF', hex(encode({text}))[xor(k, 1) + 1]) - 1)"
+    )
+    step = f"lambda c, b: xor(c >> 4, ({table}::BIGINT[])[(xor(c, b) & 15) + 1])"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {nibbles}::BIGINT[]), {step}), 4294967295)"
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _field(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(CAST(octet_length(encode({text})) AS VARCHAR) || ':' || {text}, '-')"
+
+
+def _climb(name: str, levels: int) -> str:
+    """Levels of the trees of ``name`` (tree, place, digest): name_k has each node's siblings to the left
+    and right; a tree of one node has ended and is handed on as it is."""
+    steps = []
+    for k in range(levels):
+        source = name if k == 0 else f"{name}_up{k}"
+        steps.append(f"""{name}_{k} AS (
+  SELECT *, count(*) OVER (PARTITION BY tree) AS n,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM (SELECT tree, place, digest FROM {source}) WINDOW w AS (PARTITION BY tree, place // 8 ORDER BY place)
+), {name}_up{k + 1} AS (
+  SELECT tree, place // 8 AS place, CASE WHEN any_value(n) = 1 THEN any_value(digest)
+    ELSE sha256(string_agg(digest, '' ORDER BY place)) END AS digest
+  FROM {name}_{k} GROUP BY tree, place // 8
+)""")
+    return ", ".join(steps)
+
+
+def _fold(source: str, name: str, tree: str, place: str, levels: int) -> str:
+    """``source`` with start, proof and place carried through the levels of ``name``."""
+    steps, last = [], source
+    for k in range(levels):
+        steps.append(f"""{source}_{name}{k} AS (
+  SELECT s.* EXCLUDE (now, proof), s.proof || l.a || l.b AS proof,
+    CASE WHEN l.n > 1 THEN sha256(l.a || s.now || l.b) ELSE s.now END AS now
+  FROM {last} s JOIN {name}_{k} l ON s.{tree} = l.tree AND s.{place} // {8**k} = l.place
+)""")
+        last = f"{source}_{name}{k}"
+    return ", ".join(steps)
+
+
+#: Unrolled for 8^8 documents of a language and 8^4 languages.
+_LEVELS, _TOP_LEVELS = 8, 4
+
+OP12 = f"""
+WITH leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree,
+    sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+    CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN
+      sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))} || {_field(_LOWER.format("text"))})
+    END AS altered
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS place FROM leaves
+), node AS (SELECT tree, place, leaf AS digest FROM placed),
+{_climb("node", _LEVELS)}, subroots AS (
+  SELECT tree AS lang_tree, digest AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS top_place
+  FROM node_up{_LEVELS}
+), top AS (SELECT 0 AS tree, top_place AS place, subroot AS digest FROM subroots),
+{_climb("top", _TOP_LEVELS)}, held AS (
+  SELECT p.*, s.subroot, s.top_place, 0 AS top_tree, coalesce(altered, leaf) AS now, '' AS proof
+  FROM placed p JOIN subroots s ON p.tree = s.lang_tree
+), {_fold("held", "node", "tree", "place", _LEVELS)},
+{_fold(f"held_node{_LEVELS - 1}", "top", "top_tree", "top_place", _TOP_LEVELS)}
+SELECT doc_id, leaf, subroot, t.digest AS root, sha256(proof) AS proof_sha256, now AS folded_root,
+  now = t.digest AS verified
+FROM held_node{_LEVELS - 1}_top{_TOP_LEVELS - 1}, top_up{_TOP_LEVELS} t
+"""
+
+_RUNS = """list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"""
+_ALNUM = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, {_ALNUM.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+q AS (SELECT {_ALNUM.format(_LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),
+said AS (SELECT doc_id, unnest({_RUNS}) AS f FROM d),
+counted AS (SELECT doc_id, f, count(*) AS n FROM said GROUP BY doc_id, f),
+wanted AS (SELECT f, count(*) AS n FROM (SELECT unnest({_RUNS}) AS f FROM q) GROUP BY f),
+hashed AS (
+  SELECT f, {_crc32("f")} % 10000 AS bucket FROM (SELECT f FROM counted UNION SELECT f FROM wanted)
+), source AS (
+  SELECT bucket, sum(n) AS s FROM counted JOIN hashed USING (f) GROUP BY bucket
+), target AS (
+  SELECT bucket, sum(n) AS t FROM wanted JOIN hashed USING (f) GROUP BY bucket
+), sums AS (
+  SELECT (SELECT coalesce(sum(s), 0) FROM source) AS s_all, (SELECT coalesce(sum(t), 0) FROM target) AS t_all
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(
+    ((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)
+  )) AS BIGINT) AS gain
+  FROM source LEFT JOIN target USING (bucket), sums
+), weights AS (
+  SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight
+  FROM counted JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, len(w) >= 20 AS able, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features,
+    CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln(
+      (CAST('0x' || sha256('42:' || CAST(d.doc_id AS VARCHAR))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE
+    ))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (doc_id)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS r,
+    5 * count(*) OVER (PARTITION BY able) // 100 AS drawn
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND r <= drawn THEN r END AS rank FROM ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op3_line_dedup": OP3, "op8_substring_dedup": OP8}
+    return {
+        "op2_quality_rules": OP2, "op3_line_dedup": OP3, "op8_substring_dedup": OP8,
+        "op12_merkle_manifest": OP12, "op13_importance_resampling": OP13,
+    }
