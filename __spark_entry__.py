@@ -124,7 +124,7 @@ def _delivery_speeds(lines: DataFrame) -> DataFrame:
 def _forecast_months(lines: DataFrame) -> DataFrame:
     """Which months each series is forecast for, and the actual sales held out."""
     rows = seasonal_forecast(monthly.monthly_sales(lines, KEYS), KEYS)
-    return rows.where("status = 'ok'").select(
+    return rows.where("status <> 'too_short'").select(
         *KEYS, "phase", F.date_format("month", "yyyy-MM-dd").alias("month"), "actual_sales"
     )
 
@@ -317,6 +317,19 @@ def core_queries() -> dict[str, Query]:
         "sales_forecast": _of(date_sales, outlook.sales_forecast),
         "keyed_sales_forecast": _of(keyed_sales, lambda df: outlook.sales_forecast(df, KEYS)),
         "keyed_forecast_months": _of(keyed_sales, _forecast_months, actual_sales=4),
+        "model_parameters": _of(date_sales, outlook.model_parameters),
+        "keyed_model_parameters": _of(keyed_sales, lambda df: outlook.model_parameters(df, KEYS)),
+        "keyed_model_likelihood": _of(
+            keyed_sales, lambda df: outlook.model_likelihood(df, oracle_queries.GIVEN, KEYS),
+            log_likelihood=6, variance=2,
+        ),
+        "keyed_given_forecast": _of(
+            keyed_sales,
+            _months_as_text(
+                lambda df: outlook.given_forecast(df, oracle_queries.GIVEN, KEYS).drop("lower_ci", "upper_ci")
+            ),
+            actual_sales=4, predicted_sales=4,
+        ),
         "forecast_chart": _of(date_sales, _months_as_text(outlook.forecast_chart)),
     }
     return found

@@ -253,6 +253,65 @@ SEASONS = f"""
                        {S} AS revenue FROM base GROUP BY year, month)"""
 
 
+#: Coefficients that the likelihood and the given forecast are compared at.
+GIVEN = (0.3, 0.2, -0.6, -0.5)
+
+
+def levinson(keys: str) -> str:
+    """``steps``: the best linear prediction of each differenced month from all before it, at the GIVEN
+    coefficients, by the Durbin-Levinson recursion over autocovariances in closed form. Each key's
+    series is there whole (cut 0) and without its last six months (cut 6); beyond its end the prediction
+    stands in for the value, six times."""
+    a, big_a, m, big_m = GIVEN
+    named = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
+
+    def first(ar: float, ma: float, lag: str) -> str:
+        zero = (1 + ma * ma + 2 * ar * ma) / (1 - ar * ar)
+        one = (1 + ar * ma) * (ar + ma) / (1 - ar * ar)
+        return f"CASE WHEN {lag} = 0 THEN {zero!r} ELSE {one!r} * pow({ar!r}, {lag} - 1) END"
+
+    return f"""
+    lags AS (
+      SELECT list(g ORDER BY h) AS g FROM (
+        SELECT h, sum(({first(big_a, big_m, 'abs(k)')}) * ({first(a, m, 'abs(h - 12 * k)')})) AS g
+        FROM range(0, 400) AS t(h), range(-60, 61) AS u(k) GROUP BY h)
+    ), listed AS (
+      SELECT {keys}, list(sales ORDER BY month) AS all_y, max(month) AS final FROM dense GROUP BY {keys}
+      HAVING count(*) > 18
+    ), cuts AS (
+      SELECT {keys}, cut, all_y, final, all_y[1:len(all_y) - cut] AS y
+      FROM listed, (VALUES (0), (6)) AS c(cut) WHERE len(all_y) - cut > 13
+    ), started AS (
+      SELECT *, list_transform(range(14, len(y) + 1), lambda i: y[i] - y[i - 1] - y[i - 12] + y[i - 13]) AS w
+      FROM cuts
+    ), steps AS (
+      WITH RECURSIVE r AS (
+        SELECT {keys}, cut, all_y, final, y, w, len(w) AS months, 1 AS n, CAST([] AS DOUBLE[]) AS phi, g[1] AS v,
+               w[1] * w[1] / g[1] AS squares, ln(g[1]) AS logs
+        FROM started, lags
+        UNION ALL
+        SELECT {named}, cut, all_y, final,
+               CASE WHEN n < months THEN y
+                 ELSE list_append(y, p + y[len(y)] + y[len(y) - 11] - y[len(y) - 12]) END,
+               CASE WHEN n < months THEN w ELSE list_append(w, p) END,
+               months, n + 1, next_phi, next_v,
+               CASE WHEN n < months THEN squares + (w[n + 1] - p) * (w[n + 1] - p) / next_v ELSE squares END,
+               CASE WHEN n < months THEN logs + ln(next_v) ELSE logs END
+        FROM (
+          SELECT *, list_sum(list_transform(range(1, n + 1), lambda j: next_phi[j] * w[n + 1 - j])) AS p
+          FROM (
+            SELECT *, v * (1 - k * k) AS next_v, list_append(
+              list_transform(range(1, n), lambda j: phi[j] - k * phi[n - j]), k) AS next_phi
+            FROM (
+              SELECT r.*, (g[n + 1] - coalesce(list_sum(
+                list_transform(range(1, n), lambda j: phi[j] * g[n + 1 - j])), 0)) / v AS k
+              FROM r, lags WHERE n < months + 6)
+          )
+        ) s
+      ) SELECT * FROM r
+    )"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
 
@@ -593,6 +652,24 @@ def oracle_sql() -> dict[str, str]:
     FROM ends, range(1, 7) AS steps(k)""",
         dense(keyed),
     )
+    sql["keyed_model_likelihood"] = lines(
+        f"""
+    SELECT {keyed}, months AS differenced_months,
+           round(-0.5 * (months * (ln(2 * pi() * squares / months) + 1) + logs), 6) AS log_likelihood,
+           round(squares / months, 2) AS variance
+    FROM steps WHERE cut = 0 AND n = months""",
+        dense(keyed), levinson(keyed),
+    )
+    sql["keyed_given_forecast"] = lines(
+        f"""
+    SELECT {keyed}, CASE WHEN cut = 0 THEN 'future' ELSE 'held_out' END AS phase,
+           strftime(last_day(CAST(date_trunc('month', final) + to_months(CAST(k - cut AS INTEGER)) AS DATE)),
+             '%Y-%m-%d') AS month,
+           round(CASE WHEN cut = 6 THEN all_y[len(all_y) - 6 + k] END, 4) AS actual_sales,
+           round(y[len(y) - 6 + k], 4) AS predicted_sales
+    FROM steps, range(1, 7) AS t(k) WHERE n = months + 6""",
+        dense(keyed), levinson(keyed),
+    )
     sql["unusable_line_count"] = raw_lines(
         "SELECT count(*) FILTER (order_date IS NULL) AS dropped_rows, count(*) AS rows_read"
         " FROM (SELECT coalesce(try_strptime(order_date, '%Y-%m-%d'),"
