@@ -171,6 +171,25 @@ def test_publish_writes_everything(spark, raw_file, tmp_path):
         "Customer ID", "Customer Name", "Segment", "Total Sales", "Total Profit", "Order Count",
         "Avg Order Value", "First Order Date", "Last Order Date", "Customer Lifetime (days)",
     ]
+    sheets = {
+        "executive_yearly": [
+            "Year", "Total Revenue", "Total Profit", "Total Orders", "Avg Order Value", "Profit Margin %",
+            "YoY Growth %",
+        ],
+        "top_customers": [
+            "Customer ID", "Customer Name", "Segment Lookup", "Total Revenue", "Total Profit", "Order Count",
+            "Avg Order Value",
+        ],
+        "product_performance": [
+            "Category", "Sub-Category", "Product Name", "Sales", "Profit", "Order Count", "Margin %",
+        ],
+    }
+    for name, header in sheets.items():
+        assert read_part(parts(folder / "workbook" / name)[0])[0] == header
+    regional = read_part(parts(folder / "workbook" / "regional_analysis")[0])[0]
+    assert regional[0] == "Region" and regional[-3:] == ["Total Sales", "Total Profit", "Profit Margin"]
+    assert counts["statistics"]["margin_correlation_matrix"] == 16
+    assert counts["statistics"]["business_insights"] >= 6
     forecast = read_part(parts(folder / "sales_forecast")[0])
     assert forecast[0] == ["month", "predicted_sales", "lower_ci", "upper_ci"]
     assert len(forecast) == 7

@@ -87,8 +87,21 @@ def test_matrix_and_insights_scan_once(spark):
     figures = order_lines(
         spark, SMALL, ["order_date", "sales", "profit", "discount", "region", "segment"]
     )
-    assert plan(insights.figures(figures)).count("l_extendedprice#") > 0
-    assert plan(insights.figures(figures)).count("lineitem.parquet") == 1
+    cells = plan(significance.statistic_cells(figures))
+    assert cells.count("lineitem.parquet") == 1 and "Expand" not in cells and "Python" not in cells
+
+
+def test_cells_leave_out_what_is_not_used(small_lines):
+    cells = significance.statistic_cells(small_lines)
+    assert "covar_pop" in plan(cells) and "covar_pop" not in plan(cells.select("region", "profit_margin_pct_alone"))
+
+
+def test_all_statistics_come_from_kept_cells(spark):
+    lines = order_lines(
+        spark, SMALL, ["order_date", "sales", "profit", "discount", "quantity", "region", "segment"]
+    )
+    for name, table in significance.statistic_tables(lines).items():
+        assert "lineitem" not in plan(table), name
 
 
 def test_distinct_orders_are_spread_before_they_are_counted(spark):

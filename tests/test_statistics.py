@@ -14,6 +14,7 @@ from tillwise.operators.hypothesis import (
     pearson_t,
     welch_test,
 )
+from tillwise.operators.moments import correlation_of, count_of, mean_of, pair_name, rolled_up, states, variance_of
 from tillwise.plans import insights, significance
 from pyspark.sql import functions as F
 
@@ -155,3 +156,63 @@ def test_insights_agree_with_the_single_statistics(small_lines):
     assert found[2]["p_value"] == pytest.approx(tests["discount"]["p_value"])
     assert found[3]["statistic"] == pytest.approx(spread["f_stat"])
     assert found[7]["statistic"] == pytest.approx(split["t_stat"])
+
+
+def test_merged_moments_are_those_of_the_whole(spark, rows):
+    pick = np.random.default_rng(6)
+    x = 1e9 + pick.normal(0, 1, 3000)
+    y = np.where(pick.random(3000) < 0.2, np.nan, 0.5 * x + pick.normal(0, 1, 3000))
+    group = [None if i % 7 == 0 else f"g{i % 3}" for i in range(3000)]
+    data = [(g, i % 200, float(a), None if np.isnan(b) else float(b)) for i, (g, a, b) in enumerate(zip(group, x, y))]
+    frame = rows(data, "g string, cell int, x double, y double")
+    both, alone = pair_name("x", "y"), pair_name("x")
+    cells = frame.groupBy("g", "cell").agg(*states([("x", "y"), ("x", None)]))
+    for keys in ([], ["g"]):
+        got = rolled_up(cells, keys, [both, alone]).select(
+            *keys, count_of(both).alias("n"), correlation_of(both).alias("r"), mean_of(alone).alias("mean"),
+            variance_of(alone).alias("variance"),
+        )
+        for row in got.collect():
+            held = [i for i, g in enumerate(group) if not keys or g == row["g"]]
+            full = [i for i in held if not np.isnan(y[i])]
+            assert row["n"] == len(full)
+            assert row["r"] == pytest.approx(np.corrcoef(x[full], y[full])[0, 1], rel=1e-6)
+            assert row["mean"] == pytest.approx(np.mean(x[held]), rel=1e-14)
+            assert row["variance"] == pytest.approx(np.var(x[held], ddof=1), rel=1e-6)
+        assert got.count() == (4 if keys else 1)
+
+
+def test_a_constant_stays_constant_when_merged(rows):
+    frame = rows([(i % 30, 0.1, float(i), None) for i in range(900)], "cell int, x double, y double, z double")
+    pairs = [("x", "y"), ("x", None), ("z", None)]
+    cells = frame.groupBy("cell").agg(*states(pairs))
+    names = [pair_name(*p) for p in pairs]
+    got = rolled_up(cells, [], names).select(
+        correlation_of(names[0]), variance_of(names[1]), count_of(names[2]), mean_of(names[2]), variance_of(names[2])
+    )
+    assert tuple(got.first()) == (None, 0.0, 0, None, None)
+    empty = rolled_up(cells.where("false"), [], names).select(count_of(names[0]), correlation_of(names[0]))
+    assert tuple(empty.first()) == (0, None)
+
+
+def test_statistics_from_shared_cells_are_those_of_the_lines(small_lines):
+    cells = significance.statistic_cells(small_lines, 0.05)
+    shared = significance.tables_of_cells(cells) | {"business_insights": insights.insights_of_cells(cells, 0.05)}
+    alone = {
+        name: getattr(significance, name)(small_lines)
+        for name in shared
+        if name not in ("discount_split_means", "business_insights")
+    }
+    alone["discount_split_means"] = significance.discount_split_means(small_lines, 0.05)
+    alone["business_insights"] = insights.business_insights(small_lines, 0.05)
+    assert len(shared) == 11
+    for name, table in shared.items():
+        ours, theirs = (
+            sorted((r.asDict() for r in df.select(table.columns).collect()), key=lambda r: str(sorted((k, v) for k, v in r.items() if not isinstance(v, float))))
+            for df in (table, alone[name])
+        )
+        assert len(ours) == len(theirs) > 0
+        for a, b in zip(ours, theirs):
+            for column, value in b.items():
+                same = pytest.approx(value, rel=1e-9, abs=1e-12) if isinstance(value, float) else value
+                assert a[column] == same, (name, column)

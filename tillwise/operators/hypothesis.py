@@ -1,9 +1,10 @@
 """Correlation, analysis of variance and the unequal-variance t-test.
 
-Spark reduces the lines to counts, means and variances with its mergeable, partially
-aggregated moments; the statistics follow from those few numbers. What is undefined -
-a constant column, an empty spread - is null, never NaN and never a failed job, except
-where a test lacks the groups it needs.
+Spark reduces the lines to mergeable moment states (see ``moments``); the statistics follow
+from those few numbers. Each statistic has a form that takes states, which may come from the lines
+or from cells that other statistics share, and one that takes lines. What is undefined - a constant
+column, an empty spread - is null, never NaN and never a failed job, except where a test lacks the
+groups it needs.
 """
 
 from __future__ import annotations
@@ -14,20 +15,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.tails import f_p_value, t_p_value, verdict
-from tillwise.operators.keep import keep_small
-
-
-def pearson(x: Column, y: Column) -> Column:
-    """Correlation over rows that have both values; null when either is constant."""
-    both = x.isNotNull() & y.isNotNull()
-    left, right = F.when(both, x), F.when(both, y)
-    spread = F.stddev_pop(left) * F.stddev_pop(right)
-    r = F.covar_pop(left, right) / F.nullif(spread, F.lit(0))
-    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
-
-
-def pair_count(x: Column, y: Column) -> Column:
-    return F.count_if(x.isNotNull() & y.isNotNull())
+from tillwise.operators.moments import (
+    NOTHING,
+    correlation_of,
+    count_of,
+    mean_of,
+    merged,
+    pair_name,
+    squares_of,
+    state,
+    states,
+    variance_of,
+    varies,
+)
 
 
 def pearson_t(r: Column, n: Column) -> Column:
@@ -38,72 +38,74 @@ def pearson_t(r: Column, n: Column) -> Column:
     return F.when(n > 2, F.when(rest <= 0, perfect).otherwise(t))
 
 
-def correlations(lines: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """One row per pair of columns: n and r, all pairs from one pass."""
+def correlations(held: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """One row per pair of columns, n and r, from a row with the pairs' states."""
     structs = [
         F.struct(
             F.lit(x).alias("column_x"),
             F.lit(y).alias("column_y"),
-            pair_count(F.col(x), F.col(y)).alias("n"),
-            pearson(F.col(x), F.col(y)).alias("r"),
+            count_of(pair_name(x, y)).alias("n"),
+            correlation_of(pair_name(x, y)).alias("r"),
         )
         for x, y in pairs
     ]
-    return lines.agg(F.array(*structs).alias("pairs")).select(F.inline("pairs"))
+    return held.select(F.inline(F.array(*structs)))
 
 
-def correlation_tests(
-    lines: DataFrame, pairs: Sequence[tuple[str, str]], alpha: float = 0.05
+def tested_correlations(
+    held: DataFrame, pairs: Sequence[tuple[str, str]], alpha: float = 0.05
 ) -> DataFrame:
-    """Correlations with the two-sided test of no linear relation."""
-    tested = correlations(lines, pairs).withColumn("t_stat", pearson_t(F.col("r"), F.col("n")))
+    """Correlations with the two-sided test of no linear relation, from a row with the pairs' states."""
+    tested = correlations(held, pairs).withColumn("t_stat", pearson_t(F.col("r"), F.col("n")))
     tested = tested.withColumn("df", F.col("n") - 2)
     tested = tested.withColumn("p_value", t_p_value(F.col("t_stat"), F.col("df")))
     return tested.withColumn("verdict", verdict(F.col("p_value"), alpha))
 
 
-def correlation_matrix(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise correlations as (column_x, column_y, r) rows, mirrored, from one pass.
+def correlation_tests(
+    lines: DataFrame, pairs: Sequence[tuple[str, str]], alpha: float = 0.05
+) -> DataFrame:
+    return tested_correlations(lines.agg(*states(pairs)), pairs, alpha)
 
-    The diagonal is one, or null for a constant column.
-    """
-    measured = [
-        (x, y) for i, x in enumerate(columns) for y in columns[i + 1 :]
-    ]
+
+def matrix_pairs(columns: Sequence[str]) -> list[tuple[str, str | None]]:
+    """The pairs whose states make a correlation matrix; a column alone stands on the diagonal."""
+    return [*((x, y) for i, x in enumerate(columns) for y in columns[i + 1 :]), *((x, None) for x in columns)]
+
+
+def matrix_cells(held: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pairwise correlations as (column_x, column_y, r) rows, mirrored, from a row with the states of
+    ``matrix_pairs``. The diagonal is one, or null for a constant column."""
     cells = []
-    for x in columns:
-        varies = F.stddev_pop(x) > 0
-        cells.append((x, x, F.when(varies, F.lit(1.0))))
-    for x, y in measured:
-        r = pearson(F.col(x), F.col(y))
-        cells += [(x, y, r), (y, x, r)]
+    for x, y in matrix_pairs(columns):
+        if y is None:
+            cells.append((x, x, F.when(varies(pair_name(x)), F.lit(1.0))))
+        else:
+            r = correlation_of(pair_name(x, y))
+            cells += [(x, y, r), (y, x, r)]
     structs = [
         F.struct(F.lit(x).alias("column_x"), F.lit(y).alias("column_y"), r.alias("r"))
         for x, y, r in cells
     ]
-    return lines.agg(F.array(*structs).alias("cells")).select(F.inline("cells"))
+    return held.select(F.inline(F.array(*structs)))
 
 
-def group_means(lines: DataFrame, key: str, value: str) -> DataFrame:
-    """Mean of ``value`` per key, best first."""
-    means = lines.groupBy(key).agg(F.avg(value).alias("mean"))
-    return means.orderBy(F.desc_nulls_last("mean"), F.asc_nulls_last(key))
+def correlation_matrix(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return matrix_cells(lines.agg(*states(matrix_pairs(columns))), columns)
 
 
-def group_moments(lines: DataFrame, key: str, value: str) -> DataFrame:
-    return lines.groupBy(key).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("variance")
-    )
+def means_of_groups(held: DataFrame, key: str, name: str) -> DataFrame:
+    """Mean per key, best first, from a row with a state for each key."""
+    means = held.select(key, mean_of(name).alias("mean"))
+    return means.orderBy(F.desc_nulls_last("mean"), F.asc_nulls_last(key))
 
 
-def between_squares(n: Column, mean: Column, grand_mean: Column) -> Column:
-    """Spread of group means around the grand mean, summed over group rows."""
-    return F.coalesce(F.sum(n * (mean - grand_mean) * (mean - grand_mean)), F.lit(0.0))
+def group_states(lines: DataFrame, key: str, value: str) -> DataFrame:
+    return lines.groupBy(key).agg(*states([(value, None)]))
 
 
-def within_squares(n: Column, variance: Column) -> Column:
-    """Spread inside groups, summed over group rows; a single value has none."""
-    return F.coalesce(F.sum((n - 1) * F.coalesce(variance, F.lit(0.0))), F.lit(0.0))
+def group_means(lines: DataFrame, key: str, value: str) -> DataFrame:
+    return means_of_groups(group_states(lines, key, value), key, pair_name(value))
 
 
 def with_f_statistic(sums: DataFrame) -> DataFrame:
@@ -120,42 +122,39 @@ def with_f_statistic(sums: DataFrame) -> DataFrame:
     return degrees.withColumn("f_stat", F.when(F.col("groups") < 2, too_few).otherwise(f))
 
 
-def anova_from_moments(moments: DataFrame) -> DataFrame:
-    """F statistic and its degrees of freedom from per-group n, mean and variance.
-
-    Groups without values do not count. The group rows are kept for two short passes, as
-    subtracting the grand mean first loses no digits however many lines there are.
-    """
-    groups = keep_small(moments.where("n > 0"))
-    n, mean = F.col("n"), F.col("mean")
-    grand_mean = groups.agg(F.sum(n * mean) / F.nullif(F.sum(n), F.lit(0))).scalar()
-    sums = groups.agg(
-        F.count(F.lit(1)).alias("groups"),
-        F.coalesce(F.sum(n), F.lit(0)).alias("total_n"),
-        between_squares(n, mean, grand_mean).alias("between_ss"),
-        within_squares(n, F.col("variance")).alias("within_ss"),
-    )
-    return with_f_statistic(sums)
+def variance_parts(name: str, kept: Column | None = None) -> list[Column]:
+    """Groups with values, their values, and the spreads between and inside them, as aggregates over
+    rows with a state each. Merging states without inner spread leaves the spread of the means."""
+    held = F.when(F.col(name)["n"] > 0 if kept is None else kept & (F.col(name)["n"] > 0), F.col(name))
+    flat = held.withField("square_x", F.lit(0.0))
+    together = F.aggregate(F.collect_list(flat), F.expr(NOTHING), merged)
+    return [
+        F.count(held).alias("groups"),
+        F.coalesce(F.sum(held["n"]), F.lit(0)).alias("total_n"),
+        together["square_x"].alias("between_ss"),
+        F.coalesce(F.sum(F.when(held.isNotNull(), squares_of(held))), F.lit(0.0)).alias("within_ss"),
+    ]
 
 
-def anova(lines: DataFrame, key: str, value: str, alpha: float = 0.05) -> DataFrame:
-    """One-way analysis of variance of ``value`` over the groups of ``key``, as one row."""
-    result = anova_from_moments(group_moments(lines, key, value))
+def anova_of_groups(held: DataFrame, name: str, alpha: float = 0.05) -> DataFrame:
+    """One-way analysis of variance, as one row, from a row with a state for each group."""
+    result = with_f_statistic(held.agg(*variance_parts(name)))
     p = f_p_value(F.col("f_stat"), F.col("df_between"), F.col("df_within"))
     return result.withColumn("p_value", p).withColumn("verdict", verdict(F.col("p_value"), alpha))
 
 
-def split_moments(value: Column, first: Column, second: Column) -> list[Column]:
-    """n, mean and variance of ``value`` in two subsets, as one aggregate each."""
-    columns = []
-    for name, part in (("first", first), ("second", second)):
-        kept = F.when(part, value)
-        columns += [
-            F.count(kept).alias(f"{name}_n"),
-            F.avg(kept).alias(f"{name}_mean"),
-            F.var_samp(kept).alias(f"{name}_var"),
-        ]
-    return columns
+def anova(lines: DataFrame, key: str, value: str, alpha: float = 0.05) -> DataFrame:
+    """One-way analysis of variance of ``value`` over the groups of ``key``."""
+    return anova_of_groups(group_states(lines, key, value), pair_name(value), alpha)
+
+
+def split_moments(first: str, second: str) -> list[Column]:
+    """n, mean and variance of two subsets from their states."""
+    return [
+        column.alias(f"{side}_{what}")
+        for side, name in (("first", first), ("second", second))
+        for what, column in (("n", count_of(name)), ("mean", mean_of(name)), ("var", variance_of(name)))
+    ]
 
 
 def welch_statistics(moments: DataFrame) -> DataFrame:
@@ -177,23 +176,28 @@ def welch_statistics(moments: DataFrame) -> DataFrame:
     )
 
 
+def welch_of_states(held: DataFrame, first: str, second: str, alpha: float = 0.05) -> DataFrame:
+    """Two-sided t-test with unequal variances, as one row, from a row with the states of two subsets."""
+    tested = welch_statistics(held.select(*split_moments(first, second))).withColumn(
+        "p_value", t_p_value(F.col("t_stat"), F.col("df"))
+    )
+    return tested.withColumn("verdict", verdict(F.col("p_value"), alpha))
+
+
 def welch_test(
     lines: DataFrame, value: str, first: Column, second: Column, alpha: float = 0.05
 ) -> DataFrame:
-    """Two-sided t-test of two subsets with unequal variances, as one row from one pass."""
-    moments = lines.agg(*split_moments(F.col(value), first, second))
-    tested = welch_statistics(moments).withColumn(
-        "p_value", t_p_value(F.col("t_stat"), F.col("df"))
+    """The test of two subsets of the lines, from one pass."""
+    held = lines.agg(
+        state(value, where=first).alias("first_part"), state(value, where=second).alias("second_part")
     )
-    return tested.withColumn("verdict", verdict(F.col("p_value"), alpha))
+    return welch_of_states(held, "first_part", "second_part", alpha)
 
 
-def mean_confidence(lines: DataFrame, key: str, value: str, z: float = 1.96) -> DataFrame:
+def confidence_of_groups(held: DataFrame, key: str, name: str, z: float = 1.96) -> DataFrame:
     """Mean, count, spread and half-width of the 95 % interval per key, best first."""
-    grouped = lines.groupBy(key).agg(
-        F.avg(value).alias("mean"),
-        F.count(value).alias("count"),
-        F.stddev_samp(value).alias("std"),
+    grouped = held.select(
+        key, mean_of(name).alias("mean"), count_of(name).alias("count"), F.sqrt(variance_of(name)).alias("std")
     )
     sem = F.col("std") / F.sqrt(F.nullif(F.col("count"), F.lit(0)))
     return (
@@ -201,3 +205,7 @@ def mean_confidence(lines: DataFrame, key: str, value: str, z: float = 1.96) ->
         .withColumn("ci95", F.coalesce(F.lit(z) * F.col("sem"), F.lit(0.0)))
         .orderBy(F.desc_nulls_last("mean"), F.asc_nulls_last(key))
     )
+
+
+def mean_confidence(lines: DataFrame, key: str, value: str, z: float = 1.96) -> DataFrame:
+    return confidence_of_groups(group_states(lines, key, value), key, pair_name(value), z)

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from tillwise.operators.cleaning import clean_lines
+from tillwise.operators.keep import keep_small
+from tillwise.plans import insights, significance
 from tillwise.plans.extracts import EXTRACT_HEADERS, build_extracts
 from tillwise.plans.outlook import sales_forecast
 from tillwise.plans.sql_reports import REPORTS, SMALL_REPORTS
-from tillwise.plans.workbook import build_sheets
+from tillwise.plans.workbook import SHEET_HEADERS, build_sheets
 from tillwise.schema import HEADERS, REQUIRED, require_columns
 from tillwise.sources.order_files import (
     read_clean_table,
@@ -47,18 +49,23 @@ def clean_files(
 def publish(
     lines: DataFrame, folder: str, forecast_keys: Sequence[str] = ()
 ) -> dict[str, dict[str, int]]:
-    """Write reports, extracts, workbook tables and the forecast; return row counts."""
+    """Write reports, extracts, workbook tables, statistics and the forecast; return row counts.
+
+    All statistics and insights come from one table of cells, for which the lines are read once."""
     require_columns(lines, REQUIRED["reports"] | REQUIRED["extracts"])
     bounded = ("executive_summary", "executive_kpis", "executive_yearly", "regional_analysis",
                "top_customers")
     forecast = sales_forecast(lines, forecast_keys).drop("status")
     extracts, sheets = build_extracts(lines), build_sheets(lines)
+    cells = keep_small(significance.statistic_cells(lines))
+    statistics = significance.tables_of_cells(cells) | {"business_insights": insights.insights_of_cells(cells)}
     return {
         "reports": run_named_queries(lines, REPORTS, f"{folder}/reports", one_file=SMALL_REPORTS),
         "extracts": write_batch(
             extracts, f"{folder}/extracts", dict.fromkeys(extracts, EXTRACT_HEADERS), bounded
         ),
-        "workbook": write_batch(sheets, f"{folder}/workbook", one_file=bounded),
+        "workbook": write_batch(sheets, f"{folder}/workbook", SHEET_HEADERS, bounded),
+        "statistics": write_batch(statistics, f"{folder}/statistics", one_file=tuple(statistics)),
         "forecast": {
             "sales_forecast": write_csv(
                 forecast, f"{folder}/sales_forecast", one_file=not forecast_keys

@@ -1,8 +1,8 @@
 """Business insights: rules over the statistics, worded, from a single scan.
 
-Grouping sets compute the overall, regional, segment and monthly figures in one
-aggregation of the lines. Its result has a row per region, segment and month, and all
-rules are evaluated on that.
+The lines are reduced once to mergeable moment states per region, segment, year and month. The
+overall, regional, segment and monthly figures are merged from these cells, and all rules are
+evaluated on that.
 """
 
 from __future__ import annotations
@@ -10,59 +10,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.measures import named, total
 from tillwise.functions.tails import f_p_value, t_p_value
 from tillwise.operators.hypothesis import (
-    between_squares,
-    pair_count,
-    pearson,
     pearson_t,
     split_moments,
+    variance_parts,
     welch_statistics,
     with_f_statistic,
-    within_squares,
 )
 from tillwise.operators.keep import keep_small
+from tillwise.operators.moments import correlation_of, count_of, mean_of, pair_name, rolled_up
 from tillwise.plans.significance import (
     HIGH_DISCOUNT,
     MARGIN,
-    discounted,
+    SUBSETS,
+    TESTED_PAIRS,
     month_label,
-    statistic_lines,
-    undiscounted,
+    statistic_cells,
 )
 
 ALPHA = 0.05
 STRONG = 0.5
 
 
-def figures(lines: DataFrame, threshold: float = HIGH_DISCOUNT) -> DataFrame:
-    """All measures for the whole table and per region, segment and month."""
-    discount, margin = F.col("discount"), F.col(MARGIN)
-    sales, profit = F.col("sales"), F.col("profit")
-    keys = ["region", "segment", "year", "month"]
-    sets = [[], ["region"], ["segment"], ["year", "month"]]
-    dated = statistic_lines(lines, "region", "segment")
-    grouped = dated.groupingSets([[F.col(k) for k in s] for s in sets], *keys)
-    of_region, of_segment, of_month = (F.grouping(k) == 0 for k in ("region", "segment", "month"))
-    return grouped.agg(
-        F.when(of_region, "region")
-        .when(of_segment, "segment")
-        .when(of_month, "month")
-        .otherwise("all")
-        .alias("level"),
-        F.count(margin).alias("n"),
-        F.avg(margin).alias("mean"),
-        F.var_samp(margin).alias("variance"),
-        *named(revenue=total("sales")),
-        pair_count(discount, margin).alias("discount_n"),
-        pearson(discount, margin).alias("discount_r"),
-        pair_count(sales, profit).alias("profit_n"),
-        pearson(sales, profit).alias("profit_r"),
-        F.avg(F.when(discount >= threshold, margin)).alias("high_mean"),
-        F.avg(F.when(discount < threshold, margin)).alias("low_mean"),
-        *split_moments(margin, discounted(), undiscounted()),
-    )
+LEVELS = {"all": [], "region": ["region"], "segment": ["segment"], "month": ["year", "month"]}
+
+
+def figures(cells: DataFrame) -> DataFrame:
+    """All measures for the whole table and per region, segment and month, from kept cells."""
+    margin, (of_discount, of_profit) = pair_name(MARGIN), (pair_name(x, y) for x, y in TESTED_PAIRS)
+    rows = None
+    for level, keys in LEVELS.items():
+        names = [margin, of_discount, of_profit, *SUBSETS] if level == "all" else [margin]
+        level_rows = rolled_up(cells, keys, names, ["revenue"]).select(
+            F.lit(level).alias("level"), *keys, margin, mean_of(margin).alias("mean"),
+            F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
+            *(
+                [
+                    count_of(of_discount).alias("discount_n"), correlation_of(of_discount).alias("discount_r"),
+                    count_of(of_profit).alias("profit_n"), correlation_of(of_profit).alias("profit_r"),
+                    mean_of("high_part").alias("high_mean"), mean_of("low_part").alias("low_mean"),
+                    *split_moments(*SUBSETS[:2]),
+                ]
+                if level == "all"
+                else []
+            ),
+        )
+        rows = level_rows if rows is None else rows.unionByName(level_rows, allowMissingColumns=True)
+    return rows
 
 
 def _overall(name: str) -> Column:
@@ -75,19 +70,12 @@ def _extreme(level: str, key: Column, *shown: str) -> Column:
     return F.min(F.when((F.col("level") == level) & key.isNotNull(), picked))
 
 
-def _one_row(figures_rows: DataFrame) -> DataFrame:
-    kept = keep_small(figures_rows)
-    grand_mean = kept.where("level = 'all'").select("mean").scalar()
-    region = (F.col("level") == "region") & (F.col("n") > 0)
-    n, mean = F.when(region, F.col("n")), F.when(region, F.col("mean"))
+def _one_row(cells: DataFrame) -> DataFrame:
     moments = [f"{side}_{m}" for side in ("first", "second") for m in ("n", "mean", "var")]
     single = ["discount_n", "discount_r", "profit_n", "profit_r", "high_mean", "low_mean"]
-    row = kept.agg(
+    row = figures(cells).agg(
         *[_overall(name) for name in [*single, *moments]],
-        F.count(n).alias("groups"),
-        F.coalesce(F.sum(n), F.lit(0)).alias("total_n"),
-        between_squares(n, mean, grand_mean).alias("between_ss"),
-        within_squares(n, F.when(region, F.col("variance"))).alias("within_ss"),
+        *variance_parts(pair_name(MARGIN), F.col("level") == "region"),
         _extreme("region", -F.col("mean"), "region", "mean").alias("best_region"),
         _extreme("region", F.col("mean"), "region", "mean").alias("worst_region"),
         _extreme("segment", -F.col("mean"), "segment", "mean").alias("best_segment"),
@@ -128,6 +116,13 @@ def business_insights(lines: DataFrame, threshold: float = HIGH_DISCOUNT) -> Dat
 
     The comparison at the discount threshold appears only when both sides have lines.
     """
+    used = [pair_name(MARGIN), *(pair_name(x, y) for x, y in TESTED_PAIRS), *SUBSETS]
+    cells = statistic_cells(lines, threshold).select("region", "segment", "year", "month", *used, "revenue")
+    return insights_of_cells(keep_small(cells), threshold)
+
+
+def insights_of_cells(cells: DataFrame, threshold: float = HIGH_DISCOUNT) -> DataFrame:
+    """The insights from kept cells, which were made with the same threshold."""
     c = F.col
     no_p = F.lit(None).cast("double")
     strong = F.when(F.abs("profit_r") >= STRONG, "strong").otherwise("moderate")
@@ -190,7 +185,7 @@ def business_insights(lines: DataFrame, threshold: float = HIGH_DISCOUNT) -> Dat
                 split, c("split_p")),
         ),
     ]
-    found = _one_row(figures(lines, threshold)).select(
+    found = _one_row(cells).select(
         F.inline(F.array(*rows)), (c("high_mean").isNotNull() & c("low_mean").isNotNull()).alias("split_seen")
     )
     return found.where("insight_no <> 6 or split_seen").drop("split_seen").orderBy("insight_no")

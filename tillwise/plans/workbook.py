@@ -15,7 +15,7 @@ from tillwise.functions.measures import change, margin_fraction, named, ratio, t
 from tillwise.operators.derive import dated_lines
 from tillwise.operators.keep import keep_small
 from tillwise.operators.shaping import group_totals, previous, sales_pivot, top_rows
-from tillwise.schema import REQUIRED, require_columns
+from tillwise.schema import HEADERS, REQUIRED, require_columns
 
 GRAND_TOTAL = "Grand Total"
 LOW_MARGIN, HIGH_MARGIN = -0.2, 0.3
@@ -129,6 +129,33 @@ SHEETS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+# The published column names of each sheet, where they differ from the table's.
+_MONEY = {
+    "total_revenue": "Total Revenue",
+    "total_profit": "Total Profit",
+    "order_count": "Order Count",
+    "avg_order_value": "Avg Order Value",
+}
+SHEET_HEADERS: dict[str, dict[str, str]] = {
+    "executive_kpis": {"metric": "Metric", "value": "Value"},
+    "executive_yearly": {
+        **HEADERS,
+        **_MONEY,
+        "total_orders": "Total Orders",
+        "profit_margin": "Profit Margin %",
+        "yoy_growth": "YoY Growth %",
+    },
+    "regional_analysis": {
+        "region": "Region",
+        "total_sales": "Total Sales",
+        "total_profit": "Total Profit",
+        "profit_margin": "Profit Margin",
+    },
+    "top_customers": {**HEADERS, **_MONEY, "segment_lookup": "Segment Lookup"},
+    "product_performance": {**HEADERS, **_MONEY, "margin": "Margin %"},
+}
+
+
 def build_sheets(lines: DataFrame) -> dict[str, DataFrame]:
     """All workbook tables of one table of lines, ready for ``write_batch``."""
     require_columns(lines, REQUIRED["workbook"])
