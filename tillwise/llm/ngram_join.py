@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm import tokens
-from tillwise.llm.common import keep, text_key
+from tillwise.llm.common import keep, store, text_key
 from tillwise.llm.components import connected
 from tillwise.llm.filters import Filter, filter_of
 
@@ -306,16 +306,21 @@ def _component_of(keyed: DataFrame, found: DataFrame) -> DataFrame:
 def linked_sets(documents: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """Verified links between set hashes, as many as join the components and not all there are (pairs
     within a component are left out), and (node, component) of the sets they join."""
-    met = part_keys(documents, join).groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
-    shared = filter_of(keep(met.where("n > 1").select("key")), "key")
+    met = part_keys(documents, join).groupBy("key").agg(F.count("*").alias("n"))
+    shared = filter_of(store(met.where("n > 1").select("key")), "key")
     rows = part_keys(documents, join, shared).select("key", "set_hash").distinct()
-    keyed = keep(rows)
-    several = keyed.groupBy("key").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where("lo <> hi")
-    keyed = keyed.join(several.select("key"), "key")
+    keyed = store(rows)
+    # Keys that the same classes share lead to the same pairs: one of them is kept.
+    members = [F.count("*"), *(F.bit_xor(F.xxhash64("set_hash", F.lit(salt))) for salt in (1, 2))]
+    several = store(
+        keyed.groupBy("key").agg(*(m.alias(f"m{i}") for i, m in enumerate(members))).where("m0 > 1")
+    )
+    once = several.groupBy("m0", "m1", "m2").agg(F.min("key").alias("key")).select("key")
     # The class that shares most keys comes first: of a group of near copies, the one in the middle.
-    often = keyed.groupBy("set_hash").agg((-F.count("*")).alias("order"))
-    keyed = keep(keyed.join(often, "set_hash"))
-    sets = keep(candidate_sets(documents, join, filter_of(often, "set_hash")))
+    often = keyed.join(several.select("key"), "key").groupBy("set_hash").agg((-F.count("*")).alias("order"))
+    often = store(often)
+    keyed = store(keyed.join(once, "key").join(often, "set_hash"))
+    sets = store(candidate_sets(documents, join, filter_of(often, "set_hash")))
     place = F.struct("order", "set_hash")
     pivots = keyed.groupBy("key").agg(F.min(place).alias("pivot"))
     pairs = keyed.join(pivots, "key").select(F.col("set_hash").alias("a"), F.col("pivot.set_hash").alias("b"))
@@ -323,7 +328,7 @@ def linked_sets(documents: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]
     found = connected(all_links)
     sketches, thin = sets.select("set_hash", "sketch", "size"), THIN_ROUNDS
     while True:
-        pairs = keep(_across(keyed, found, sketches, join, thin > 0))
+        pairs = store(_across(keyed, found, sketches, join, thin > 0))
         fresh = keep(links(pairs.select("a", "b").distinct(), sets, join))
         linked = not fresh.isEmpty()
         if linked:
