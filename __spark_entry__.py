@@ -19,6 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 import oracle_queries  # noqa: E402
 from tillwise.functions.rounding import half_up  # noqa: E402
 from tillwise.operators import cleaning, monthly  # noqa: E402
+from tillwise.operators.date_formats import format_coverage  # noqa: E402
 from tillwise.operators.seasonal_model import seasonal_forecast  # noqa: E402
 from tillwise.operators.derive import dated_lines, with_dates, with_features  # noqa: E402
 from tillwise.plans import extracts, insights, outlook, profile, significance  # noqa: E402
@@ -30,6 +31,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 CATEGORIES = ("ECONOMY", "STANDARD", "PROMO", "SMALL", "MEDIUM", "LARGE")
 THRESHOLD = 0.05
 KEYS = ("region", "category")
+DATE_CANDIDATES = ("yyyy-MM-dd", "M/d/yyyy", "d/M/yyyy")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -242,6 +244,9 @@ def core_queries() -> dict[str, Query]:
         "cleaning_summary": _of(_raw_lines, cleaning.cleaning_summary),
         "median_filled_numbers": _of(_raw_lines, _filled_numbers),
         "tolerant_dates": _of(_raw_lines, _tolerant_dates),
+        "date_format_coverage": _of(
+            _raw_lines, lambda df: format_coverage(df, ["order_date", "ship_date"], DATE_CANDIDATES)
+        ),
         "raw_null_counts": _of(_raw_lines, cleaning.null_counts),
         "unusable_line_count": _of(_raw_lines, monthly.unusable_count),
         "table_shape": _of(everything, cleaning.table_shape),

@@ -492,6 +492,22 @@ def oracle_sql() -> dict[str, str]:
         "order_id order_date ship_date ship_mode segment city state region product_id category"
         " sub_category product_name sales quantity discount profit"
     ).split()
+    spellings = {"yyyy-MM-dd": "%Y-%m-%d", "M/d/yyyy": "%-m/%-d/%Y", "d/M/yyyy": "%-d/%-m/%Y"}
+    twins = {"M/d/yyyy": "d/M/yyyy", "d/M/yyyy": "M/d/yyyy"}
+
+    def is_date(column: str, shown: str) -> str:
+        return f"try_strptime({column}, '{spellings[shown]}') IS NOT NULL"
+
+    sql["date_format_coverage"] = raw_lines(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, '{f}' AS date_format, count({c}) AS text_count,"
+            f" count(*) FILTER ({is_date(c, f)}) AS parsed_count,"
+            f" count(*) FILTER ({is_date(c, f)}"
+            f"{f' AND NOT ({is_date(c, twins[f])})' if f in twins else ''}) AS alone_count FROM raw"
+            for c in ("order_date", "ship_date")
+            for f in spellings
+        )
+    )
     sql["raw_null_counts"] = raw_lines(
         " UNION ALL ".join(
             f"SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count FROM raw"

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tillwise.operators import cleaning
+from tillwise.operators.date_formats import detected_formats, format_coverage
 from tillwise.operators.derive import dated_lines, delivery_speed, parsed_date, parsed_number
 from tillwise.operators.median import exact_medians
 from tillwise.schema import numeric_columns, require_columns, snake_names, text_columns, with_headers
@@ -78,6 +79,33 @@ def test_median_search_on_many_and_hot_values(spark):
     assert got == {name: pdf[name].median() for name in pdf.columns}
 
 
+def test_formats_are_found_from_the_data(rows):
+    frame = rows(
+        [("13-02-2017", "2017-02-14", "1/2/2020", None), ("01-03-2017", "2017/3/5", "2/2/2020", "x"),
+         (None, "gap", "3/4/2020", "y")],
+        "a string, b string, c string, d string",
+    )
+    assert detected_formats(frame, ["a", "b", "d"]) == {
+        "a": ("d-M-yyyy",), "b": ("yyyy-MM-dd", "yyyy/M/d"), "d": (),
+    }
+    with pytest.raises(ValueError, match="column c: day and month can't be told apart"):
+        detected_formats(frame, ["c"])
+    mixed = rows([("13/1/2020",), ("1/13/2020",)], "c string")
+    with pytest.raises(ValueError, match="told apart"):
+        detected_formats(mixed, ["c"])
+    counts = {r["date_format"]: tuple(r)[2:] for r in format_coverage(frame, ["a"]).collect()}
+    assert counts["d-M-yyyy"] == (2, 2, 1) and counts["M-d-yyyy"] == (2, 1, 0) and counts["yyyy-MM-dd"] == (2, 0, 0)
+
+
+def test_lines_with_the_day_first_are_kept(rows):
+    raw = rows([line(order_date="13-02-2017", ship_date="15-02-2017"), line(order_date="01-03-2017", ship_date="x")], RAW)
+    assert cleaning.clean_lines(raw).count() == 0
+    formats = detected_formats(raw, ["order_date", "ship_date"])
+    kept = cleaning.clean_lines(raw, formats).first()
+    assert (str(kept["order_date"]), str(kept["ship_date"])) == ("2017-02-13", "2017-02-15")
+    assert cleaning.cleaning_summary(raw, {"order_date": ["d-M-yyyy"], "ship_date": []}).first() is not None
+
+
 def test_duplicates_and_invalid_dates(rows):
     raw = rows(
         [

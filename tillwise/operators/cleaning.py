@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -64,18 +65,24 @@ def _undated() -> Column:
     return F.col("order_date").isNull() | F.col("ship_date").isNull()
 
 
-def clean_lines(raw: DataFrame) -> DataFrame:
+def clean_lines(raw: DataFrame, formats: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
     """Fill, deduplicate, parse dates, drop undated lines and add the features.
 
+    ``formats`` gives the date spellings of a column, as ``detected_formats`` finds them.
+
     The order matters: filling first lets lines that differ only by a gap collapse, and
     turns missing date text into a word that then fails to parse.
     """
     require_columns(raw, REQUIRED["cleaning"])
-    parsed = with_dates(distinct_lines(fill_nulls(raw)), "order_date", "ship_date")
+    parsed = with_dates(
+        distinct_lines(fill_nulls(raw)), "order_date", "ship_date", formats=formats
+    )
     return with_features(parsed.where(~_undated()))
 
 
-def cleaning_summary(raw: DataFrame) -> DataFrame:
+def cleaning_summary(
+    raw: DataFrame, formats: Mapping[str, Iterable[str]] | None = None
+) -> DataFrame:
     """How many lines cleaning reads, removes and keeps, as one row.
 
     Copies are counted while they are collapsed, so the lines are shuffled once.
@@ -83,7 +90,7 @@ def cleaning_summary(raw: DataFrame) -> DataFrame:
     require_columns(raw, REQUIRED["cleaning"])
     filled = fill_nulls(raw)
     copies = filled.groupBy(*filled.columns).agg(F.count(F.lit(1)).alias("copies"))
-    dated = with_dates(copies, "order_date", "ship_date")
+    dated = with_dates(copies, "order_date", "ship_date", formats=formats)
     return dated.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_read"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates_removed"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,8 @@ def parsed_date(df: DataFrame, name: str, formats: Iterable[str] = DATE_FORMATS)
     value = F.col(name)
     if not isinstance(kind, T.StringType):
         return value.cast("date")
+    if not (formats := tuple(formats)):
+        return F.lit(None).cast("date")
     attempts = [F.try_to_timestamp(value, F.lit(pattern)).cast("date") for pattern in formats]
     return F.coalesce(*attempts)
 
@@ -34,8 +36,12 @@ def parsed_number(df: DataFrame, name: str) -> Column:
     return value.cast("double")
 
 
-def with_dates(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({name: parsed_date(df, name) for name in names})
+def with_dates(
+    df: DataFrame, *names: str, formats: Mapping[str, Iterable[str]] | None = None
+) -> DataFrame:
+    """The columns as dates; ``formats`` gives the spellings of some, the others have DATE_FORMATS."""
+    given = formats or {}
+    return df.withColumns({n: parsed_date(df, n, given.get(n, DATE_FORMATS)) for n in names})
 
 
 def delivery_speed(days: Column) -> Column:

@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.tails import f_p_value, t_p_value, verdict
 from tillwise.operators.moments import (
-    NOTHING,
+    all_merged,
     correlation_of,
     count_of,
     mean_of,
-    merged,
     pair_name,
     squares_of,
     state,
@@ -122,17 +121,20 @@ def with_f_statistic(sums: DataFrame) -> DataFrame:
     return degrees.withColumn("f_stat", F.when(F.col("groups") < 2, too_few).otherwise(f))
 
 
-def variance_parts(name: str, kept: Column | None = None) -> list[Column]:
+def variance_parts(name: str, kept: str = "true") -> list[Column]:
     """Groups with values, their values, and the spreads between and inside them, as aggregates over
-    rows with a state each. Merging states without inner spread leaves the spread of the means."""
-    held = F.when(F.col(name)["n"] > 0 if kept is None else kept & (F.col(name)["n"] > 0), F.col(name))
-    flat = held.withField("square_x", F.lit(0.0))
-    together = F.aggregate(F.collect_list(flat), F.expr(NOTHING), merged)
+    rows with a state each, of which the condition ``kept`` keeps some. Merging states without inner
+    spread leaves the spread of the means."""
+    counted = f"({kept}) AND {name}.n > 0"
+    flat = (
+        f"named_struct('n', {name}.n, 'mean_x', {name}.mean_x, 'mean_y', 0D, 'square_x', 0D, 'square_y', 0D,"
+        " 'product', 0D)"
+    )
     return [
-        F.count(held).alias("groups"),
-        F.coalesce(F.sum(held["n"]), F.lit(0)).alias("total_n"),
-        together["square_x"].alias("between_ss"),
-        F.coalesce(F.sum(F.when(held.isNotNull(), squares_of(held))), F.lit(0.0)).alias("within_ss"),
+        F.count(F.when(F.expr(counted), 1)).alias("groups"),
+        F.coalesce(F.sum(F.when(F.expr(counted), F.col(name)["n"])), F.lit(0)).alias("total_n"),
+        all_merged(f"if({counted}, {flat}, null)")["square_x"].alias("between_ss"),
+        F.coalesce(F.sum(F.when(F.expr(counted), squares_of(name))), F.lit(0.0)).alias("within_ss"),
     ]
 
 
@@ -185,9 +187,9 @@ def welch_of_states(held: DataFrame, first: str, second: str, alpha: float = 0.0
 
 
 def welch_test(
-    lines: DataFrame, value: str, first: Column, second: Column, alpha: float = 0.05
+    lines: DataFrame, value: str, first: str, second: str, alpha: float = 0.05
 ) -> DataFrame:
-    """The test of two subsets of the lines, from one pass."""
+    """The test of two subsets of the lines, given as conditions in SQL text, from one pass."""
     held = lines.agg(
         state(value, where=first).alias("first_part"), state(value, where=second).alias("second_part")
     )

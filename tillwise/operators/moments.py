@@ -14,7 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.measures import exact_sum, named
+from tillwise.functions.measures import exact_sum, named, sql_name
 
 NOTHING = (
     "named_struct('n', 0L, 'mean_x', 0D, 'mean_y', 0D, 'square_x', 0D, 'square_y', 0D, 'product', 0D)"
@@ -25,24 +25,19 @@ PARTS = 64
 _ROUNDING = 4e-15
 
 
-def state(x: str, y: str | None = None, where: Column | None = None) -> Column:
-    """The state of a pair of columns, or of one column, as an aggregate."""
-    y = y or x
-    kept = F.col(x).isNotNull() & F.col(y).isNotNull()
-    kept = kept if where is None else kept & where
-    left, right = (F.when(kept, F.col(c).cast("double")) for c in (x, y))
-    n = F.count(left)
-
-    def about(moment: Column) -> Column:
-        return F.coalesce(moment * n, F.lit(0.0))
-
-    return F.struct(
-        n.alias("n"),
-        F.coalesce(F.avg(left), F.lit(0.0)).alias("mean_x"),
-        F.coalesce(F.avg(right), F.lit(0.0)).alias("mean_y"),
-        about(F.var_pop(left)).alias("square_x"),
-        about(F.var_pop(right)).alias("square_y"),
-        about(F.var_pop(left) if x == y else F.covar_pop(left, right)).alias("product"),
+def state(x: str, y: str | None = None, where: str = "true") -> Column:
+    """The state of a pair of columns, or of one column, as an aggregate over the rows that meet a
+    condition given as SQL text."""
+    x, y = sql_name(x), sql_name(y or x)
+    kept = f"({where}) AND {x} IS NOT NULL AND {y} IS NOT NULL"
+    left, right = (f"if({kept}, cast({c} as double), null)" for c in (x, y))
+    product = f"var_pop({left})" if x == y else f"covar_pop({left}, {right})"
+    return F.expr(
+        f"named_struct('n', count({left}),"
+        f" 'mean_x', coalesce(avg({left}), 0D), 'mean_y', coalesce(avg({right}), 0D),"
+        f" 'square_x', coalesce(var_pop({left}) * count({left}), 0D),"
+        f" 'square_y', coalesce(var_pop({right}) * count({left}), 0D),"
+        f" 'product', coalesce({product} * count({left}), 0D))"
     )
 
 
@@ -56,24 +51,21 @@ def states(pairs: Iterable[tuple[str, str | None]]) -> list[Column]:
     return [state(x, y).alias(pair_name(x, y)) for x, y in pairs]
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The state of two parts together."""
-    n = a["n"] + b["n"]
-    share = F.coalesce(b["n"] / F.nullif(n, F.lit(0)), F.lit(0.0))
-    gap_x, gap_y, weight = b["mean_x"] - a["mean_x"], b["mean_y"] - a["mean_y"], a["n"] * share
-    return F.struct(
-        n.alias("n"),
-        (a["mean_x"] + gap_x * share).alias("mean_x"),
-        (a["mean_y"] + gap_y * share).alias("mean_y"),
-        (a["square_x"] + b["square_x"] + gap_x * gap_x * weight).alias("square_x"),
-        (a["square_y"] + b["square_y"] + gap_y * gap_y * weight).alias("square_y"),
-        (a["product"] + b["product"] + gap_x * gap_y * weight).alias("product"),
-    )
+#: The state of two parts together, as a lambda over states.
+_SHARE = "coalesce(b.n / nullif(a.n + b.n, 0), 0D)"
+MERGED = f"""(a, b) -> named_struct(
+  'n', a.n + b.n,
+  'mean_x', a.mean_x + (b.mean_x - a.mean_x) * {_SHARE},
+  'mean_y', a.mean_y + (b.mean_y - a.mean_y) * {_SHARE},
+  'square_x', a.square_x + b.square_x + (b.mean_x - a.mean_x) * (b.mean_x - a.mean_x) * a.n * {_SHARE},
+  'square_y', a.square_y + b.square_y + (b.mean_y - a.mean_y) * (b.mean_y - a.mean_y) * a.n * {_SHARE},
+  'product', a.product + b.product + (b.mean_x - a.mean_x) * (b.mean_y - a.mean_y) * a.n * {_SHARE})"""
 
 
-def all_merged(column: str) -> Column:
-    """The state of all rows of a group together, as an aggregate."""
-    return F.aggregate(F.collect_list(column), F.expr(NOTHING), merged)
+def all_merged(state_text: str) -> Column:
+    """The state of all rows of a group together, as an aggregate of states given as SQL text; null
+    ones are left out."""
+    return F.expr(f"aggregate(collect_list({state_text}), {NOTHING}, {MERGED})")
 
 
 def rolled_up(
@@ -82,7 +74,7 @@ def rolled_up(
     """Cells merged into groups of ``keys``: the states called ``names`` and exact sums of ``sums``."""
     finer = [c for c in cells.columns if c not in (*names, *sums)]
     totals = named(**{s: exact_sum(s) for s in sums})
-    aggregates = [*(all_merged(n).alias(n) for n in names), *totals]
+    aggregates = [*(all_merged(sql_name(n)).alias(n) for n in names), *totals]
     part = F.pmod(F.xxhash64(*(finer or [F.lit(0)])), F.lit(PARTS)).alias("part")
     parts = cells.select(*keys, part, *names, *sums).groupBy(*keys, "part").agg(*aggregates)
     return parts.groupBy(*keys).agg(*aggregates)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tillwise.operators.cleaning import clean_lines
+from tillwise.operators.date_formats import detected_formats
 from tillwise.operators.keep import keep_small
 from tillwise.plans import insights, significance
 from tillwise.plans.extracts import EXTRACT_HEADERS, build_extracts
@@ -30,16 +31,22 @@ def clean_files(
     table_path: str,
     raw_path: str | None = None,
     csv_copy: str | None = None,
+    formats: Mapping[str, Iterable[str]] | None = None,
+    detect: bool = False,
 ) -> DataFrame:
     """Clean raw CSV files into a Parquet table and return that table.
 
     The files are parsed once, into typed Parquet at ``raw_path`` (by default next to the
     table): the median passes then read a few number columns instead of parsing text again.
-    A CSV copy of the table, if asked for, is written in parallel as many files.
+    A CSV copy of the table, if asked for, is written in parallel as many files. ``formats`` gives
+    the date spellings of a column; with ``detect`` they are found from the data.
     """
     raw_path = raw_path or table_path.rstrip("/") + "_raw"
     read_order_csv(spark, csv_path, REQUIRED["cleaning"]).write.mode("overwrite").parquet(raw_path)
-    write_clean_table(clean_lines(spark.read.parquet(raw_path)), table_path)
+    raw = spark.read.parquet(raw_path)
+    if detect:
+        formats = detected_formats(raw, ["order_date", "ship_date"]) | dict(formats or {})
+    write_clean_table(clean_lines(raw, formats), table_path)
     clean = read_clean_table(spark, table_path)
     if csv_copy:
         write_csv(clean, csv_copy, HEADERS)

@@ -42,9 +42,10 @@ def figures(cells: DataFrame) -> DataFrame:
     rows = None
     for level, keys in LEVELS.items():
         names = [margin, of_discount, of_profit, *SUBSETS] if level == "all" else [margin]
-        level_rows = rolled_up(cells, keys, names, ["revenue"]).select(
+        sums = ["revenue"] if level == "month" else []
+        level_rows = rolled_up(cells, keys, names, sums).select(
             F.lit(level).alias("level"), *keys, margin, mean_of(margin).alias("mean"),
-            F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
+            *(F.coalesce(s, F.lit(0.0)).alias(s) for s in sums),
             *(
                 [
                     count_of(of_discount).alias("discount_n"), correlation_of(of_discount).alias("discount_r"),
@@ -73,9 +74,9 @@ def _extreme(level: str, key: Column, *shown: str) -> Column:
 def _one_row(cells: DataFrame) -> DataFrame:
     moments = [f"{side}_{m}" for side in ("first", "second") for m in ("n", "mean", "var")]
     single = ["discount_n", "discount_r", "profit_n", "profit_r", "high_mean", "low_mean"]
-    row = figures(cells).agg(
+    row = keep_small(figures(cells)).agg(
         *[_overall(name) for name in [*single, *moments]],
-        *variance_parts(pair_name(MARGIN), F.col("level") == "region"),
+        *variance_parts(pair_name(MARGIN), "level = 'region'"),
         _extreme("region", -F.col("mean"), "region", "mean").alias("best_region"),
         _extreme("region", F.col("mean"), "region", "mean").alias("worst_region"),
         _extreme("segment", -F.col("mean"), "segment", "mean").alias("best_segment"),

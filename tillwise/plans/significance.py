@@ -34,6 +34,8 @@ from tillwise.schema import require_columns
 MARGIN = "profit_margin_pct"
 TESTED_PAIRS = (("discount", MARGIN), ("sales", "profit"))
 HIGH_DISCOUNT = 0.20
+#: A negative discount is neither.
+DISCOUNTED, UNDISCOUNTED = "discount > 0", "discount = 0"
 MARGIN_COLUMNS = ("discount", MARGIN, "sales", "profit")
 SALES_COLUMNS = ("sales", "profit", "discount", "quantity")
 CELL_KEYS = ("region", "segment", "year", "month")
@@ -47,14 +49,6 @@ def statistic_lines(lines: DataFrame, *keys: str) -> DataFrame:
     return dated_lines(lines, MARGIN, "year", "month")
 
 
-def discounted() -> Column:
-    return F.col("discount") > 0
-
-
-def undiscounted() -> Column:
-    return F.col("discount") == 0
-
-
 def correlation_analysis(lines: DataFrame, alpha: float = 0.05) -> DataFrame:
     return correlation_tests(statistic_lines(lines), TESTED_PAIRS, alpha)
 
@@ -78,7 +72,7 @@ def region_margin_means(lines: DataFrame) -> DataFrame:
 def discount_ttest(lines: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Margins of discounted against undiscounted lines; a negative discount is neither."""
     return _ttest_columns(
-        welch_test(statistic_lines(lines), MARGIN, discounted(), undiscounted(), alpha)
+        welch_test(statistic_lines(lines), MARGIN, DISCOUNTED, UNDISCOUNTED, alpha)
     )
 
 
@@ -101,7 +95,8 @@ def discount_split_means(lines: DataFrame, threshold: float = HIGH_DISCOUNT) ->
 
 
 def _subset_states(threshold: float) -> list[Column]:
-    parts = (discounted(), undiscounted(), F.col("discount") >= threshold, F.col("discount") < threshold)
+    at = f"cast({threshold!r} as double)"
+    parts = (DISCOUNTED, UNDISCOUNTED, f"discount >= {at}", f"discount < {at}")
     return [state(MARGIN, where=part).alias(name) for name, part in zip(SUBSETS, parts)]
 
 
