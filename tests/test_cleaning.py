@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import statistics
+import struct
 from datetime import date
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tillwise.operators import cleaning
 from tillwise.operators.date_formats import detected_formats, format_coverage
 from tillwise.operators.derive import dated_lines, delivery_speed, parsed_date, parsed_number
-from tillwise.operators.median import exact_medians
+from tillwise.operators.median import exact_medians, ordered_key
 from tillwise.schema import numeric_columns, require_columns, snake_names, text_columns, with_headers
 
 RAW = (
@@ -63,8 +64,6 @@ def test_median_search_equals_sorting(spark, numbers):
     frame = spark.createDataFrame([(n,) for n in numbers], "x double").repartition(3)
     known = [n for n in numbers if n is not None]
     want = statistics.median(known) if known else None
-    # a limit of one value forces the rank search to narrow down by itself
-    assert exact_medians(frame, ["x"], small=1) == {"x": want}
     assert exact_medians(frame, ["x"]) == {"x": want}
 
 
@@ -74,11 +73,38 @@ def test_median_search_on_many_and_hot_values(spark):
         F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id").cast("double")).alias("hot"),
         F.when(F.col("id") % 2 == 0, 0.0).otherwise(1.0).alias("two"),
     )
-    got = exact_medians(frame, ["spread", "hot", "two"], small=100)
+    got = exact_medians(frame, ["spread", "hot", "two"])
     pdf = frame.toPandas()
     assert got == {name: pdf[name].median() for name in pdf.columns}
 
 
+def test_keys_sort_as_doubles_do(spark):
+    inf, tiny = float("inf"), 5e-324
+    edges = [2.0**e * f for e in (-1074, -1073, -1023, -1022, -1021, -1, 0, 1, 52, 53, 1023) for f in (1.0, 1.5, 1 + 2**-52, 2 - 2**-52)]
+    values = sorted({v * s for v in [*edges, 0.0, 0.1, 1e308, inf, tiny, 3 * tiny] for s in (1, -1)})
+    frame = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "x double")
+    pairs = [tuple(r) for r in frame.select("x", ordered_key(frame, "x").alias("k")).collect()]
+    assert all(k is None for x, k in pairs[-2:])
+    assert all(struct.unpack(">q", struct.pack(">d", abs(x)))[0] == abs(k) for x, k in pairs[:-2])
+    assert [x for x, _ in sorted(pairs[:-2], key=lambda p: p[1])] == values
+
+
+def test_medians_of_whole_numbers_and_passes(spark):
+    big = 2**62
+    frame = spark.createDataFrame([(big + i,) for i in range(5)] + [(None,)] * 4, "n bigint")
+    assert exact_medians(frame, ["n"]) == {"n": big + 2}
+    assert exact_medians(frame.limit(0), ["n"]) == {"n": None}
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("medians", "")
+    exact_medians(frame.repartition(2), ["n"], {"n": 5})
+    few = len(jobs.getJobIdsForGroup("medians"))
+    spark.sparkContext.setJobGroup("many medians", "")
+    wide = spark.range(50_000).select(F.expr("CASE WHEN id % 2 = 0 THEN id ELSE id * id * id END AS n"))
+    exact_medians(wide.repartition(2), ["n"], {"n": 50_000})
+    assert len(jobs.getJobIdsForGroup("many medians")) == few
+    spark.sparkContext.setJobGroup("", "")
+
+
 def test_formats_are_found_from_the_data(rows):
     frame = rows(
         [("13-02-2017", "2017-02-14", "1/2/2020", None), ("01-03-2017", "2017/3/5", "2/2/2020", "x"),

@@ -45,8 +45,8 @@ def _beta_fraction(x: float, a: float, b: float) -> float:
             step = c * d
             value *= step
         if abs(step - 1.0) < 1.0e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"no convergence of the beta fraction at x={x}, a={a}, b={b}")
 
 
 def incomplete_beta(x: float, complement: float, a: float, b: float) -> float:

@@ -29,7 +29,7 @@ def _without_nan(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
-def fill_numbers(df: DataFrame, small: int = 50_000) -> DataFrame:
+def fill_numbers(df: DataFrame) -> DataFrame:
     """Replace nulls in numeric columns by the column's exact median.
 
     A column with nulls becomes a double, as its median may lie between two integers;
@@ -42,7 +42,7 @@ def fill_numbers(df: DataFrame, small: int = 50_000) -> DataFrame:
     counts = df.agg(F.count(F.lit(1)), *[F.count(c).alias(c) for c in names]).first()
     holed = {c: counts[c] for c in names if counts[c] < counts[0]}
     as_double = df.withColumns({c: F.col(c).cast("double") for c in holed})
-    medians = exact_medians(as_double, list(holed), small, holed)
+    medians = exact_medians(as_double, list(holed), holed)
     known: dict[str, Any] = {c: m for c, m in medians.items() if m is not None}
     return as_double.fillna(known) if known else as_double
 
@@ -52,8 +52,8 @@ def fill_text(df: DataFrame) -> DataFrame:
     return df.fillna(UNKNOWN, subset=text_columns(df))
 
 
-def fill_nulls(df: DataFrame, small: int = 50_000) -> DataFrame:
-    return fill_text(fill_numbers(df, small))
+def fill_nulls(df: DataFrame) -> DataFrame:
+    return fill_text(fill_numbers(df))
 
 
 def distinct_lines(df: DataFrame) -> DataFrame:

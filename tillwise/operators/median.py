@@ -1,124 +1,133 @@
-"""Exact medians of many columns, without sorting or gathering a column.
+"""Exact medians of many columns by radix selection, in a fixed number of passes.
 
-The middle values are searched for by rank. Each round takes three sketch quantiles
-close to the wanted rank and counts the rows around them, which keeps about one row
-in 2,500; one scan serves all columns. Once few rows are left they are read exactly.
-The result does not depend on the sketch's error, only the number of rounds does.
+Every number gets a long key of its own that sorts as the number does. The value at a rank is
+found 16 bits of its key at a time: one aggregation counts, for all columns together, the rows of
+each digit among those that share the digits known so far, and a running sum over at most 65,536
+digits tells which one holds the rank. After four such passes the key is known. No value is
+gathered or sorted, whatever the size or the spread of a column.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_ACCURACY = 10_000
-_REACH = 2.0 / _ACCURACY
+_DIGIT = 16
+_PASSES = 64 // _DIGIT
+
+
+def _double_key(value: Column) -> Column:
+    """The bits of a double as a long that sorts as the double does; both zeros are 0."""
+    size = F.abs(value)
+    rough = F.floor(F.log2(size)).cast("double")
+    # The logarithm may be off next to a power of two; powers of two themselves are exact.
+    power = rough - (F.pow(F.lit(2.0), rough) > size).cast("int") + (
+        F.pow(F.lit(2.0), rough + 1) <= size
+    ).cast("int")
+    fraction = ((size / F.pow(F.lit(2.0), power) - 1) * F.lit(2.0**52)).cast("long")
+    normal = F.shiftleft((power + 1023).cast("long"), 52) + fraction
+    bits = (
+        F.when(size == 0, F.lit(0).cast("long"))
+        .when(size < F.lit(2.0**-1022), (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long"))
+        .when(size == F.lit(float("inf")), F.lit(0x7FF << 52))
+        .otherwise(normal)
+    )
+    return F.when(~F.isnan(value), F.when(value < 0, -bits).otherwise(bits))
+
+
+def _double_of(key: int) -> float:
+    value = struct.unpack(">d", struct.pack(">q", abs(key)))[0]
+    return -value if key < 0 else value
 
 
 @dataclass
 class _Search:
-    """Looks for the value at ``rank`` (from 0) among the rows still in range."""
+    """Looks for the key at ``rank`` (from 0) among those that begin with ``prefix``."""
 
     column: str
     rank: int
-    rows: int
-    low: Any = None
-    high: Any = None
-    value: Any = None
-
-    def inside(self) -> Column:
-        value = F.col(self.column)
-        test = value.isNotNull()
-        if self.low is not None:
-            test = test & (value > F.lit(self.low))
-        if self.high is not None:
-            test = test & (value < F.lit(self.high))
-        return test
-
-    def kept(self) -> Column:
-        return F.when(self.inside(), F.col(self.column))
-
-    def sketch(self) -> Column:
-        share = (self.rank + 0.5) / self.rows
-        points = [min(1.0, max(0.0, share + step)) for step in (-_REACH, 0.0, _REACH)]
-        return F.percentile_approx(self.kept(), points, _ACCURACY)
-
-    def counts(self, cuts: Sequence[Any]) -> list[Column]:
-        value = F.col(self.column)
-        columns = []
-        for cut in cuts:
-            columns.append(F.count_if(self.inside() & (value < F.lit(cut))))
-            columns.append(F.count_if(self.inside() & (value == F.lit(cut))))
-        return columns
-
-    def narrow(self, cuts: Sequence[Any], counts: Sequence[int]) -> None:
-        """Keep the open interval between two cuts that holds the rank, or stop at a cut."""
-        passed = 0
-        low = self.low
-        for index, cut in enumerate(cuts):
-            below, equal = counts[2 * index], counts[2 * index + 1]
-            if self.rank < below:
-                self.low, self.high = low, cut
-                self.rank, self.rows = self.rank - passed, below - passed
-                return
-            if self.rank < below + equal:
-                self.value = cut
-                return
-            passed, low = below + equal, cut
-        self.low = low
-        self.rank, self.rows = self.rank - passed, self.rows - passed
-
-
-def _one_row(df: DataFrame, columns: Sequence[Column]) -> list[Any]:
-    row = df.agg(*[column.alias(f"c{i}") for i, column in enumerate(columns)]).first()
-    return list(row)
+    prefix: int | None = None
+
+
+def ordered_key(df: DataFrame, name: str) -> Column:
+    """A long that sorts as the column does; null for nulls and NaN."""
+    if isinstance(df.schema[name].dataType, T.IntegralType):
+        return F.col(name).cast("long")
+    return _double_key(F.col(name).cast("double"))
+
+
+def _counts(keys: DataFrame, parts: Sequence[tuple[str, int | None]], known: int) -> DataFrame:
+    """(part, digit, before, rows): for each part, how many rows have the digit, and a smaller one."""
+    shift = 64 - _DIGIT * (known + 1)
+    found = []
+    for number, (column, prefix) in enumerate(parts):
+        key = F.col(column)
+        if prefix is None:  # the first digit carries the sign
+            digit, inside = F.shiftright(key, shift), key.isNotNull()
+        else:
+            digit = F.shiftright(key, shift).bitwiseAND((1 << _DIGIT) - 1)
+            inside = F.shiftright(key, shift + _DIGIT) == F.lit(prefix)
+        found.append(F.when(inside, F.struct(F.lit(number).alias("part"), digit.alias("digit"))))
+    rows = keys.select(F.explode(F.array(*found)).alias("found")).where("found IS NOT NULL")
+    counted = rows.groupBy("found.part", "found.digit").agg(F.count(F.lit(1)).alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy("part").orderBy("digit"))
+    return counted.withColumn("before", upto - F.col("rows"))
+
+
+def _narrow(keys: DataFrame, searches: Sequence[_Search], known: int) -> None:
+    """Adds the next digit to every search; the driver sees one row for each."""
+    parts = list(dict.fromkeys((s.column, s.prefix) for s in searches))
+    wanted = F.lit(False)
+    for search in searches:
+        part = parts.index((search.column, search.prefix))
+        wanted = wanted | (
+            (F.col("part") == part)
+            & (F.col("before") <= search.rank)
+            & (F.col("before") + F.col("rows") > search.rank)
+        )
+    hits = _counts(keys, parts, known).where(wanted).collect()
+    for search in searches:
+        part = parts.index((search.column, search.prefix))
+        for hit in hits:
+            if hit["part"] == part and hit["before"] <= search.rank < hit["before"] + hit["rows"]:
+                above = 0 if search.prefix is None else search.prefix << _DIGIT
+                search.prefix, search.rank = above + hit["digit"], search.rank - hit["before"]
+                break
 
 
 def exact_medians(
-    df: DataFrame,
-    columns: Sequence[str],
-    small: int = 50_000,
-    value_counts: Mapping[str, int] | None = None,
+    df: DataFrame, columns: Sequence[str], value_counts: Mapping[str, int] | None = None
 ) -> dict[str, Any]:
     """Median of each column, the mean of the two middle values for an even count.
 
-    A column without values has the median ``None``. At most ``small`` values of a
-    column are ever gathered in one place. ``value_counts`` saves the first scan when the
-    number of non-null values is already known.
+    A column without values has the median ``None``; NaN is no value, decimals count as doubles.
+    The rows are read four times, and once more where ``value_counts``, the numbers of values, are
+    not given.
     """
     if not columns:
         return {}
+    keys = df.select(*[ordered_key(df, name).alias(f"key_{i}") for i, name in enumerate(columns)])
     if value_counts is None:
-        value_counts = dict(zip(columns, _one_row(df, [F.count(F.col(c)) for c in columns])))
+        counted = keys.agg(*[F.count(name) for name in keys.columns]).first()
+        value_counts = dict(zip(columns, counted))
     searches = {
-        name: [_Search(name, rank, rows) for rank in sorted({(rows - 1) // 2, rows // 2})]
-        for name in columns
+        name: [_Search(key, rank) for rank in sorted({(rows - 1) // 2, rows // 2})]
+        for name, key in zip(columns, keys.columns)
         if (rows := value_counts[name])
     }
-    open_searches = [s for pair in searches.values() for s in pair]
-    while wide := [s for s in open_searches if s.value is None and s.rows > small]:
-        # the two middle ranks of a column share their range, and with it the cuts
-        ranges = {(s.column, s.low, s.high): s for s in wide}
-        sketches = _one_row(df, [s.sketch() for s in ranges.values()])
-        cuts = {at: sorted(set(points)) for at, points in zip(ranges, sketches)}
-        counted = _one_row(df, [c for at, s in ranges.items() for c in s.counts(cuts[at])])
-        counts = {}
-        for at, own in cuts.items():
-            counts[at], counted = counted[: 2 * len(own)], counted[2 * len(own) :]
-        for search in wide:
-            at = (search.column, search.low, search.high)
-            search.narrow(cuts[at], counts[at])
-    last = [s for s in open_searches if s.value is None]
-    if last:
-        picks = [F.get(F.sort_array(F.collect_list(s.kept())), F.lit(s.rank)) for s in last]
-        for search, value in zip(last, _one_row(df, picks)):
-            search.value = value
+    every = [search for pair in searches.values() for search in pair]
+    if every:
+        for known in range(_PASSES):
+            _narrow(keys, every, known)
     medians: dict[str, Any] = dict.fromkeys(columns)
     for name, pair in searches.items():
-        values = [search.value for search in pair]
+        whole = isinstance(df.schema[name].dataType, T.IntegralType)
+        values = [search.prefix if whole else _double_of(search.prefix) for search in pair]
         medians[name] = values[0] if len(values) == 1 else (values[0] + values[1]) / 2
     return medians
