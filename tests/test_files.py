@@ -14,7 +14,9 @@ from tillwise.sources.order_files import (
     read_clean_table,
     read_order_csv,
     run_named_queries,
+    save_bucketed_lines,
     save_lines_table,
+    sort_out_order_csv,
     write_batch,
     write_clean_table,
     write_csv,
@@ -194,3 +196,54 @@ def test_publish_writes_everything(spark, raw_file, tmp_path):
     assert forecast[0] == ["month", "predicted_sales", "lower_ci", "upper_ci"]
     assert len(forecast) == 7
     assert (folder / "reports" / "08_ship_mode_impact").is_dir()
+
+
+def test_whole_numbers_spelled_as_decimals(spark, tmp_path):
+    path = write_raw(tmp_path / "x.csv", [{"Quantity": q} for q in ("2.0", " 3 ", "1e2", "NA", str(2**60 + 1))], ["Quantity"])
+    assert [r[0] for r in read_order_csv(spark, path).collect()] == [2, 3, 100, None, 2**60 + 1]
+    path = write_raw(tmp_path / "y.csv", [{"Quantity": "2.5"}], ["Quantity"])
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        read_order_csv(spark, path).collect()
+
+
+def test_rejected_rows_are_an_output(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text(
+        "Order ID,Sales,Quantity,Reason\n"
+        'a,1.5,2.0,ok\nb,ten,x,bad\nc,NA,,gap\nd,1\ne,1,2,x,more\nf,2,2.5,half\n"g, g",3,4,\n'
+    )
+    kept, rejected, counts = sort_out_order_csv(spark, str(path), str(tmp_path / "sorted"))
+    assert kept.columns == ["order_id", "sales", "quantity", "Reason"]
+    assert sorted(map(tuple, kept.collect()), key=lambda r: r[0]) == [
+        ("a", 1.5, 2, "ok"), ("c", None, None, "gap"), ("g, g", 3.0, 4, None)
+    ]
+    found = {r["cells"]["order_id"]: r for r in rejected.collect()}
+    assert {k: r["reason"] for k, r in found.items()} == {
+        "b": "sales is no number, quantity is no number", "d": "wrong number of cells",
+        "e": "wrong number of cells", "f": "quantity is no number",
+    }
+    assert found["d"]["raw_row"] == "d,1" and found["b"]["cells"]["sales"] == "ten"
+    assert counts == {"kept": 3, "rejected": 4}
+
+
+def test_bucketed_lines_are_read_in_place(spark, small_lines):
+    spark.sql("DROP TABLE IF EXISTS lines_by_order")
+    save_bucketed_lines(small_lines.select("order_id", "region", "sales"), "lines_by_order", 4)
+    try:
+        table = spark.table("lines_by_order")
+        sums = table.groupBy("order_id").sum("sales")
+        both = table.hint("merge").join(sums, "order_id")
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert both.count() == small_lines.count()
+        pairs = table.groupBy("order_id", "region").count()
+        assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.sql("DROP TABLE lines_by_order")
+
+
+def test_cleaning_leaves_bad_rows_out(spark, tmp_path):
+    path = write_raw(tmp_path / "raw.csv", [*[raw_row(i) for i in range(20)], raw_row(30, Sales="ten")])
+    table = clean_files(spark, path, str(tmp_path / "clean"), rejected_path=str(tmp_path / "bad"))
+    assert table.count() == 20
+    assert spark.read.json(str(tmp_path / "bad")).first()["reason"] == "sales is no number"

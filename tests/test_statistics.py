@@ -6,6 +6,7 @@ from datetime import date
 import numpy as np
 import pytest
 
+from tillwise.operators import sketches
 from tillwise.operators.hypothesis import (
     anova,
     correlation_matrix,
@@ -216,3 +217,20 @@ def test_statistics_from_shared_cells_are_those_of_the_lines(small_lines):
             for column, value in b.items():
                 same = pytest.approx(value, rel=1e-9, abs=1e-12) if isinstance(value, float) else value
                 assert a[column] == same, (name, column)
+
+
+def test_distinct_sketches_merge_to_any_group(spark, small_lines):
+    keys, counted = ["region", "segment", "year"], ["order_id", "customer_id"]
+    cells = sketches.distinct_cells(small_lines, keys, counted)
+    for group in ([], ["region"], ["segment", "year"]):
+        merged = sketches.merged_cells(cells, group, counted)
+        got = sketches.distinct_counts(merged, counted).collect()
+        exact = small_lines.groupBy(*group).agg(*[F.count_distinct(c).alias(c) for c in counted]).collect()
+        want = {tuple(r[k] for k in group): r for r in exact}
+        assert len(got) == len(want)
+        for row in got:
+            for name in counted:
+                right = want[tuple(row[k] for k in group)][name]
+                assert abs(row[name] - right) <= 4 * sketches.standard_error() * right + 1
+    none = sketches.distinct_cells(small_lines.where("false"), [], ["order_id"])
+    assert sketches.distinct_counts(none, ["order_id"]).first()[0] == 0

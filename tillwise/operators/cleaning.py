@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tillwise.functions.measures import sql_name
 from tillwise.operators.derive import with_dates, with_features
-from tillwise.operators.median import exact_medians
+from tillwise.operators.median import medians_and_counts
 from tillwise.schema import REQUIRED, numeric_columns, require_columns, text_columns
 
 UNKNOWN = "Unknown"
@@ -39,11 +39,10 @@ def fill_numbers(df: DataFrame) -> DataFrame:
     if not names:
         return df
     df = df.withColumns({c: _without_nan(df, c) for c in names})
-    counts = df.agg(F.count(F.lit(1)), *[F.count(c).alias(c) for c in names]).first()
-    holed = {c: counts[c] for c in names if counts[c] < counts[0]}
-    as_double = df.withColumns({c: F.col(c).cast("double") for c in holed})
-    medians = exact_medians(as_double, list(holed), holed)
-    known: dict[str, Any] = {c: m for c, m in medians.items() if m is not None}
+    medians, counts, rows = medians_and_counts(df, names, holed_only=True)
+    holed = {c for c in names if counts[c] < rows}
+    as_double = df.withColumns({c: F.col(c).cast("double") for c in names if c in holed})
+    known: dict[str, Any] = {c: m for c, m in medians.items() if m is not None and c in holed}
     return as_double.fillna(known) if known else as_double
 
 

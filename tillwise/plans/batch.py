@@ -19,6 +19,7 @@ from tillwise.sources.order_files import (
     read_clean_table,
     read_order_csv,
     run_named_queries,
+    sort_out_order_csv,
     write_batch,
     write_clean_table,
     write_csv,
@@ -33,17 +34,24 @@ def clean_files(
     csv_copy: str | None = None,
     formats: Mapping[str, Iterable[str]] | None = None,
     detect: bool = False,
+    rejected_path: str | None = None,
 ) -> DataFrame:
     """Clean raw CSV files into a Parquet table and return that table.
 
     The files are parsed once, into typed Parquet at ``raw_path`` (by default next to the
     table): the median passes then read a few number columns instead of parsing text again.
     A CSV copy of the table, if asked for, is written in parallel as many files. ``formats`` gives
-    the date spellings of a column; with ``detect`` they are found from the data.
+    the date spellings of a column; with ``detect`` they are found from the data. A cell that is no
+    number fails the job, unless ``rejected_path`` is given: rows with such cells or with a wrong
+    number of them are left out and written there as JSON, with the reason.
     """
     raw_path = raw_path or table_path.rstrip("/") + "_raw"
-    read_order_csv(spark, csv_path, REQUIRED["cleaning"]).write.mode("overwrite").parquet(raw_path)
-    raw = spark.read.parquet(raw_path)
+    if rejected_path:
+        raw, rejected, _ = sort_out_order_csv(spark, csv_path, raw_path, REQUIRED["cleaning"])
+        rejected.write.mode("overwrite").json(rejected_path)
+    else:
+        read_order_csv(spark, csv_path, REQUIRED["cleaning"]).write.mode("overwrite").parquet(raw_path)
+        raw = spark.read.parquet(raw_path)
     if detect:
         formats = detected_formats(raw, ["order_date", "ship_date"]) | dict(formats or {})
     write_clean_table(clean_lines(raw, formats), table_path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,10 +24,27 @@ def _cell(name: str, types: Mapping[str, T.DataType], tolerant: bool) -> Column:
     if name not in types:
         return present.alias(name)
     number = F.trim(present)
-    parsed = number.try_cast(types[name]) if tolerant else number.cast(types[name])
+    if isinstance(types[name], T.IntegralType):  # also as a file may spell it, 2.0
+        real = number.try_cast("double")
+        whole = F.when(real == F.rint(real), real.try_cast(types[name]))
+        parsed = F.coalesce(number.try_cast(types[name]), whole)
+        if not tolerant:  # what is no whole number fails here
+            parsed = F.when(present.isNull() | parsed.isNotNull(), parsed).otherwise(number.cast(types[name]))
+    else:
+        parsed = number.try_cast(types[name]) if tolerant else number.cast(types[name])
     return parsed.alias(name)
 
 
+def _text_reader(spark: SparkSession, multi_line: bool, encoding: str) -> DataFrameReader:
+    return (
+        spark.read.option("header", True)
+        .option("enforceSchema", False)
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+        .option("encoding", encoding)
+    )
+
+
 def read_order_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -44,18 +61,74 @@ def read_order_csv(
     that is no number fails the job, or becomes null when ``tolerant``. Files stay
     splittable unless ``multi_line`` is asked for (line breaks inside quotes).
     """
-    text = (
-        spark.read.option("header", True)
-        .option("enforceSchema", False)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("encoding", encoding)
-        .csv(path)
-    )
+    text = _text_reader(spark, multi_line, encoding).csv(path)
     named = require_columns(snake_names(text), needed)
     return named.select(*[_cell(name, types, tolerant) for name in named.columns])
 
 
+def sort_out_order_csv(
+    spark: SparkSession,
+    path: str | list[str],
+    folder: str,
+    needed: Iterable[str] = (),
+    types: Mapping[str, T.DataType] = NUMBER_TYPES,
+    multi_line: bool = False,
+    encoding: str = "UTF-8",
+) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Read order-line CSV files without failing on any row: (kept, rejected, row counts).
+
+    A row is rejected where it has more or fewer cells than the header, or a cell of a number column
+    that is no such number. ``kept`` is as ``read_order_csv`` gives it. ``rejected`` has ``reason``,
+    ``raw_row`` (the row as it stands in the file, for a wrong number of cells) and ``cells`` as text.
+    The files are parsed once, into two parts below ``folder`` (replaced); the counts, observed
+    during that write, add up to the files' rows.
+    """
+    found = _text_reader(spark, multi_line, encoding).csv(path)
+    header = require_columns(snake_names(found), needed)
+    raw_row, reason, is_rejected = (_free(header, n) for n in ("raw_row", "reason", "is_rejected"))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*found.columns, raw_row]])
+    read = (
+        _text_reader(spark, multi_line, encoding)
+        .option("mode", "PERMISSIVE")
+        .option("columnPruning", False)  # else only the cells that a query reads are counted
+        .option("columnNameOfCorruptRecord", raw_row)
+        .schema(schema)
+    )
+    text = read.csv(path).toDF(*header.columns, raw_row)
+    typed = {n: _cell(n, types, True) for n in header.columns}
+    wrong = [
+        F.when(typed[n].isNull() & _cell(n, {}, True).isNotNull(), F.lit(f"{n} is no number"))
+        for n in header.columns
+        if n in types
+    ]
+    malformed = F.when(F.col(raw_row).isNotNull(), F.lit("wrong number of cells"))
+    why = F.when(malformed.isNotNull(), malformed).otherwise(F.concat_ws(", ", *wrong)) if wrong else malformed
+    at = _free(header, "cells")
+    cells = F.struct(*[F.col(sql_name(n)) for n in header.columns]).alias(at)
+    checked = text.select(*typed.values(), raw_row, F.nullif(why, F.lit("")).alias(reason), cells)
+    rejected = F.col(reason).isNotNull()
+    seen = Observation()
+    checked = checked.withColumn(is_rejected, rejected).withColumn(at, F.when(rejected, F.col(at)))
+    checked = checked.observe(
+        seen, F.count_if(~F.col(is_rejected)).alias("kept"), F.count_if(F.col(is_rejected)).alias("rejected")
+    )
+    checked.write.mode("overwrite").partitionBy(is_rejected).parquet(folder)
+    stored = spark.read.schema(checked.schema).parquet(folder)
+    kept = stored.where(~F.col(is_rejected)).select(*[F.col(sql_name(n)) for n in header.columns])
+    dropped = stored.where(is_rejected).select(
+        F.col(reason).alias("reason"), F.col(raw_row).alias("raw_row"), F.col(at).alias("cells")
+    )
+    return kept, dropped, {name: seen.get[name] for name in ("kept", "rejected")}
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def write_clean_table(lines: DataFrame, path: str, balance: bool = True) -> None:
     """Store cleaned lines as Parquet partitioned by year, replacing ``path``.
 
@@ -82,6 +155,20 @@ def save_lines_table(lines: DataFrame, table: str) -> None:
     lines.write.mode("overwrite").format("parquet").saveAsTable(table)
 
 
+def save_bucketed_lines(lines: DataFrame, table: str, buckets: int, key: str = "order_id") -> None:
+    """Store lines as a catalog table, bucketed and sorted by ``key``, replacing it.
+
+    Joins and aggregates by ``key``, as distinct orders by any column need, then read it without an
+    exchange below them; so do joins with another table of as many buckets. Lines are brought
+    together by bucket first, so that each bucket is one file and not one for every task.
+    """
+    placed = lines.repartition(buckets, key)
+    (
+        placed.write.mode("overwrite").format("parquet")
+        .bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    )
+
+
 def write_csv(
     df: DataFrame,
     path: str,
