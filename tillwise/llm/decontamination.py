@@ -3,8 +3,9 @@
 Words are runs of letters and digits in lower case. A seed is a run of an item's words that chance
 seldom makes: three words where the product of their shares of the corpus is at most ``RATE``,
 else six words. Shares are counted over the whole corpus, so a phrase common in the language is no
-seed, while the words of a benchmark passage that many documents copy keep theirs rare enough. An
-item too short for either gives all its runs of three words.
+seed. Words inside a run of ``CONTEXT`` words that the benchmark has too are counted in the total
+only: how often an item leaks, in full or with a word in five changed, makes none of its words
+frequent. An item too short for either gives all its runs of three words.
 
 Texts are scanned once in tasks for runs that may be seeds, through a Bloom filter of fixed size
 (``FILTER_BITS``), so nothing that grows with the benchmark is sent to tasks. Around its hits a text
@@ -15,9 +16,10 @@ A pair's score is the best local alignment divided by that of the whole item, fr
 of at least ``LEAST_SCORE`` are returned; chance hits score far less.
 
 Defined results: a null or empty text or item matches nothing, nor do items with fewer than three
-words. Items equal in words are aligned once and each get their pair. Rows that repeat a doc_id
-are told apart by text, and a null doc_id is a value like any other; equal rows give one pair. Further
-columns are ignored.
+words. An item is its words: items equal in words are aligned once, and each item_id they stand
+under gets its pair. An item_id with several texts gives its best pair; a null item_id is a value like
+any other. Rows that repeat a doc_id are told apart by text, and a null doc_id is a value like any
+other; equal rows give one pair. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from tillwise.llm import tokens
 from tillwise.llm.common import keep, text_key
 
 SHORT, LONG = 3, 6
+#: Words in runs of so many that the benchmark has are taken for copies where shares are counted.
+CONTEXT = 4
 RATE = 1e-8
 FILTER_BITS = 24
 MARGIN = 64
@@ -75,7 +79,7 @@ def bloom(hashes: DataFrame) -> np.ndarray:
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
-    """(item, words) of each distinct word sequence; item is the smallest item_id that has it."""
+    """(item_id, words) of every row of the benchmark with SHORT words or more."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,17 +91,42 @@ def item_words(benchmark: DataFrame) -> DataFrame:
     return listed.where(F.size("words") >= SHORT)
 
 
-def word_shares(documents: DataFrame, words: DataFrame) -> DataFrame:
-    """(hash, share) of the benchmark's words: their part of all words of the corpus."""
-    bits = bloom(words)
+def _runs(items: DataFrame, n: int) -> DataFrame:
+    """(hash) of each run of n words of the items."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = [tokens.grams(np.asarray(w, np.int64).view(np.uint64), n) for w in batch["words"].to_pylist()]
+            found = np.unique(np.concatenate([*listed, np.zeros(0, np.uint64)]))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.as_signed(found))], ["hash"])
+
+    return items.select("words").mapInArrow(of, "hash long")
+
+
+def _copied(first: np.ndarray, hashes: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Which words lie in a run of CONTEXT words of one text that the filter of runs holds."""
+    if len(hashes) < CONTEXT:
+        return np.zeros(len(hashes), bool)
+    at = np.flatnonzero(_in_filter(runs, tokens.grams(hashes, CONTEXT)))
+    at = at[at + CONTEXT <= first[np.searchsorted(first, at, side="right")]]
+    steps = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(steps, at, 1)
+    np.add.at(steps, at + CONTEXT, -1)
+    return np.cumsum(steps)[:-1] > 0
+
+
+def word_shares(documents: DataFrame, items: DataFrame, words: DataFrame) -> DataFrame:
+    """(hash, share) of the benchmark's words: their part of all words of the corpus, those in
+    copies of the benchmark left out."""
+    bits, runs = bloom(words), bloom(_runs(items, CONTEXT))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, held = 0, []
             for i, j in tokens.slices(batch["text"]):
-                hashes = _hashed(batch["text"].slice(i, j - i))[1]
+                found, hashes = _hashed(batch["text"].slice(i, j - i))
                 total += len(hashes)
-                held.append(hashes[_in_filter(bits, hashes)])
+                held.append(hashes[_in_filter(bits, hashes) & ~_copied(found.first, hashes, runs)])
             value, times = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
             # The total goes with hash null.
             yield pa.RecordBatch.from_arrays(
@@ -116,7 +145,7 @@ def word_shares(documents: DataFrame, words: DataFrame) -> DataFrame:
 def seeds(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(hash, item, item_at): the rare runs of each item."""
     placed = items.select("item", F.posexplode("words").alias("at", "hash"))
-    shares = word_shares(documents, placed.select("hash").distinct())
+    shares = word_shares(documents, items, placed.select("hash").distinct())
     listed = placed.join(shares, "hash").groupBy("item").agg(
         F.sort_array(F.collect_list(F.struct("at", "hash", "share"))).alias("words")  # an item's own words
     )
@@ -249,9 +278,8 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def leaking(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id, score, last_word) of the documents that hold a copy of an item,
     with the best score of the pair and the last word of that passage."""
-    listed = keep(item_words(benchmark))
-    distinct = listed.groupBy("words").agg(F.min("item_id").alias("item"))
-    items = keep(distinct)
+    listed = keep(item_words(benchmark).select("item_id", "words", F.xxhash64("words").alias("item")))
+    items = keep(listed.groupBy("item").agg(F.first("words").alias("words")))
     found = keep(seeds(documents, items))
     held = keep(regions(documents, bloom(found)))
     placed = held.select("doc_id", "text_key", "start", F.size("words").alias("n"), F.explode("hits").alias("hit"))
@@ -268,8 +296,9 @@ def leaking(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         _scored, "doc_id long, text_key long, item long, score double, last_word int"
     )
     best = scored.groupBy("doc_id", "text_key", "item").agg(F.max(F.struct("score", "last_word")).alias("b"))
-    named = listed.join(items, "words").select("item", "item_id")
-    return best.join(named, "item").select("doc_id", "text_key", "item_id", "b.score", F.col("b.last_word").alias("last_word"))
+    named = best.join(listed.select("item", "item_id").distinct(), "item")
+    each = named.groupBy("doc_id", "text_key", "item_id").agg(F.max("b").alias("b"))  # of several texts under an id
+    return each.select("doc_id", "text_key", "item_id", "b.score", F.col("b.last_word").alias("last_word"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -280,6 +309,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no copy of an item, with all their columns."""
     leaks = leaking(documents, benchmark).select(F.col("doc_id").alias("leaked_id"), "text_key").distinct()
-    df = documents.select(*documents.columns, text_key().alias("leak_key"))
-    same = df["doc_id"].cast("long").eqNullSafe(leaks["leaked_id"]) & (df["leak_key"] == leaks["text_key"])
-    return df.join(leaks, same, "left_anti").select(*documents.columns)
+    key = F.xxhash64(documents["text"])  # no column is added, so none can clash with the input's
+    same = documents["doc_id"].cast("long").eqNullSafe(leaks["leaked_id"]) & (key == leaks["text_key"])
+    return documents.join(leaks, same, "left_anti")
