@@ -118,10 +118,11 @@ def _flight(level: int, last: bool):
     return of
 
 
-def copies(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_key, size, source_size, target, copies) of every row."""
+def copies(documents: DataFrame, key: Column | None = None) -> DataFrame:
+    """(doc_id, text_key, size, source_size, target, copies) of every row. ``text_key`` tells rows
+    of one doc_id apart, by text or by ``key``."""
     rows = documents.select(
-        "doc_id", "source", text_key().alias("text_key"), size_column().alias("size")
+        "doc_id", "source", (text_key() if key is None else key).alias("text_key"), size_column().alias("size")
     )
     rows = keep(rows)
     targets = keep(source_targets(rows))
@@ -164,12 +165,13 @@ def mixing(documents: DataFrame) -> DataFrame:
 
 
 def mixed(documents: DataFrame) -> DataFrame:
-    """The documents the mix takes, each as often as it takes it, with all their columns. Rows
-    that repeat a doc_id and its text stand for each other: one of them comes as often as all."""
-    drawn = copies(documents).groupBy("doc_id", "text_key").agg(F.sum("copies").alias("mix_copies"))
-    df = documents.select(*documents.columns, text_key().alias("mix_key"))
-    joined = df.join(drawn, df["doc_id"].eqNullSafe(drawn["doc_id"]) & (df["mix_key"] == drawn["text_key"]))
-    joined = joined.select(*[df[c] for c in documents.columns], "mix_key", "mix_copies")
-    once = joined.dropDuplicates(["doc_id", "mix_key"])
-    again = F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))
-    return once.select(*documents.columns, again.alias("mix_copy")).drop("mix_copy")
+    """The documents the mix takes, each as often as it takes it, with all their columns. Only rows
+    equal in every column stand for each other: one of them comes as often as all."""
+    names = documents.columns
+    own = documents.select(F.struct(*[documents[c] for c in names]).alias("row"))
+    drawn = copies(documents, F.xxhash64(*[documents[c] for c in names])).where("copies > 0")
+    drawn = drawn.groupBy("text_key").agg(F.sum("copies").alias("copies"))
+    df = own.withColumn("row_key", F.xxhash64("row"))
+    met = df.join(drawn, df["row_key"] == drawn["text_key"]).dropDuplicates(["row_key"])
+    again = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")
+    return met.select("row", again).select("row.*")
