@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Word separators: blank, tab to carriage return.
 WHITE = "\\x20\\x09-\\x0D"
+#: Copies of one row that a task makes at once.
+RUN = 20_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,6 +48,24 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.col(text))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column; names differ by more than case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def expanded(df: DataFrame, n: str) -> DataFrame:
+    """Each row as often as its column ``n`` says, which gives way to ``copy``, a running number
+    from 0. A row with many copies is cut into runs that are dealt over the tasks."""
+    few = df.where(F.col(n) <= RUN).withColumn("copy", F.explode(F.expr(f"sequence(0L, {n} - 1)")))
+    runs = df.where(F.col(n) > RUN).withColumn("run", F.explode(F.expr(f"sequence(0L, ({n} - 1) div {RUN})")))
+    ends = f"least({n} - 1, (run + 1) * {RUN} - 1)"
+    many = runs.repartition("run").withColumn("copy", F.explode(F.expr(f"sequence(run * {RUN}, {ends})")))
+    return few.drop(n).unionByName(many.drop(n, "run"))
+
+
 def same_document(left: DataFrame, right: DataFrame) -> Column:
     """Join condition on (doc_id, text_key); a null doc_id is a value like any other."""
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])

@@ -8,8 +8,12 @@ the two constraints until one of them is decided.
 
 Documents fly in blocks of about ``BLOCK_ROWS``; the at most two a block leaves undecided meet
 those of other blocks in a next flight, and so on, until one group a source is left. Only its last
-two are landed, with the word constraint dropped. Later flights take long documents first, so that
-the ones landed are short.
+two are landed, with the word constraint dropped. The longest tend to be undecided longest, so
+landing may miss the words by a long document; the last group then takes back or adds the documents
+that bring its words nearest to what was expected, a few in all.
+
+Rows equal in doc_id, text and source are counted first and dealt over blocks by a running number,
+so no block grows with the copies of one row.
 
 Defined results: a null or empty text has size 0 and nothing is taken from it. Documents without a
 source form a source that comes last. Repeated rows are drawn one by one. Every draw is seeded by
@@ -25,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.common import keep, numbered, text_key, words_column
+from tillwise.llm.common import expanded, keep, numbered, text_key, words_column
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -96,6 +100,21 @@ def land(chance: np.ndarray, random: np.random.Generator) -> np.ndarray:
     return np.array(p)
 
 
+def settle(chance: np.ndarray, decided: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Changes single decisions on documents that were open, as long as that brings the words nearer to
+    those expected."""
+    decided, open_ = decided.copy(), np.flatnonzero((chance > 0) & (chance < 1))
+    off = float((decided - chance) @ size)
+    while len(open_):
+        change = np.where(decided[open_] > 0.5, -size[open_], size[open_])
+        best = int(np.argmin(np.abs(off + change)))
+        if abs(off + change[best]) >= abs(off) - 1e-6:
+            break
+        off += change[best]
+        decided[open_[best]] = 1 - decided[open_[best]]
+    return decided
+
+
 def _step(p: list[float], active: list[int], move: tuple, random: np.random.Generator) -> list[int]:
     """Goes along ``move`` or against it to the border of the cube, so that means stay."""
     ahead = min((1 - p[i]) / m if m > 0 else p[i] / -m for i, m in zip(active, move) if m)
@@ -111,9 +130,10 @@ def _flight(level: int, last: bool):
     def of(group: pd.DataFrame) -> pd.DataFrame:
         number, block = int(group.source_no.iloc[0]), int(group.block.iloc[0])
         random = np.random.default_rng([SEED, level, number, block])
-        group = group.sort_values(["size", "spread", "doc_id", "text_key"], ascending=False, kind="stable")
-        chance = fly(group.chance.to_numpy(), group["size"].to_numpy().astype(float), random)
-        return group.assign(chance=land(chance, random) if last else chance)
+        group = group.sort_values(["size", "spread", "doc_id", "text_key", "copy"], ascending=False, kind="stable")
+        before, size = group.chance.to_numpy(), group["size"].to_numpy().astype(float)
+        chance = fly(before, size, random)
+        return group.assign(chance=settle(before, land(chance, random), size) if last else chance)
 
     return of
 
@@ -134,7 +154,9 @@ def copies(documents: DataFrame, key: Column | None = None) -> DataFrame:
     df = df.withColumn("whole", F.floor(wanted + 1e-12)).withColumn("chance", F.greatest(wanted - F.col("whole"), F.lit(0.0)))
     # Nothing to draw where there are no words; such rows would only fill flights.
     df = df.withColumn("chance", F.when(F.col("size") > 0, F.col("chance")).otherwise(0.0))
-    spread = F.xxhash64(F.lit(SEED), "doc_id", "text_key")
+    equal = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
+    df = expanded(keep(equal), "n")
+    spread = F.xxhash64(F.lit(SEED), "doc_id", "text_key", "copy")
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS)
     df = df.withColumns({"spread": spread, "block": F.pmod(F.xxhash64(spread, F.lit(1)), blocks)})
 

@@ -6,7 +6,9 @@ from the multivariate hypergeometric law, so that every shard ends with exactly
 matrix, rows are exchanged, and each shard is permuted again, piece by piece.
 
 The driver sees row counts of blocks and pieces only; both are bounded in number (``MOST_BLOCKS``),
-not in rows. All order comes from seeded hashes of a row, so reruns agree.
+not in rows. All order comes from seeded hashes of a row, so reruns agree. Rows that stand in the
+table more often than a block has rows are counted and told apart by a running number, which goes
+into their hashes; so no block and no piece holds all copies of a row.
 
 Defined results: a null text has no bytes, size 1 and the checksum of the empty text. Rows equal in
 every column are interchangeable; each gets its own slot. Columns named shard or slot are replaced.
@@ -20,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillwise.llm.common import expanded, keep
+
 SHARDS = 8
 BLOCK_ROWS = 20_000
 MOST_BLOCKS = 1 << 16
@@ -100,7 +104,7 @@ def communication_matrix(blocks: list[int], shards: int, seed: int = SEED, wave_
 
 
 def _lookup(spark, keys: list[str], rows: list[tuple]) -> DataFrame:
-    """A small table of whole numbers; at most MOST_BLOCKS rows."""
+    """A small table of whole numbers; at most shards x MOST_BLOCKS rows."""
     made = spark.createDataFrame(rows, ", ".join(keys)) if rows else spark.createDataFrame([], ", ".join(keys))
     return F.broadcast(made)
 
@@ -109,6 +113,21 @@ def _pieces(rows: int) -> int:
     return max(1, min(MOST_BLOCKS, math.ceil(rows / BLOCK_ROWS)))
 
 
+def _told_apart(df: DataFrame, most: int) -> DataFrame:
+    """The rows with ``copy``, a running number for rows that occur more than ``most`` times, else 0.
+    At most rows / ``most`` such rows are looked up, which MOST_BLOCKS bounds."""
+    key = F.xxhash64("row")
+    often = df.select(key.alias("key")).groupBy("key").count().where(F.col("count") > most).collect()
+    once = df.withColumn("copy", F.lit(0).cast("long"))
+    if not often:
+        return once
+    hot = _lookup(df.sparkSession, ["key bigint"], [(r["key"],) for r in often])
+    keyed = df.withColumn("key", key)
+    equal = keyed.join(hot, "key", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    rest = keyed.join(hot, "key", "left_anti").select("row", F.lit(0).cast("long").alias("copy"))
+    return rest.unionByName(expanded(keep(equal), "n"))
+
+
 def sharded(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The rows of ``documents`` with ``shard`` and ``slot``, its place in the shard from 0."""
     spark = documents.sparkSession
@@ -117,9 +136,10 @@ def sharded(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Dat
     df = documents.select(F.struct(*[documents[c] for c in given]).alias("row"))
 
     def random_key(n: int) -> Column:
-        return F.xxhash64(F.lit(seed), F.lit(n), "row")
+        return F.xxhash64(F.lit(seed), F.lit(n), "row", "copy")
 
     total = df.count()
+    df = _told_apart(df, max(BLOCK_ROWS, total // MOST_BLOCKS))
     n_blocks, n_pieces = _pieces(total), _pieces(math.ceil(total / shards))
     df = df.withColumn("_block", F.pmod(random_key(0), F.lit(n_blocks)))
     counts = {r["_block"]: r["count"] for r in df.groupBy("_block").count().collect()}
