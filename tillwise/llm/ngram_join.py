@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm import tokens
-from tillwise.llm.common import keep, store, text_key
+from tillwise.llm.common import free_name, keep, store, text_key
 from tillwise.llm.components import connected
 from tillwise.llm.filters import Filter, filter_of
 
@@ -478,12 +478,13 @@ def one_of_each(documents: DataFrame, join: Join) -> DataFrame:
         first.select("first.doc_id", "first.text_key", (F.col("first.n") > 1).alias("repeated"))
         .union(wordless.select("doc_id", "text_key", F.lit(False)))
     )
-    df = documents.select(*documents.columns, text_key().alias("join_key"))
+    key = free_name(documents, "join_key")
+    df = documents.select(*documents.columns, text_key().alias(key))
 
     def those(chosen: DataFrame) -> DataFrame:
-        same = df["doc_id"].eqNullSafe(chosen["doc_id"]) & (df["join_key"] == chosen["text_key"])
+        same = df["doc_id"].eqNullSafe(chosen["doc_id"]) & (df[key] == chosen["text_key"])
         return df.join(chosen, same, "left_semi")
 
     once = those(kept.where("NOT repeated")).select(*documents.columns)
-    several = those(kept.where("repeated")).groupBy("doc_id", "join_key")
+    several = those(kept.where("repeated")).groupBy("doc_id", key)
     return once.union(several.agg(F.min(F.struct(*documents.columns)).alias("row")).select("row.*"))

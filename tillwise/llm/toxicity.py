@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.llm.common import free_name
 from tillwise.llm.tokens import mix
 
 HELD_OUT = 2
@@ -175,10 +176,11 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
     return Model(weights, base + odds - float(np.log((n_toxic + 1) / (n - n_toxic + 1))), settings)
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``documents`` and ``toxicity_score``, the probability of the label 1."""
+def score(documents: DataFrame, model: Model, name: str = SCORE) -> DataFrame:
+    """The columns of ``documents`` and ``name``, the probability of the label 1; a column that has
+    this name is replaced."""
     weights, base, settings = model.weights, model.base, model.settings
-    schema = documents.drop(SCORE).schema.add(SCORE, "double", False)
+    schema = documents.drop(name).schema.add(name, "double", False)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,9 +190,9 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 held = np.unique(held[weights[held] != 0])  # a bucket counts once
                 z = base + float(weights[held].sum(dtype=np.float64))
                 out[i] = 1 / (1 + np.exp(-max(-40.0, min(40.0, z))))
-            yield batch.append_column(SCORE, pa.array(out))
+            yield batch.append_column(name, pa.array(out))
 
-    return documents.drop(SCORE).mapInArrow(of, schema)
+    return documents.drop(name).mapInArrow(of, schema)
 
 
 def held_out() -> Column:
@@ -211,5 +213,6 @@ def toxicity(documents: DataFrame, labels: DataFrame, settings: Settings = Setti
 
 def without_toxic(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``documents`` that the classifier doesn't reject, with all their columns."""
-    scored = score(documents, fit(documents, labels, settings))
-    return scored.where(F.col(SCORE) < THRESHOLD).select(*documents.columns)
+    name = free_name(documents, SCORE)
+    scored = score(documents, fit(documents, labels, settings), name)
+    return scored.where(F.col(name) < THRESHOLD).select(*documents.columns)
