@@ -69,8 +69,8 @@ NOTICES: dict[str, tuple[str, ...]] = {
     ),
 }
 GRAM = 3
-#: Diagonals that differ by so many words at most, in spans at most so many words apart, merge.
-SLACK, GAP = 3, 8
+#: Diagonals that differ by so many words at most merge.
+SLACK = 3
 LEAST_COVER = 0.6
 _SEPARATORS = "\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -117,10 +117,10 @@ def license_spans(documents: DataFrame, notices: Mapping[str, Sequence[str]] = N
         F.min("at").alias("first"), F.max("at").alias("last"),
         F.collect_set("notice_at").alias("places"),  # of one notice in one text, so bounded by it
     )
-    order = Window.partitionBy(*span).orderBy("first", "diagonal")
-    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > SLACK) | (
-        F.col("first") - F.lag("last").over(order) > GAP
-    )
+    # Along the diagonals, so that a chance hit on a far one can't cut a span in two. Hits on
+    # neighbouring diagonals lie in one copy of the notice, as its places bound theirs.
+    order = Window.partitionBy(*span).orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(order) > SLACK
     merged = votes.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int"))
     merged = merged.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = merged.groupBy(*span, "span").agg(
