@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -160,7 +161,8 @@ class Detector:
         """Spans that the trees add to the base ones."""
         if self.trees is None:
             return []
-        found = [c for c in candidates(text) if not any(a < c[1] and c[0] < b for a, _, b in _near(base, c))]
+        covered = _merged(base)
+        found = [c for c in candidates(text) if _is_free(covered, c[0], c[1])]
         if not found:
             return []
         raw = self.trees.raw(np.array([features(text, *c) for c in found], np.int64))
@@ -168,14 +170,27 @@ class Detector:
         taken: list[tuple[int, str, int]] = []
         ends: list[tuple[int, int]] = []
         for p, (a, b, g) in sorted(zip(chance.tolist(), found), key=lambda x: (-x[0], x[1])):
-            if p >= self.thresholds[g] and not any(c < b and a < d for c, d in ends):
-                ends.append((a, b))
+            if p >= self.thresholds[g] and _is_free(ends, a, b):
+                insort(ends, (a, b))
                 taken.append((a, GENERATORS[g], b))
         return taken
 
 
-def _near(base: list[tuple[int, str, int]], c: tuple[int, int, int]) -> list[tuple[int, str, int]]:
-    return [s for s in base if s[0] < c[1] and s[2] > c[0]]
+def _merged(spans: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+    """What spans sorted by start cover, as stretches apart from each other."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _is_free(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether none of the sorted stretches, which don't overlap, shares a place with this one."""
+    at = bisect_left(taken, (end,))
+    return at == 0 or taken[at - 1][1] <= start
 
 
 def fit(documents: DataFrame, fit_candidates: int = FIT_CANDIDATES) -> Detector:
@@ -275,9 +290,9 @@ def _listed(spans: list[tuple[int, str, int]]) -> str:
 
 
 def pii(documents: DataFrame, detector: Detector | None = None) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of every row."""
     detector = detector or fit(documents)
-    nothing = (*(0,) * len(KINDS), hashlib.sha256(b"").hexdigest(), "")
+    nothing = (*(0,) * len(KINDS), hashlib.sha256(b"").hexdigest(), "", 0)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,15 +305,16 @@ def pii(documents: DataFrame, detector: Detector | None = None) -> DataFrame:
                 base = base_spans(text)
                 counts = [sum(k == kind for _, k, _ in base) for kind in KINDS]
                 sha = hashlib.sha256(_listed(base).encode()).hexdigest()
-                rows.append((*counts, sha, _listed([*base, *detector.added(text, base)])))
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+                spans = [*base, *detector.added(text, base)]
+                rows.append((*counts, sha, _listed(spans), len(spans)))
+            columns = list(zip(*rows)) if rows else [[]] * 7
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], *[pa.array(c, t) for c, t in zip(columns, kinds)]],
-                ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"],
+                ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_spans"],
             )
 
-    schema = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     given = documents.select("doc_id", "text")
     return given.mapInArrow(of, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, {schema}")
 
