@@ -1,18 +1,16 @@
-"""Substring dedup by relative Lempel-Ziv parsing over windows of 20 words.
+"""Substring dedup by a hash join of windows of 20 words. It is not a relative Lempel-Ziv parsing: no
+longest match is extended and no factor boundary is checked, as every window is looked up by itself.
 
 The reference of a document is everything before it: documents with smaller doc_id, and its own
-earlier words. A factor is a run of words that a reference block holds as well; factors of at least
-``WINDOW`` words are duplicate spans. To find them without trying each document against each block,
-blocks are indexed by phrases:
+earlier words. To find windows that stand there without trying each document against each other:
 
 1. Of every window of 20 words, its *anchor* is the smallest hash among its runs of six words, so
    equal windows have equal anchors wherever they stand. Anchors that stand at one place only rule
    out their windows; a Bloom filter of the others goes to the tasks.
-2. Windows with a repeated anchor are the index phrases: their 128-bit hashes are joined with the
-   smallest doc_id that has them. A window whose phrase stands earlier belongs to a factor.
-3. Each document is parsed greedily: consecutive windows that point to the same reference document
-   are one factor; where that changes, at factor boundaries, the windows that lie across have been
-   looked up like all others, so a match that goes on in another block isn't lost.
+2. Windows with a repeated anchor are the phrases asked for: their 128-bit hashes are joined with the
+   smallest doc_id that has them. Words of windows that stand earlier are removed.
+3. Of each document, adjacent windows that point to the same reference document are listed as one
+   factor.
 
 Documents whose word sequence as a whole stands earlier are removed at once and aren't parsed.
 
