@@ -8,7 +8,9 @@ import random
 import numpy as np
 import pytest
 
-from tillwise.llm import decontamination, mixing, sharding
+from pyspark.sql import functions as F
+
+from tillwise.llm import common, decontamination, license_scan, mixing, ngram_join, pii, sharding, toxicity
 from tests.llm.test_operators import docs, prose  # noqa: F401
 
 
@@ -105,3 +107,108 @@ def test_draws_of_any_size(good, bad, drawn):
     assert abs(found.mean() - mean) < 4 * (variance / len(found)) ** 0.5
     assert abs(found.var() / variance - 1) < 0.1
     assert sharding.hypergeometric(5, 0, 3, random_) == 3 and sharding.hypergeometric(0, 10**12, 10**10, random_) == 0
+
+
+CLASHING = ("join_key", "toxicity_score", "mix_key", "copy", "row", "n", "_block", "text_key", "leak_key", "often")
+
+
+def with_clashing_names(df):
+    return df.select("*", *[F.lit(f"own {name}").alias(name) for name in CLASHING])
+
+
+def test_stages_keep_columns_with_names_they_use(spark, docs):  # noqa: F811
+    texts = [" ".join(prose(i, 60)) for i in range(12)]
+    texts[3] = "vile awful nasty " * 20
+    given = with_clashing_names(docs([*texts, texts[0], None, ""]))
+    labels = spark.createDataFrame([(i, int(i == 3)) for i in range(12)], "doc_id long, toxic int")
+    benchmark = spark.createDataFrame([(1, texts[5])], "item_id long, text string")
+    stages = {
+        "toxic": toxicity.without_toxic(given, labels),
+        "near": ngram_join.one_of_each(given, ngram_join.Join(5, 80)),
+        "leaks": decontamination.without_leaks(given, benchmark),
+        "mix": mixing.mixed(given),
+        "shards": sharding.sharded(given),
+    }
+    for name, out in stages.items():
+        rows = out.collect()
+        own = [c for c in given.columns if c != "shard" or name != "shards"]  # which that stage replaces
+        assert out.columns[: len(own)] == own, name
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASHING), name
+    assert stages["near"].count() == 14 and stages["leaks"].count() == 14 and stages["shards"].count() == 15
+
+
+def test_equal_rows_are_dealt_over_blocks(docs, monkeypatch):  # noqa: F811
+    texts = ["one two three four"] * 400 + [f"w{i} x y" for i in range(800)]
+    ids = [None] * 400 + list(range(800))
+    given = docs(texts, ids)
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 50)
+    told = sharding._told_apart(given.select(F.struct("doc_id", "text").alias("row")), 50)
+    assert sorted(r["copy"] for r in told.where("row.doc_id IS NULL").collect()) == list(range(400))
+    assert told.count() == 1200 and told.where("copy > 0").count() == 399
+    slots = collections.defaultdict(list)
+    copies = collections.Counter()
+    for r in sharding.sharded(given).collect():
+        slots[r["shard"]].append(r["slot"])
+        copies[r["shard"]] += r["doc_id"] is None
+    assert all(sorted(s) == list(range(150)) for s in slots.values()) and len(slots) == 8
+    assert all(20 <= n <= 80 for n in copies.values())  # 50 expected
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(common, "RUN", 30)
+    drawn = mixing.copies(given)
+    assert drawn.count() == 1200
+    target = {r["target"] for r in drawn.collect()}
+    taken = drawn.selectExpr("sum(size * copies) AS n").first()["n"]
+    assert len(target) == 1 and abs(taken - target.pop()) <= 4
+
+
+def test_settling_brings_words_near(docs):  # noqa: F811
+    pick = np.random.default_rng(3)
+    for _ in range(50):
+        size = pick.integers(20, 2000, 60).astype(float)
+        chance = np.full(60, 0.37)
+        decided = mixing.land(mixing.fly(chance, size, pick), pick)
+        settled = mixing.settle(chance, decided, size)
+        assert set(np.unique(settled)) <= {0.0, 1.0}
+        assert abs((settled - chance) @ size) <= min(abs((decided - chance) @ size), size.mean() / 4)
+        assert np.abs(settled - decided).sum() <= 8
+
+
+def test_notices_with_words_put_in_or_changed(docs):  # noqa: F811
+    """The places of hits, tried for all offsets, decide labels as the operator does."""
+    pick, texts, wanted = random.Random(6), [], []
+    listed = [(label, text) for label, of in license_scan.NOTICES.items() for text in of if len(text.split()) >= 12]
+    for d in range(120):
+        label, text = listed[d % len(listed)]
+        words = text.replace(",", "").split()
+        at = pick.randrange(1, len(words))
+        if d % 3 == 0:  # words of the same notice, which hit a far diagonal
+            words = words[:at] + words[:3] + words[at:]
+        elif d % 3 == 1:
+            words = words[:at] + ["other"] + words[at:]
+        else:
+            words[at] = "changed"
+        texts.append(" ".join(prose(d, 30) + words + prose(d + 1, 30)))
+        wanted.append(label)
+    found = {r["doc_id"]: r["labels"].split(",") for r in license_scan.license_scan(docs(texts)).collect()}
+    assert [d for d in range(120) if wanted[d] not in found[d]] == []
+
+
+def test_overlaps_are_those_of_all_pairs():
+    pick = random.Random(8)
+    for _ in range(200):
+        spans = sorted((a, "card", a + pick.randrange(1, 9)) for a in (pick.randrange(80) for _ in range(12)))
+        covered = pii._merged(spans)
+        for start in range(0, 90, 3):
+            end = start + pick.randrange(1, 12)
+            want = not any(a < end and start < b for a, _, b in spans)
+            assert pii._is_free(covered, start, end) == want
+    many = " ".join(f"user{i}@host{i}.com" for i in range(20_000))
+    detector = pii.Detector(None, 1.0, 0.0, (2.0,) * 4)
+    assert len(pii._merged(pii.base_spans(many))) == 20_000 and detector.added(many, []) == []
+
+
+def test_count_of_spans_is_that_of_the_list(docs):  # noqa: F811
+    texts = [f"write to user{i}@host.com or 10.0.0.{i}, token = {i:032x}" for i in range(30)] + [None, "", "no"]
+    for r in pii.pii(docs(texts)).collect():
+        assert r["n_spans"] == len([s for s in r["spans"].split(",") if s])
+        assert r["n_spans"] >= r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"]
