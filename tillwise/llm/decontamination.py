@@ -7,8 +7,8 @@ seed. Words inside a run of ``CONTEXT`` words that the benchmark has too are cou
 only: how often an item leaks, in full or with a word in five changed, makes none of its words
 frequent. An item too short for either gives all its runs of three words.
 
-Texts are scanned once in tasks for runs that may be seeds, through a Bloom filter of fixed size
-(``FILTER_BITS``), so nothing that grows with the benchmark is sent to tasks. Around its hits a text
+Texts are scanned once in tasks for runs that may be seeds, through a Bloom filter of bounded size
+(``filters.py``; ``FILTER_BITS`` at least), so little that grows with the benchmark is sent to tasks. Around its hits a text
 gives its word hashes as a region; regions whose hits are ``MARGIN`` words apart or less are one. Hits
 are then joined with the seeds by hash, which removes the filter's false ones, and each pair of
 region and item is aligned: +2 for an equal word, -1 for another one or for one left out or put in.
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tillwise.llm import tokens
 from tillwise.llm.common import keep, text_key
+from tillwise.llm.filters import Filter, filter_of
 
 SHORT, LONG = 3, 6
 #: Words in runs of so many that the benchmark has are taken for copies where shares are counted.
@@ -49,35 +50,6 @@ def _hashed(texts: pa.Array) -> tuple[tokens.Words, np.ndarray]:
     return found, found.hashes()
 
 
-def _filter_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return hashes >> np.uint64(64 - FILTER_BITS), (hashes >> np.uint64(8)) & np.uint64((1 << FILTER_BITS) - 1)
-
-
-def _in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    first, second = _filter_places(hashes)
-    return bits[first] & bits[second]
-
-
-def bloom(hashes: DataFrame) -> np.ndarray:
-    """The filter that holds column ``hash``: 2^FILTER_BITS places, whatever there is to hold."""
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            for places in _filter_places(batch["hash"].to_numpy().view(np.uint64)):
-                bits[places] = True
-        for at in range(0, len(bits), 1 << 20):  # empty parts needn't be sent
-            piece = bits[at : at + (1 << 20)]
-            if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([np.packbits(piece).tobytes()])], ["at", "bits"])
-
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for row in hashes.select("hash").coalesce(8).mapInArrow(part, "at long, bits binary").toLocalIterator():
-        piece = np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool)
-        bits[row["at"] : row["at"] + len(piece)] |= piece
-    return bits
-
-
 def item_words(benchmark: DataFrame) -> DataFrame:
     """(item_id, words) of every row of the benchmark with SHORT words or more."""
 
@@ -103,11 +75,11 @@ def _runs(items: DataFrame, n: int) -> DataFrame:
     return items.select("words").mapInArrow(of, "hash long")
 
 
-def _copied(first: np.ndarray, hashes: np.ndarray, runs: np.ndarray) -> np.ndarray:
+def _copied(first: np.ndarray, hashes: np.ndarray, runs: Filter) -> np.ndarray:
     """Which words lie in a run of CONTEXT words of one text that the filter of runs holds."""
     if len(hashes) < CONTEXT:
         return np.zeros(len(hashes), bool)
-    at = np.flatnonzero(_in_filter(runs, tokens.grams(hashes, CONTEXT)))
+    at = np.flatnonzero(runs.may_hold(tokens.grams(hashes, CONTEXT)))
     at = at[at + CONTEXT <= first[np.searchsorted(first, at, side="right")]]
     steps = np.zeros(len(hashes) + 1, np.int64)
     np.add.at(steps, at, 1)
@@ -118,7 +90,7 @@ def _copied(first: np.ndarray, hashes: np.ndarray, runs: np.ndarray) -> np.ndarr
 def word_shares(documents: DataFrame, items: DataFrame, words: DataFrame) -> DataFrame:
     """(hash, share) of the benchmark's words: their part of all words of the corpus, those in
     copies of the benchmark left out."""
-    bits, runs = bloom(words), bloom(_runs(items, CONTEXT))
+    bits, runs = (filter_of(of, "hash", FILTER_BITS) for of in (words, _runs(items, CONTEXT)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +98,7 @@ def word_shares(documents: DataFrame, items: DataFrame, words: DataFrame) -> Dat
             for i, j in tokens.slices(batch["text"]):
                 found, hashes = _hashed(batch["text"].slice(i, j - i))
                 total += len(hashes)
-                held.append(hashes[_in_filter(bits, hashes) & ~_copied(found.first, hashes, runs)])
+                held.append(hashes[bits.may_hold(hashes) & ~_copied(found.first, hashes, runs)])
             value, times = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
             # The total goes with hash null.
             yield pa.RecordBatch.from_arrays(
@@ -171,7 +143,7 @@ def seeds(documents: DataFrame, items: DataFrame) -> DataFrame:
     return listed.mapInArrow(rare, "hash long, item long, item_at int")
 
 
-def regions(documents: DataFrame, bits: np.ndarray) -> DataFrame:
+def regions(documents: DataFrame, bits: Filter) -> DataFrame:
     """(doc_id, text_key, start, words, hits): stretches of texts around runs that the filter holds;
     words are hashes, hits are (at, hash) with at counted from the text's first word."""
 
@@ -184,7 +156,7 @@ def regions(documents: DataFrame, bits: np.ndarray) -> DataFrame:
                 places, values = [], []
                 for n in (SHORT, LONG):
                     runs = tokens.grams(hashes, n)
-                    held = np.flatnonzero(_in_filter(bits, runs))
+                    held = np.flatnonzero(bits.may_hold(runs))
                     doc = np.searchsorted(found.first, held, side="right") - 1
                     inside = held + n <= found.first[doc + 1]
                     places.append(held[inside])
@@ -281,7 +253,7 @@ def leaking(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     listed = keep(item_words(benchmark).select("item_id", "words", F.xxhash64("words").alias("item")))
     items = keep(listed.groupBy("item").agg(F.first("words").alias("words")))
     found = keep(seeds(documents, items))
-    held = keep(regions(documents, bloom(found)))
+    held = keep(regions(documents, filter_of(found, "hash", FILTER_BITS)))
     placed = held.select("doc_id", "text_key", "start", F.size("words").alias("n"), F.explode("hits").alias("hit"))
     met = placed.join(found.distinct(), F.col("hit.hash") == found["hash"])
     pairs = met.select("doc_id", "text_key", "start", "n", "item").distinct()

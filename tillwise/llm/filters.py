@@ -15,23 +15,29 @@ from pyspark.sql import DataFrame
 from tillwise.llm.tokens import mix
 
 LEAST_BITS, MOST_BITS = 20, 27
-_PIECE = 1 << 20
+#: Bytes of a filter in one row.
+_PIECE = 1 << 17
 
 
 class Filter:
-    """Tells which values may be held. Sent to tasks packed, unpacked there on first use."""
+    """Tells which values may be held. Eight places share a byte, in tasks as well."""
 
     def __init__(self, bits: int, packed: bytes):
-        self.bits, self.packed, self._table = bits, packed, None
+        self.bits, self.packed = bits, packed
 
     def __reduce__(self):
         return Filter, (self.bits, self.packed)
 
     def may_hold(self, values: np.ndarray) -> np.ndarray:
-        if self._table is None:
-            self._table = np.unpackbits(np.frombuffer(self.packed, np.uint8)).view(bool)
-        first, second = _places(values, self.bits)
-        return self._table[first] & self._table[second]
+        table = np.frombuffer(self.packed, np.uint8)
+        held = np.ones(len(values), bool)
+        for places in _places(values, self.bits):
+            held &= table[places >> np.uint64(3)] & _bit(places) != 0
+        return held
+
+
+def _bit(places: np.ndarray) -> np.ndarray:
+    return np.uint8(128) >> (places & np.uint64(7)).astype(np.uint8)
 
 
 def _places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,21 +45,20 @@ def _places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return h >> np.uint64(64 - bits), (h >> np.uint64(4)) & np.uint64((1 << bits) - 1)
 
 
-def filter_of(values: DataFrame, name: str) -> Filter:
-    """The filter that holds a long column; nulls are left out."""
+def filter_of(values: DataFrame, name: str, least: int = LEAST_BITS) -> Filter:
+    """The filter that holds a long column, of 2^``least`` places or more; nulls are left out."""
     held = values.where(f"{name} IS NOT NULL").select(name)
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * max(1, held.count())).bit_length()))
+    bits = min(MOST_BITS, max(least, (16 * max(1, held.count())).bit_length()))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, bool)
+        table = np.zeros((1 << bits) // 8, np.uint8)
         for batch in batches:
             for places in _places(batch[name].to_numpy(), bits):
-                table[places] = True
+                np.bitwise_or.at(table, places >> np.uint64(3), _bit(places))
         for at in range(0, len(table), _PIECE):
             piece = table[at : at + _PIECE]
             if piece.any():
-                packed = pa.array([np.packbits(piece).tobytes()])
-                yield pa.RecordBatch.from_arrays([pa.array([at // 8]), packed], ["at", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([piece.tobytes()])], ["at", "bits"])
 
     packed = np.zeros((1 << bits) // 8, np.uint8)
     # A few tasks, as each sends as much as the filter is large, one after the other.
