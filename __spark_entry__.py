@@ -290,7 +290,7 @@ def core_queries() -> dict[str, Query]:
         "best_and_worst_month": _of(margins, significance.best_and_worst_month, revenue=4),
         "business_insights": _of(insight_lines, _insight_figures, statistic=6, p_value=6),
         "business_insight_messages": _of(
-            insight_lines, lambda df: insights.business_insights(df, THRESHOLD)
+            insight_lines, lambda df: insights.business_insights(df, THRESHOLD), statistic=6, p_value=6,
         ),
         # monthly series and forecasts
         "monthly_series": _of(date_sales, _months_as_text(monthly.monthly_sales), sales=4),

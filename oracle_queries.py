@@ -515,7 +515,8 @@ def oracle_sql() -> dict[str, str]:
         )
     )
     sql["table_shape"] = lines(
-        "SELECT count(*) AS row_count, 25 AS column_count FROM base"
+        "SELECT count(*) AS row_count, max(n) AS column_count FROM base,"
+        " (SELECT count(*) AS n FROM (DESCRIBE SELECT * FROM base))"
     )
     sql["delivery_speeds"] = lines(
         "SELECT delivery_speed, count(*) AS line_count, min(delivery_days) AS fewest_days,"
@@ -592,14 +593,7 @@ def oracle_sql() -> dict[str, str]:
                    FROM seasons s ORDER BY s.revenue, year, month LIMIT 1)""",
         SEASONS,
     )
-    sql["business_insights"] = lines(
-        f"""
-    , tails AS (SELECT column_x, r, {t_tail('t', 'df')} AS p FROM tests),
-    f AS (SELECT f, {f_tail('f', 'd1', 'd2')} AS p FROM anova),
-    w AS (SELECT t, {t_tail('t', 'df')} AS p FROM welch),
-    seg AS (SELECT segment, avg(profit_margin_pct) AS m FROM base GROUP BY segment),
-    split AS (SELECT avg(profit_margin_pct) FILTER (discount >= 0.05) AS hi,
-                     avg(profit_margin_pct) FILTER (discount < 0.05) AS lo FROM base)
+    figures = """
     SELECT 1 AS insight_no, 'sales and profit' AS topic,
            CASE WHEN abs(r) >= 0.5 THEN 'strong' ELSE 'moderate' END AS finding,
            round(r, 6) AS statistic, round(p, 6) AS p_value FROM tails WHERE column_x = 'sales'
@@ -621,12 +615,50 @@ def oracle_sql() -> dict[str, str]:
            round(hi - lo, 6), NULL FROM split
     UNION ALL
     SELECT 7, 'discounted lines', CASE WHEN p < 0.05 THEN 'significant' ELSE 'not significant' END,
-           round(t, 6), round(p, 6) FROM w""",
-        CORRELATED,
-        ANOVA,
-        WELCH,
-        SEASONS,
-    )
+           round(t, 6), round(p, 6) FROM w"""
+    insight_tables = f"""
+    , tails AS (SELECT column_x, r, {t_tail('t', 'df')} AS p FROM tests),
+    f AS (SELECT f, {f_tail('f', 'd1', 'd2')} AS p FROM anova),
+    w AS (SELECT t, {t_tail('t', 'df')} AS p FROM welch),
+    seg AS (SELECT segment, avg(profit_margin_pct) AS m FROM base GROUP BY segment),
+    split AS (SELECT avg(profit_margin_pct) FILTER (discount >= 0.05) AS hi,
+                     avg(profit_margin_pct) FILTER (discount < 0.05) AS lo FROM base)"""
+    messages = """
+    , reg AS (SELECT region, avg(profit_margin_pct) AS m FROM base GROUP BY region),
+    figures AS ({figures}),
+    messages AS (
+    SELECT 1 AS insight_no, printf('Sales and profit are linked to a %s degree (r = %.3f, p = %.4f); grow'
+           ' revenue where margins hold.', CASE WHEN abs(r) >= 0.5 THEN 'strong' ELSE 'moderate' END, r, p) AS message
+    FROM tails WHERE column_x = 'sales'
+    UNION ALL
+    SELECT 2, printf('Discount against margin: %s (r = %.3f, p = %.4f); discounted lines average'
+           ' %.2f%%, others %.2f%%. Approve deep discounts case by case.',
+           CASE WHEN r < 0 THEN 'discounts lower margin' ELSE 'no clear effect' END, r, p, m1, m2)
+    FROM (SELECT r, p FROM tails WHERE column_x = 'discount'), (SELECT m1, m2 FROM welch)
+    UNION ALL
+    SELECT 3, printf('Margin by region: %s (p = %.4f). Best is %s at %.2f%%, weakest %s at %.2f%%.',
+           CASE WHEN p < 0.05 THEN 'regions differ' ELSE 'not separated' END, p, b.region, b.m, l.region, l.m)
+    FROM f, (SELECT * FROM reg ORDER BY m DESC, region LIMIT 1) b, (SELECT * FROM reg ORDER BY m, region LIMIT 1) l
+    UNION ALL
+    SELECT 4, printf('Segment %s leads with a margin of %.2f%%, %s trails with %.2f%%.',
+           b.segment, b.m, l.segment, l.m)
+    FROM (SELECT * FROM seg ORDER BY m DESC, segment LIMIT 1) b, (SELECT * FROM seg ORDER BY m, segment LIMIT 1) l
+    UNION ALL
+    SELECT 5, 'Revenue peaked in ' || b.month_label || ' ' || b.year || ' at ' || format('{{:,.2f}}', b.revenue)
+           || ' and was lowest in ' || l.month_label || ' ' || l.year || ' at ' || format('{{:,.2f}}', l.revenue) || '.'
+    FROM (SELECT * FROM seasons s ORDER BY s.revenue DESC, year, month LIMIT 1) b,
+         (SELECT * FROM seasons s ORDER BY s.revenue, year, month LIMIT 1) l
+    UNION ALL
+    SELECT 6, printf('Lines discounted 5%% or more average a margin of %.2f%%, others %.2f%%.', hi, lo) FROM split
+    UNION ALL
+    SELECT 7, printf('The margin gap between discounted and other lines is %s (p = %.4f).',
+           CASE WHEN p < 0.05 THEN 'significant' ELSE 'not significant' END, p) FROM w)
+    SELECT * FROM figures JOIN messages USING (insight_no)"""
+    for name, text in (
+        ("business_insights", figures),
+        ("business_insight_messages", messages.replace("{figures}", figures).replace("{{", "{").replace("}}", "}")),
+    ):
+        sql[name] = lines(insight_tables + text, CORRELATED, ANOVA, WELCH, SEASONS)
 
     # monthly series
     shown = "strftime(month, '%Y-%m-%d') AS month"

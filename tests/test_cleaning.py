@@ -218,3 +218,17 @@ def test_null_counts_and_shape(rows):
     frame = rows([(1, None), (None, None)], "a int, `b c` string")
     assert {tuple(r) for r in cleaning.null_counts(frame).collect()} == {("a", 1), ("b c", 2)}
     assert tuple(cleaning.table_shape(frame).first()) == (2, 2)
+
+
+def test_wide_lines_are_told_apart_by_fingerprint(spark):
+    rows = [(None, "a", 1.0), ("a", None, 1.0), ("a", "", 1.0), ("a", "", 1.0), (None, "a", 1.0), ("a", None, None)]
+    rows += [("b", str(i % 7), float(i % 7)) for i in range(70)] + [("c", None, 0.0), ("c", None, -0.0)]
+    df = spark.createDataFrame(rows, "half_one string, `odd name` string, line double")
+
+    def listed(out):
+        return sorted((str(r[0]), str(r[1]), str(r[2])) for r in out.selectExpr("half_one", "`odd name`", "line + 0.0").collect())
+
+    want = listed(cleaning.distinct_lines(df))
+    assert listed(cleaning.distinct_wide_lines(df)) == want and len(want) == 12
+    assert listed(cleaning.distinct_wide_lines(df, most=2)) == want
+    assert cleaning.distinct_wide_lines(df.limit(0)).count() == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -11,10 +11,13 @@ from pyspark.sql import types as T
 
 from tillwise.functions.measures import sql_name
 from tillwise.operators.derive import with_dates, with_features
+from tillwise.operators.keep import keep_small
 from tillwise.operators.median import medians_and_counts
 from tillwise.schema import REQUIRED, numeric_columns, require_columns, text_columns
 
 UNKNOWN = "Unknown"
+#: So many fingerprints of repeated lines, of 16 bytes each, are sent to every task at most.
+MOST_REPEATED = 1_000_000
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -60,21 +63,54 @@ def distinct_lines(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def fingerprint(df: DataFrame) -> list[Column]:
+    """128 bits of a whole line, as two longs. Hashes pass over nulls, so which cells are null is
+    hashed as well."""
+    cells = [F.col(sql_name(c)) for c in df.columns]
+    gaps = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells])
+    return [F.xxhash64(F.lit(half), gaps, *cells) for half in (1, 2)]
+
+
+def distinct_wide_lines(df: DataFrame, most: int = MOST_REPEATED) -> DataFrame:
+    """As ``distinct_lines``, for lines that are cheap to read again: their fingerprints are shuffled
+    instead of all their columns.
+
+    A fingerprint that occurs once is that of a line without a copy. Lines whose fingerprint is
+    repeated are compared in all columns, so the result is exact. Where more than ``most``
+    fingerprints are repeated, too many to send to every task, all lines are compared that way.
+    """
+    halves = [c.alias(name) for c, name in zip(fingerprint(df), ("half_one", "half_two"))]
+    counted = df.select(*halves).groupBy("half_one", "half_two").count()
+    repeated = keep_small(counted.where("count > 1").drop("count"))
+    if repeated.count() > most:
+        return distinct_lines(df)
+    line = F.struct(*[F.col(sql_name(c)) for c in df.columns]).alias("line")
+    marked, listed = df.select(line, *halves), F.broadcast(repeated)
+    single = marked.join(listed, ["half_one", "half_two"], "left_anti").select("line.*")
+    copied = marked.join(listed, ["half_one", "half_two"], "left_semi").select("line.*")
+    return single.union(copied.dropDuplicates())
+
+
 def _undated() -> Column:
     return F.col("order_date").isNull() | F.col("ship_date").isNull()
 
 
-def clean_lines(raw: DataFrame, formats: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
+def clean_lines(
+    raw: DataFrame,
+    formats: Mapping[str, Iterable[str]] | None = None,
+    distinct: Callable[[DataFrame], DataFrame] = distinct_lines,
+) -> DataFrame:
     """Fill, deduplicate, parse dates, drop undated lines and add the features.
 
-    ``formats`` gives the date spellings of a column, as ``detected_formats`` finds them.
+    ``formats`` gives the date spellings of a column, as ``detected_formats`` finds them;
+    ``distinct`` is ``distinct_lines`` or ``distinct_wide_lines``.
 
     The order matters: filling first lets lines that differ only by a gap collapse, and
     turns missing date text into a word that then fails to parse.
     """
     require_columns(raw, REQUIRED["cleaning"])
     parsed = with_dates(
-        distinct_lines(fill_nulls(raw)), "order_date", "ship_date", formats=formats
+        distinct(fill_nulls(raw)), "order_date", "ship_date", formats=formats
     )
     return with_features(parsed.where(~_undated()))
 
@@ -84,17 +120,21 @@ def cleaning_summary(
 ) -> DataFrame:
     """How many lines cleaning reads, removes and keeps, as one row.
 
-    Copies are counted while they are collapsed, so the lines are shuffled once.
+    Copies are counted by fingerprint, so two longs a line are shuffled and not its columns.
     """
     require_columns(raw, REQUIRED["cleaning"])
     filled = fill_nulls(raw)
-    copies = filled.groupBy(*filled.columns).agg(F.count(F.lit(1)).alias("copies"))
-    dated = with_dates(copies, "order_date", "ship_date", formats=formats)
-    return dated.agg(
+    halves = [c.alias(name) for c, name in zip(fingerprint(filled), ("half_one", "half_two"))]
+    slim = filled.select("order_date", "ship_date", *halves)
+    dated = with_dates(slim, "order_date", "ship_date", formats=formats)
+    different = dated.groupBy("half_one", "half_two").agg(
+        F.count(F.lit(1)).alias("copies"), F.max(_undated()).alias("undated")
+    )
+    return different.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_read"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates_removed"),
-        F.count_if(_undated()).alias("invalid_date_rows"),
-        F.count_if(~_undated()).alias("rows_kept"),
+        F.count_if("undated").alias("invalid_date_rows"),
+        F.count_if(~F.col("undated")).alias("rows_kept"),
     )
 
 

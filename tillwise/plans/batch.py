@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwise.operators.cleaning import clean_lines
+from tillwise.operators.cleaning import clean_lines, distinct_wide_lines
 from tillwise.operators.date_formats import detected_formats
 from tillwise.operators.keep import keep_small
 from tillwise.plans import insights, significance
@@ -54,7 +54,7 @@ def clean_files(
         raw = spark.read.parquet(raw_path)
     if detect:
         formats = detected_formats(raw, ["order_date", "ship_date"]) | dict(formats or {})
-    write_clean_table(clean_lines(raw, formats), table_path)
+    write_clean_table(clean_lines(raw, formats, distinct_wide_lines), table_path)
     clean = read_clean_table(spark, table_path)
     if csv_copy:
         write_csv(clean, csv_copy, HEADERS)

@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise.functions.measures import change, margin_fraction, named, ratio, total
 from tillwise.operators.derive import dated_lines
-from tillwise.operators.keep import keep_small
 from tillwise.operators.shaping import group_totals, previous, sales_pivot, top_rows
 from tillwise.schema import HEADERS, REQUIRED, require_columns
 
@@ -47,8 +46,7 @@ def workbook_top_customers(lines: DataFrame, k: int = 20) -> DataFrame:
     """Best customers with the segment looked up by id.
 
     A customer in several segments has a row each, and every one of them shows the first
-    segment by name. Only the ``k`` winners are looked up: they are kept and broadcast, so
-    the second read of the lines passes on nothing but theirs.
+    segment by name. It is looked up among the customers' totals, so lines are read once.
     """
     dated = dated_lines(lines)
     keys = ["customer_id", "customer_name", "segment"]
@@ -56,22 +54,10 @@ def workbook_top_customers(lines: DataFrame, k: int = 20) -> DataFrame:
     order = (
         F.desc("total_revenue"), F.desc("total_profit"), F.asc("customer_id"), F.asc("segment")
     )
-    best = keep_small(top_rows(customers, k, *order))
-    winners = best.select(F.col("customer_id").alias("id")).distinct()
-    is_winner = F.col("customer_id").eqNullSafe(F.col("id"))
-    segments = (
-        dated.select("customer_id", "segment")
-        .join(F.broadcast(winners), is_winner, "left_semi")
-        .groupBy(F.col("customer_id").alias("id"))
-        .agg(F.min("segment").alias("segment_lookup"))
-    )
-    return (
-        segments.join(F.broadcast(best), is_winner, "inner")
-        .orderBy(*order)
-        .select(
-            "customer_id", "customer_name", "segment_lookup", "total_revenue", "total_profit",
-            "order_count", *named(avg_order_value=ratio("total_revenue", "order_count")),
-        )
+    first = F.min("segment").over(Window.partitionBy("customer_id"))
+    return top_rows(customers.withColumn("segment_lookup", first), k, *order).select(
+        "customer_id", "customer_name", "segment_lookup", "total_revenue", "total_profit",
+        "order_count", *named(avg_order_value=ratio("total_revenue", "order_count")),
     )
 
 
