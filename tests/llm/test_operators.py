@@ -6,8 +6,10 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,6 +83,27 @@ def test_words_of_any_texts(texts):
     assert found.counts.tolist() == [len(words(t)) for t in texts]
 
 
+def test_working_arrays_of_a_batch_stay_small():
+    texts = pa.array([" ".join(f"w{(i * 7 + k) % 5003}" for k in range(400)) for i in range(1000)])
+    assert texts.nbytes > 2e6
+    tokens._powers.cache_clear()
+    tracemalloc.start()
+    for i, j in tokens.slices(texts):
+        value, first = ngram_join._sets(texts.slice(i, j - i), ngram_join.Join())
+        ngram_join._keys(value, first, ngram_join.Join(), {})
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 32e6
+
+
+def test_counts_of_slices_add_up():
+    slices = [np.array(x, np.uint64) for x in ([5, 3, 5, 2**64 - 1], [], [3, 9, 9], [2**64 - 1, 0])]
+    value, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for x in slices:
+        value, times = decontamination._added(value, times, *np.unique(x, return_counts=True))
+    assert dict(zip(value.tolist(), times.tolist())) == collections.Counter(np.concatenate(slices).tolist())
+
+
 def test_filter_holds_what_it_was_given(spark):
     held = filter_of(spark.range(1000).selectExpr("xxhash64(id) AS v"), "v")
     values = np.array([r[0] for r in spark.range(1000).selectExpr("xxhash64(id) AS v").collect()])

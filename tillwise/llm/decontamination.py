@@ -87,6 +87,14 @@ def _copied(first: np.ndarray, hashes: np.ndarray, runs: Filter) -> np.ndarray:
     return np.cumsum(steps)[:-1] > 0
 
 
+def _added(value: np.ndarray, times: np.ndarray, more: np.ndarray, more_times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of distinct values with those of a slice added, so that no slice's words are kept."""
+    both, place = np.unique(np.concatenate([value, more]), return_inverse=True)
+    summed = np.zeros(len(both), np.int64)
+    np.add.at(summed, place, np.concatenate([times, more_times]))
+    return both, summed
+
+
 def word_shares(documents: DataFrame, items: DataFrame, words: DataFrame) -> DataFrame:
     """(hash, share) of the benchmark's words: their part of all words of the corpus, those in
     copies of the benchmark left out."""
@@ -94,12 +102,12 @@ def word_shares(documents: DataFrame, items: DataFrame, words: DataFrame) -> Dat
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, held = 0, []
+            total, value, times = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
             for i, j in tokens.slices(batch["text"]):
                 found, hashes = _hashed(batch["text"].slice(i, j - i))
                 total += len(hashes)
-                held.append(hashes[bits.may_hold(hashes) & ~_copied(found.first, hashes, runs)])
-            value, times = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+                held = hashes[bits.may_hold(hashes) & ~_copied(found.first, hashes, runs)]
+                value, times = _added(value, times, *np.unique(held, return_counts=True))
             # The total goes with hash null.
             yield pa.RecordBatch.from_arrays(
                 [pa.array([*tokens.as_signed(value).tolist(), None], pa.int64()), pa.array([*times.tolist(), total], pa.int64())],

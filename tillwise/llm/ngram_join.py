@@ -270,9 +270,9 @@ def _linked(join: Join):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for i, (one, other) in enumerate(zip(batch["grams_a"].to_pylist(), batch["grams_b"].to_pylist())):
-                both = (len(one) + len(other)) // 8
-                joined = np.concatenate([np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)])
+            for i, sets in enumerate(zip(batch["grams_a"], batch["grams_b"])):  # a pair's sets at a time
+                joined = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in sets])
+                both = len(joined)
                 joined.sort()
                 shared = int((joined[1:] == joined[:-1]).sum())
                 if join.scale * shared >= join.similar * (both - shared):

@@ -1,7 +1,8 @@
 """Words and word n-grams of whole Arrow string columns, as numpy arrays.
 
-The functions here run inside tasks. A batch is cut into slices of about a megabyte so that
-working arrays stay small; a text is never cut, so memory follows the longest text of a slice.
+The functions here run inside tasks. A batch is cut into slices of about 256 KB so that working
+arrays stay small: they take some 40 bytes for each byte of a slice, in each task's Python process.
+A text is never cut, so memory follows the longest text of a slice.
 Words are runs of bytes that are not separators. All separators used here are ASCII, so runs
 of bytes are runs of characters. A null text has no words.
 """
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Odd 64-bit factors, one for each place of a word in an n-gram, derived from a fixed seed.
