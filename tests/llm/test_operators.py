@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tillwise.llm import decontamination, license_scan, line_dedup, mixing, ngram_join, pii
+from tillwise.llm import components, decontamination, license_scan, line_dedup, mixing, ngram_join, pii
 from tillwise.llm import quality_rules, sharding, substring_dedup, tokens, toxicity
 from tillwise.llm.boosting import boost, calibrate
 from tillwise.llm.components import connected
@@ -118,6 +118,26 @@ def test_components_of_chains_and_stars(spark):
     assert found == {**{i: 0 for i in range(1, 41)}, **{100 + k: 100 for k in range(1, 30)}, 201: 200}
 
 
+def test_settled_stars_take_no_step_and_kept_rows_few_tasks(spark, monkeypatch):
+    steps = []
+    step = components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda links: steps.append(1) or step(links))
+    stars = [(100 * s, 100 * s + k) for s in range(3) for k in range(1, 30)] * 2 + [(5, 5)]
+    found = connected(spark.createDataFrame(stars, "a long, b long").repartition(50))
+    assert found.rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, found.collect())) == sorted({(b, a) for a, b in stars if a != b})
+    assert not steps
+    path = spark.createDataFrame([(3, 2), (2, 1)], "a long, b long")
+    assert sorted(map(tuple, connected(path).collect())) == [(2, 1), (3, 1)] and steps
+
+
+def test_fresh_links_join_components_that_were_found(spark):
+    found = spark.createDataFrame([(2, 1), (3, 1), (6, 5), (9, 8)], "node long, component long")
+    among = connected(spark.createDataFrame([(5, 1), (5, 4), (1, 5)], "a long, b long"))
+    merged = ngram_join._merged(found, among)
+    assert sorted(map(tuple, merged.collect())) == [(2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (9, 8)]
+
+
 def test_toxicity_on_held_out_texts(spark, docs):
     texts = [" ".join(prose(i, 40) + (["awful", "idiot"] if i % 3 == 0 else [])) for i in range(300)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(250)], "doc_id long, toxic int")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WHITE = "\\x20\\x09-\\x0D"
 #: Copies of one row that a task makes at once.
 RUN = 20_000
+#: Kept rows that a task reads at least, where there are as many.
+READ_ROWS = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,6 +34,13 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keep_few(df: DataFrame) -> DataFrame:
+    """As ``keep``, where few rows may lie in many partitions: later steps read as many in a task as hold
+    about ``READ_ROWS``, so the tasks grow with the rows; fewer rows than that are read by one task."""
+    kept = keep(df)
+    return kept.coalesce(kept.count() // READ_ROWS + 1)
+
+
 def store(df: DataFrame) -> DataFrame:
     """As ``keep``, for many rows: written as Parquet, which is columnar and compressed."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"

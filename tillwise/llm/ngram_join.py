@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm import tokens
-from tillwise.llm.common import free_name, keep, store, text_key
+from tillwise.llm.common import free_name, keep, keep_few, store, text_key
 from tillwise.llm.components import connected
 from tillwise.llm.filters import Filter, filter_of
 
@@ -252,19 +252,19 @@ def candidate_sets(documents: DataFrame, join: Join, wanted: Filter) -> DataFram
     return found.groupBy("set_hash").agg(*[F.first(c).alias(c) for c in ("grams", "sketch", "size")])
 
 
-def _passing(join: Join):
+def _passing(join: Join, columns: list[str]):
     """Keeps the pairs whose sketches allow a link."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch[n].to_pylist() for n in ("size_a", "size_b", "sketch_a", "sketch_b")]
-            kept = [i for i, (m, n, near, far) in enumerate(zip(*columns)) if hamming(near, far) <= join.apart(m + n)]
-            yield batch.take(pa.array(kept, pa.int64())).select(["a", "b"])
+            known = [batch[n].to_pylist() for n in ("size_a", "size_b", "sketch_a", "sketch_b")]
+            kept = [i for i, (m, n, near, far) in enumerate(zip(*known)) if hamming(near, far) <= join.apart(m + n)]
+            yield batch.take(pa.array(kept, pa.int64())).select(columns)
 
     return of
 
 
-def _linked(join: Join):
+def _linked(join: Join, columns: list[str]):
     """Keeps the pairs whose sets link."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,23 +277,23 @@ def _linked(join: Join):
                 shared = int((joined[1:] == joined[:-1]).sum())
                 if join.scale * shared >= join.similar * (both - shared):
                     kept.append(i)
-            yield batch.take(pa.array(kept, pa.int64())).select(["a", "b"])
+            yield batch.take(pa.array(kept, pa.int64())).select(columns)
 
     return of
 
 
 def links(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) of set hashes whose sets link. Sketches, which are short, meet first; only
-    the pairs they leave carry their sets."""
+    """The pairs (a, b) of set hashes whose sets link, with their further columns. Sketches, which
+    are short, meet first; only the pairs they leave carry their sets."""
 
     def both(found: DataFrame, *columns: str) -> DataFrame:
         for side in ("a", "b"):
             named = [F.col(c).alias(f"{c}_{side}") for c in columns]
             found = found.join(sets.select(F.col("set_hash").alias(side), *named), side)
-        return found.select("a", "b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
+        return found.select(*pairs.columns, *[f"{c}_{side}" for c in columns for side in ("a", "b")])
 
-    near = both(pairs, "size", "sketch").mapInArrow(_passing(join), "a long, b long")
-    return both(near, "grams").mapInArrow(_linked(join), "a long, b long")
+    near = both(pairs, "size", "sketch").mapInArrow(_passing(join, pairs.columns), pairs.schema)
+    return both(near, "grams").mapInArrow(_linked(join, pairs.columns), pairs.schema)
 
 
 def _component_of(keyed: DataFrame, found: DataFrame) -> DataFrame:
@@ -303,57 +303,76 @@ def _component_of(keyed: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def _merged(found: DataFrame, among: DataFrame) -> DataFrame:
+    """(node, component) of ``found``, after the components of ``among`` (node, component), whose
+    nodes are components of ``found``, became one."""
+    moved = among.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    after = found.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return after.union(among)
+
+
 def linked_sets(documents: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """Verified links between set hashes, as many as join the components and not all there are (pairs
     within a component are left out), and (node, component) of the sets they join."""
     met = part_keys(documents, join).groupBy("key").agg(F.count("*").alias("n"))
-    shared = filter_of(store(met.where("n > 1").select("key")), "key")
+    shared = filter_of(keep(met.where("n > 1").select("key")), "key")
     rows = part_keys(documents, join, shared).select("key", "set_hash").distinct()
     keyed = store(rows)
     # Keys that the same classes share lead to the same pairs: one of them is kept.
     members = [F.count("*"), *(F.bit_xor(F.xxhash64("set_hash", F.lit(salt))) for salt in (1, 2))]
-    several = store(
+    several = keep_few(
         keyed.groupBy("key").agg(*(m.alias(f"m{i}") for i, m in enumerate(members))).where("m0 > 1")
     )
     once = several.groupBy("m0", "m1", "m2").agg(F.min("key").alias("key")).select("key")
     # The class that shares most keys comes first: of a group of near copies, the one in the middle.
     often = keyed.join(several.select("key"), "key").groupBy("set_hash").agg((-F.count("*")).alias("order"))
-    often = store(often)
+    often = keep_few(often)
     keyed = store(keyed.join(once, "key").join(often, "set_hash"))
     sets = store(candidate_sets(documents, join, filter_of(often, "set_hash")))
     place = F.struct("order", "set_hash")
     pivots = keyed.groupBy("key").agg(F.min(place).alias("pivot"))
     pairs = keyed.join(pivots, "key").select(F.col("set_hash").alias("a"), F.col("pivot.set_hash").alias("b"))
-    all_links = keep(links(pairs.where("a <> b").distinct(), sets, join))
+    # Dealt by one end, so that what tells equal pairs apart also joins the sets of that end.
+    all_links = keep_few(links(pairs.where("a <> b").repartition("a").distinct(), sets, join))
     found = connected(all_links)
     sketches, thin = sets.select("set_hash", "sketch", "size"), THIN_ROUNDS
     while True:
-        pairs = store(_across(keyed, found, sketches, join, thin > 0))
-        fresh = keep(links(pairs.select("a", "b").distinct(), sets, join))
+        apart = keep_few(_apart(keyed, found))
+        if apart.isEmpty():
+            return all_links, found
+        pairs = keep_few(_across(apart, sketches, join, thin > 0))
+        fresh = keep_few(links(pairs.drop("thinned").repartition("a").distinct(), sets, join))
         linked = not fresh.isEmpty()
         if linked:
-            all_links = all_links.union(fresh)
-            found = connected(all_links)
+            all_links = all_links.union(fresh.select("a", "b"))
+            # Only the components that fresh links join are looked at again, not all links.
+            found = keep_few(_merged(found, connected(fresh.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))))
         if pairs.where("thinned").isEmpty():
             return all_links, found
         thin = thin - 1 if linked else 0  # what passes is no link: all that passes is verified
 
 
-def _across(keyed: DataFrame, found: DataFrame, sketches: DataFrame, join: Join, thin: bool) -> DataFrame:
-    """Pairs (a, b) that share a key, lie in different components so far and pass the sketches.
-    With ``thin``, a block where more pass than a few for each class gives only as many as it takes
-    to merge the components that pass, and says so in ``thinned``.
-
-    Of a key's classes, those outside its largest component are compared with all, in blocks: a row
-    holds at most a block of the ones and one of the others, and the pairs of a row are compared by
-    their sketches in numpy, so pairs that fail never become rows.
-    """
+def _apart(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """The classes of those keys whose classes lie in several components so far: (key, set_hash,
+    component), the key's largest component ``top``, and how many classes the key has, ``all``."""
     left = _component_of(keyed.select("key", "set_hash"), found)
     sizes = left.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(
         F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("components")
     ).where("components > 1")
-    left = left.join(largest, "key").join(sketches, "set_hash")
+    return left.join(largest, "key")
+
+
+def _across(apart: DataFrame, sketches: DataFrame, join: Join, thin: bool) -> DataFrame:
+    """Pairs (a, b) that share a key, lie in different components so far (part_a, part_b) and pass the
+    sketches. With ``thin``, a block where more pass than a few for each class gives only as many as
+    it takes to merge the components that pass, and says so in ``thinned``.
+
+    Of a key's classes, those outside its largest component are compared with all, in blocks: a row
+    holds at most a block of the ones and one of the others, and the pairs of a row are compared by
+    their sketches in numpy, so pairs that fail never become rows.
+    """
+    left = apart.join(sketches, "set_hash")
     left = left.withColumn("far", F.col("component") != F.col("top.component"))
     spread = F.xxhash64("set_hash", "key")
     far_blocks = F.ceil((F.col("all") - F.col("top.n")) / FAR_BLOCK)
@@ -362,20 +381,19 @@ def _across(keyed: DataFrame, found: DataFrame, sketches: DataFrame, join: Join,
     def every(blocks: Column) -> Column:
         return F.sequence(F.lit(0).cast("long"), blocks - 1)
 
+    def places(far: bool, far_block: Column, all_block: Column) -> Column:
+        return F.struct(F.lit(far).alias("one"), far_block.alias("far_block"), all_block.alias("all_block"))
+
     member = F.struct("set_hash", "component", "sketch", "size")
-    ones = left.where("far").select(
-        "key", F.pmod(spread, far_blocks).alias("far_block"), F.explode(every(all_blocks)).alias("all_block"),
-        F.lit(True).alias("far"), member.alias("member"),
-    )
-    others = left.select(
-        "key", F.explode(every(far_blocks)).alias("far_block"), F.pmod(spread, all_blocks).alias("all_block"),
-        F.lit(False).alias("far"), member.alias("member"),
-    )
-    blocks = ones.union(others).groupBy("key", "far_block", "all_block").agg(
-        F.collect_list(F.when(F.col("far"), F.col("member"))).alias("ones"),
-        F.collect_list(F.when(~F.col("far"), F.col("member"))).alias("others"),
+    ones = F.transform(every(all_blocks), lambda block: places(True, F.pmod(spread, far_blocks), block))
+    others = F.transform(every(far_blocks), lambda block: places(False, block, F.pmod(spread, all_blocks)))
+    placed = F.when(F.col("far"), F.concat(ones, others)).otherwise(others)
+    blocks = left.select("key", member.alias("member"), F.inline(placed)).groupBy("key", "far_block", "all_block").agg(
+        F.collect_list(F.when(F.col("one"), F.col("member"))).alias("ones"),
+        F.collect_list(F.when(~F.col("one"), F.col("member"))).alias("others"),
     )
-    return blocks.select("ones", "others").mapInArrow(_near(join, thin), "a long, b long, thinned boolean").distinct()
+    found = "a long, b long, part_a long, part_b long, thinned boolean"
+    return blocks.select("ones", "others").mapInArrow(_near(join, thin), found).distinct()
 
 
 def _folded(sketches: list[bytes], length: int) -> np.ndarray:
@@ -420,8 +438,8 @@ def _near(join: Join, thin: bool):
                     [*(c.to_numpy(zero_copy_only=False) for c in s[:3]), _folded(s[3], length)] for s in sides
                 )
                 most = PASSING * (len(id_a) + len(id_b)) if thin else None
-                found = [np.zeros((0, 2), np.int64)]
-                merging, root, passed = [np.zeros((0, 2), np.int64)], {}, 0
+                found = [np.zeros((0, 4), np.int64)]
+                merging, root, passed = [np.zeros((0, 4), np.int64)], {}, 0
                 step = max(1, COMPARED // max(1, len(id_b)))
                 for i in range(0, len(id_a), step):
                     j = slice(i, i + step)
@@ -432,18 +450,21 @@ def _near(join: Join, thin: bool):
                     x, y = np.nonzero((apart <= join.apart(both)) & (part_a[j][:, None] != part_b[None, :]))
                     if not len(x):
                         continue
-                    pair = np.stack([id_a[j][x], id_b[y]], 1)
+                    pair = np.stack([id_a[j][x], id_b[y], part_a[j][x], part_b[y]], 1)
+                    turned = pair[:, 0] < pair[:, 1]  # a pair met from both sides is one
+                    pair[turned] = pair[turned][:, [1, 0, 3, 2]]
                     passed += len(pair)
                     if most is None or passed <= most:
                         found.append(pair)
                     if most is not None:
-                        merging.append(pair[_merging(np.stack([part_a[j][x], part_b[y]], 1), root)])
+                        merging.append(pair[_merging(pair[:, 2:], root)])
                 if not passed:
                     continue
                 thinned = most is not None and passed > most
-                pairs = np.unique(np.sort(np.concatenate(merging if thinned else found), axis=1), axis=0)
+                pairs = np.unique(np.concatenate(merging if thinned else found), axis=0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs[:, 1]), pa.array(pairs[:, 0]), pa.array(np.full(len(pairs), thinned))], ["a", "b", "thinned"]
+                    [*(pa.array(pairs[:, c]) for c in range(4)), pa.array(np.full(len(pairs), thinned))],
+                    ["a", "b", "part_a", "part_b", "thinned"],
                 )
 
     return of
